@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_best_fit_packing": op5,
         "op10_quality_rules": op10,
     }
 
