@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: the white space that separates words and is stripped from lines.
 SPACE = " \t\n\x0b\x0c\r"
@@ -50,3 +51,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Only the named columns, so that nothing else is read or can clash."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def fresh(label: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while label.lower() in taken:
+        label += "_"
+    return label
+
+
+def looked_up(big: DataFrame, small: DataFrame, key: str, value: str, rows: str, total: int, spread: str, parts: int = 1000) -> DataFrame:
+    """``big`` with the column ``value`` of ``small`` (left join on ``key``, null equals null).
+
+    ``small`` has each key once and in ``rows`` how many rows of ``big`` have
+    it. Keys with more than ``total / parts`` rows are broadcast: by arithmetic
+    they are fewer than ``parts``. Their rows in ``big`` then carry a salt made
+    from ``spread`` through the shuffle join that finds the other keys, so none
+    of them meets the others of its key in one task.
+    """
+    hot_key, hot_value, salt, cold_key, cold_value, cold_salt = (f"__{value}_{n}" for n in ("hk", "hv", "salt", "ck", "cv", "cs"))
+    is_hot = F.col(rows) > F.lit(total / parts)
+    hot = F.broadcast(small.where(is_hot).select(F.col(key).alias(hot_key), F.struct(value).alias(hot_value)))
+    cold = small.where(~is_hot).select(F.col(key).alias(cold_key), F.col(value).alias(cold_value), F.lit(0).alias(cold_salt))
+    marked = big.join(hot, F.col(key).eqNullSafe(F.col(hot_key)), "left").withColumn(
+        salt, F.when(F.col(hot_value).isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0)
+    )
+    both = marked.join(cold, F.col(key).eqNullSafe(F.col(cold_key)) & (F.col(salt) == F.col(cold_salt)), "left")
+    return both.withColumn(value, F.coalesce(F.col(hot_value)[value], F.col(cold_value))).drop(hot_key, hot_value, salt, cold_key, cold_value, cold_salt)

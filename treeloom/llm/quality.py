@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import table
+from treeloom.llm.common import fresh, table
 
 #: Characters counted as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
@@ -144,14 +144,6 @@ def quality_filter(docs: DataFrame, text: str = "text", bands: Bands = Bands())
     return judged.where(F.col(f"{name}.kept")).drop(name)
 
 
-def fresh(label: str, df: DataFrame) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while label.lower() in taken:
-        label += "_"
-    return label
-
-
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     judged = docs.select("doc_id", quality_signals(F.col("text")).alias("s"))

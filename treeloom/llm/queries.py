@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeloom.llm.mixing import OP9_SQL, op9
 from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
 
@@ -13,9 +14,12 @@ from treeloom.llm.quality import op10
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_best_fit_packing": op5,
+        "op9_source_mixing": op9,
         "op10_quality_rules": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_source_mixing": OP9_SQL,
+    }
