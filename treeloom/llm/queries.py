@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.langid import op6
+from treeloom.llm.linededup import OP3_SQL, op3
 from treeloom.llm.mixing import OP9_SQL, op9
 from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
@@ -14,6 +15,7 @@ from treeloom.llm.quality import op10
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3,
         "op5_best_fit_packing": op5,
         "op6_language_id": op6,
         "op9_source_mixing": op9,
@@ -24,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_language_id": op6,
+        "op3_line_dedup": OP3_SQL,
         "op9_source_mixing": OP9_SQL,
     }
