@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.langid import op6
 from treeloom.llm.linededup import OP3_SQL, op3
+from treeloom.llm.media import op8
 from treeloom.llm.mixing import OP9_SQL, op9
 from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3,
         "op5_best_fit_packing": op5,
         "op6_language_id": op6,
+        "op8_media_columns": op8,
         "op9_source_mixing": op9,
         "op10_quality_rules": op10,
     }
