@@ -32,8 +32,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/treeloom-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)  # only what exists can be marked
+    fs.deleteOnExit(where)
+    return f"{path}/data"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -31,7 +31,7 @@ class Appender:
         self.uri = f"{folder}/{label}-{uuid.uuid4().hex}{suffix}"
         fs, path = located(self.uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out: BinaryIO = fs.open_output_stream(path)
+        self.out: BinaryIO = fs.open_output_stream(path, compression=None)
         self.at = 0
 
     def write(self, data: bytes) -> int:

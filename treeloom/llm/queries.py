@@ -12,10 +12,12 @@ from treeloom.llm.media import op8
 from treeloom.llm.mixing import OP9_SQL, op9
 from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
+from treeloom.llm.warc import op1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_index": op1,
         "op3_line_dedup": op3,
         "op5_best_fit_packing": op5,
         "op6_language_id": op6,
