@@ -10,6 +10,7 @@ from treeloom.llm.langid import op6
 from treeloom.llm.linededup import OP3_SQL, op3
 from treeloom.llm.media import op8
 from treeloom.llm.mixing import OP9_SQL, op9
+from treeloom.llm.neardup import op4
 from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
 from treeloom.llm.warc import op1
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_index": op1,
         "op3_line_dedup": op3,
+        "op4_ngram_jaccard_join": op4,
         "op5_best_fit_packing": op5,
         "op6_language_id": op6,
         "op8_media_columns": op8,
