@@ -290,3 +290,11 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(lost AS INTEGER)) AS BIGINT) A
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the lost lines taken out of ``text``; ``n_chars``, where there is one, is counted anew."""
+    cut = deduplicated(docs, index_of(docs.select("doc_id", "text")).drops())
+    text = F.col("cut_.text")
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
