@@ -13,12 +13,14 @@ from treeloom.llm.mixing import OP9_SQL, op9
 from treeloom.llm.neardup import op4
 from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
+from treeloom.llm.toxicity import op2
 from treeloom.llm.warc import op1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_index": op1,
+        "op2_toxicity": op2,
         "op3_line_dedup": op3,
         "op4_ngram_jaccard_join": op4,
         "op5_best_fit_packing": op5,
