@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.langid import op6
+from treeloom.llm.licences import op7
 from treeloom.llm.linededup import OP3_SQL, op3
 from treeloom.llm.media import op8
 from treeloom.llm.mixing import OP9_SQL, op9
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": op4,
         "op5_best_fit_packing": op5,
         "op6_language_id": op6,
+        "op7_licence_scan": op7,
         "op8_media_columns": op8,
         "op9_source_mixing": op9,
         "op10_quality_rules": op10,
