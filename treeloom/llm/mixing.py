@@ -102,8 +102,8 @@ def rated(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Every document as often as the mix takes it, with the columns it came with."""
     name, nth = fresh("mix_", docs), fresh("mix_nth", docs)
-    many = rated(docs, **options).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(name)["copies"])))
-    return many.where(F.col(nth) > 0).select(*[f"`{c}`" for c in docs.columns])
+    taken = rated(docs, **options).where(F.col(name)["copies"] > 0)
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(name)["copies"]))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
