@@ -304,7 +304,7 @@ def train(samples: list[tuple[list[list[bytes]], int]], s: Shape = Shape()) -> T
     """A model from (windows of words, label) samples."""
     samples = [(w, y) for w, y in samples if any(w)]
     prior = float(np.mean([y for _, y in samples])) if samples else 0.5
-    if not 0 < prior < 1:
+    if len({y for _, y in samples}) < 2:
         return Toxicity(s, None, prior)
     net, rng = Network(s), np.random.default_rng(s.seed)
     net.w["out_bias"][0] = np.log(prior / (1 - prior))
