@@ -1,0 +1,67 @@
+"""Text functions that need Python: diffs and UTF-16 positions, as Arrow functions."""
+
+from __future__ import annotations
+
+import difflib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def diff_text(old: str, new: str, path: str) -> str:
+    """A unified diff with three lines of context; empty if nothing changed."""
+    path = path.removeprefix("/")
+    out = []
+    for line in difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{path}", f"b/{path}"):
+        out.append(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n")
+    return "".join(out)
+
+
+def unified_diff(old: Column, new: Column, path: Column) -> Column:
+    def diff(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows = zip(*(c.to_pylist() for c in columns), strict=True)
+            yield pa.array([diff_text(a or "", b or "", p or "") for a, b, p in rows], pa.string())
+
+    return F.arrow_udf(diff, "string")(old, new, path)
+
+
+def to_position(text: str, offset: int) -> tuple[int, int]:
+    """(line, UTF-16 column), from 0, of a byte offset; places past the end are the end."""
+    before = text.encode()[:offset].decode("utf-8", "ignore")
+    line = before.count("\n")
+    return line, len(before.rpartition("\n")[2].encode("utf-16-le")) // 2
+
+
+def to_offset(text: str, line: int, column: int) -> int | None:
+    """The byte offset of a position; the line's end if it is shorter, None past the last line."""
+    lines = text.split("\n")
+    if line >= len(lines):
+        return None
+    head = lines[line].encode("utf-16-le")[: 2 * column].decode("utf-16-le", "ignore")
+    return len("\n".join(lines[:line]).encode()) + (line > 0) + len(head.encode())
+
+
+def position(text: Column, offset: Column) -> Column:
+    """A struct (line, utf16) of a byte offset."""
+    kind = pa.struct([("line", pa.int64()), ("utf16", pa.int64())])
+
+    def place(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, offsets in batches:
+            got = [to_position(t or "", o or 0) for t, o in zip(texts.to_pylist(), offsets.to_pylist(), strict=True)]
+            yield pa.array([{"line": a, "utf16": b} for a, b in got], kind)
+
+    return F.arrow_udf(place, "struct<line:bigint,utf16:bigint>")(text, offset.cast("long"))
+
+
+def offset_of(text: Column, line: Column, utf16: Column) -> Column:
+    """The byte offset of a position."""
+
+    def place(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows = zip(*(c.to_pylist() for c in columns), strict=True)
+            yield pa.array([to_offset(t or "", a, b) for t, a, b in rows], pa.int64())
+
+    return F.arrow_udf(place, "bigint")(text, line.cast("long"), utf16.cast("long"))

@@ -87,9 +87,18 @@ def layered(layers: list[DataFrame], key: str, scalars: list[str], arrays: list[
         named = layer.select(key, *[F.col(c).alias(f"{c}__{i}") for c in (*scalars, *arrays, *(maps or []))])
         out = named if out is None else out.join(named, key, "full")
     n = range(len(layers))
-    empty = lambda c: F.expr("null").cast(layers[0].schema[c].dataType)
-    return out.select(
-        key, *[F.coalesce(*[F.col(f"{c}__{i}") for i in reversed(n)]).alias(c) for c in scalars],
-        *[F.concat(*[F.coalesce(F.col(f"{c}__{i}"), F.array().cast(layers[0].schema[c].dataType)) for i in n]).alias(c) for c in arrays],
-        *[F.map_from_entries(F.reverse(F.array_distinct(F.reverse(F.concat(*[F.coalesce(F.map_entries(f"{c}__{i}"), F.map_entries(empty(c)), F.array()) for i in n]))))).alias(c) for c in (maps or [])],
-    )
+
+    def array(c: str) -> Column:
+        none = F.array().cast(layers[0].schema[c].dataType)
+        return F.concat(*[F.coalesce(F.col(f"{c}__{i}"), none) for i in n]).alias(c)
+
+    def merged(c: str) -> Column:
+        got = F.col(f"{c}__0")
+        for i in n[1:]:
+            new = F.col(f"{c}__{i}")
+            kept = F.map_filter(got, lambda k, _, new=new: ~F.map_contains_key(new, k))
+            got = F.coalesce(F.map_concat(kept, new), got, new)
+        return got.alias(c)
+
+    last = [F.coalesce(*[F.col(f"{c}__{i}") for i in reversed(n)]).alias(c) for c in scalars]
+    return out.select(key, *last, *map(array, arrays), *map(merged, maps or []))

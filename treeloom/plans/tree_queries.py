@@ -1 +1,283 @@
+"""Sections, tags, edges, edits, caches and streams over the driver's tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from treeloom.functions import python_text, text
+from treeloom.operators import aggregates, caches, edges, edits, graph, sections, todos
+from treeloom.plans.registry import query, read
+
+HEADINGS = """h AS (SELECT page_id, k, CAST(levels[k] AS INTEGER) AS level, CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(tags[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS pos, n
+ FROM (SELECT page_id, length(html) AS n, string_split_regex(html, '<h[1-3][^>]*>') AS pieces, regexp_extract_all(html, '<h[1-3][^>]*>') AS tags, regexp_extract_all(html, '<h([1-3])[^>]*>', 1) AS levels FROM pages), unnest(range(1, len(tags) + 1)) AS u(k))"""
+
+
+def headings(spark, sf_dir):
+    tag = "<h[1-3][^>]*>"
+    rows = read(spark, sf_dir, "pages").select(
+        "page_id", F.length("html").cast("long").alias("n"), F.split("html", tag).alias("pieces"),
+        F.regexp_extract_all("html", F.lit(f"({tag})")).alias("tags"), F.regexp_extract_all("html", F.lit("<h([1-3])[^>]*>")).alias("levels"),
+    )
+    each = rows.select("page_id", "n", "pieces", "tags", F.posexplode("levels").alias("k", "level"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    return each.select("page_id", "n", F.col("level").cast("int").alias("level"), (total(F.slice("pieces", 1, F.col("k") + 1)) + total(F.slice("tags", 1, F.col("k")))).alias("pos"))
+
+
+@query(f"""
+WITH {HEADINGS} SELECT a.page_id, a.level, a.pos, coalesce((SELECT min(b.pos) FROM h b WHERE b.page_id = a.page_id AND b.pos > a.pos AND b.level <= a.level), a.n) AS section_end FROM h a""")
+def section_ranges(spark, sf_dir):
+    """Where the sections of pages begin and end."""
+    return sections.nested(headings(spark, sf_dir), "page_id", "pos", "level", "n").select("page_id", "level", "pos", "section_end")
+
+
+@query(f"""
+WITH {HEADINGS} SELECT a.page_id, a.pos, (SELECT max(b.pos) FROM h b WHERE b.page_id = a.page_id AND b.pos < a.pos AND b.level < a.level
+  AND b.pos = (SELECT max(c.pos) FROM h c WHERE c.page_id = a.page_id AND c.pos < a.pos AND c.level < a.level)) AS parent FROM h a""")
+def section_parent(spark, sf_dir):
+    """The nearest heading before each one that ranks higher."""
+    return sections.nested(headings(spark, sf_dir), "page_id", "pos", "level", "n").select("page_id", "pos", "parent")
+
+
+@query("SELECT page_id, string_split_regex(html, '<h[1-3][^>]*>')[1] AS preamble FROM pages WHERE trim(string_split_regex(html, '<h[1-3][^>]*>')[1]) <> ''")
+def preamble(spark, sf_dir):
+    first = F.get(F.split("html", "<h[1-3][^>]*>"), F.lit(0))
+    return read(spark, sf_dir, "pages").where(F.trim(first) != "").select("page_id", first.alias("preamble"))
+
+
+WORDS = ["the", "thing", "ver", "eau", "ci"]
+WORDS_SQL = "(?i)(the|thing|ver|eau|ci)"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 10 < 10), unnest(range(1, len(ls) + 1)) AS u(i)),
+t AS (SELECT *, string_split_regex(line, '(?i)(?:the|thing|ver|eau|ci)') AS pieces, regexp_extract_all(line, '{WORDS_SQL}') AS hits FROM l)
+SELECT doc_id, line_no, CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS INTEGER) AS col, upper(hits[k]) AS tag FROM t, unnest(range(1, len(hits) + 1)) AS u(k)""")
+def tag_scan(spark, sf_dir):
+    """Every match of a list of tags, in any case, with its line and column."""
+    return todos.tag_lines(read(spark, sf_dir, "documents"), "doc_id", "text", WORDS).select("doc_id", "line_no", F.col("column").cast("int").alias("col"), "tag")
+
+
+@query("""
+WITH t(tag, nth) AS (VALUES ('THE', 0), ('FIXME', 1), ('VER', 2)), h AS (SELECT upper(unnest(regexp_extract_all(text, '(?i)(the|fixme|ver)'))) AS tag FROM documents)
+SELECT t.tag, count(h.tag) AS n, CAST(t.nth AS INTEGER) AS nth FROM t LEFT JOIN h ON h.tag = t.tag GROUP BY t.tag, t.nth""")
+def tag_index(spark, sf_dir):
+    """Matches by tag, also of tags without any."""
+    hits = todos.tag_lines(read(spark, sf_dir, "documents"), "doc_id", "text", ["the", "fixme", "ver"])
+    return todos.index(spark, hits, ["THE", "FIXME", "VER"])
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations), unnest(range(1, len(ls) + 1)) AS u(i)),
+r AS (SELECT *, line_no - row_number() OVER (PARTITION BY conv_id, turn, length(line) > 60 ORDER BY line_no) AS g, length(line) > 60 AS long FROM l)
+SELECT conv_id, turn, line_no, min(line_no) OVER w AS block_first, max(line_no) OVER w AS block_last FROM r WHERE long WINDOW w AS (PARTITION BY conv_id, turn, g)""")
+def comment_block(spark, sf_dir):
+    """Runs of long lines, marked as comments, with their bounds."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) > 60, F.concat(F.lit("# "), x)).otherwise(F.lit("x")))
+    c = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.array_join(lines, "\n").alias("text"))
+    return todos.comment_blocks(c, "id", "text").select("id.conv_id", "id.turn", "line_no", "block_first", "block_last")
+
+
+def order_edges(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("src/"), F.col("o_orderpriority"), F.lit(".rs")).alias("src_file"), (F.col("o_orderkey") % 100).alias("src_line"), F.lit("call").alias("edge_kind"),
+        F.concat(F.lit("src/"), F.col("o_orderstatus"), F.lit(".rs")).alias("dst_file"), (F.col("o_custkey") % 40).alias("dst_line"), F.col("o_orderstatus").alias("name"),
+    )
+
+
+@query("""
+SELECT 'src/' || o_orderpriority || '.rs' AS file, o_orderkey % 100 + 1 AS line, o_orderstatus AS name FROM orders WHERE 'src/' || o_orderstatus || '.rs' = 'src/O.rs' AND o_custkey % 40 = 7""")
+def one_hop_callers(spark, sf_dir):
+    """Who calls the function at one place."""
+    return edges.feature(order_edges(spark, sf_dir), "CALLERS", F.lit("src/O.rs"), F.lit(7)).select("file", "line", "name")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT 'src/' || o_orderpriority || '.rs' AS file, o_orderkey % 100 + 1 AS line, o_orderstatus AS name FROM orders),
+s AS (SELECT file, line, name, name || '-' || file[5:] || ':' || line AS link, CASE WHEN line < 81 THEN file || '@/symbols/fn' || ((line - 1) // 20) || '@' ELSE file || '@/lines:' || line END AS target FROM e)
+SELECT link, file, line, target FROM s""")
+def linked_callers(spark, sf_dir):
+    """Calls as links to the symbol around them, or to their line."""
+    rows = edges.feature(order_edges(spark, sf_dir), "CALLERS").select("file", "line", "name").distinct()
+    files = rows.select("file").distinct()
+    spans = files.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(
+        "file", (F.col("i") * 20 + 1).cast("long").alias("start"), (F.col("i") * 20 + 21).cast("long").alias("stop"), F.lit(1).alias("depth"), F.col("i").alias("ord"), F.concat(F.lit("fn"), F.col("i").cast("string")).alias("fs_name")
+    )
+    return edges.linked(rows, spans, "src/")
+
+
+@query("SELECT l_suppkey, count(*) AS refs, count(DISTINCT l_partkey) AS symbols, list_sort(list(DISTINCT l_linenumber)) AS lines FROM lineitem GROUP BY l_suppkey")
+def references_by_file(spark, sf_dir):
+    """Locations grouped by file."""
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("l_partkey").alias("symbols"), F.array_sort(F.collect_set("l_linenumber")).alias("lines"))
+
+
+@query("""
+WITH RECURSIVE e(item, needs) AS (SELECT n_nationkey, (n_nationkey * 7 + 3) % 25 FROM nation WHERE (n_nationkey * 7 + 3) % 25 < n_nationkey UNION SELECT n_nationkey, n_nationkey // 2 FROM nation WHERE n_nationkey > 0),
+w(item, depth) AS (SELECT n_nationkey, 0::BIGINT FROM nation UNION SELECT e.item, w.depth + 1 FROM w JOIN e ON e.needs = w.item)
+SELECT item, max(depth) AS depth FROM w GROUP BY item""")
+def topo_depth(spark, sf_dir):
+    """The longest chain of needs below each nation."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item"))
+    one = n.select("item", ((F.col("item") * 7 + 3) % 25).alias("needs")).where("needs < item")
+    half = n.where("item > 0").select("item", F.expr("item div 2").cast("int").alias("needs"))
+    return graph.depths(n, one.unionByName(half))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT o_orderkey AS pid, o_orderkey // 3 AS ppid, CASE WHEN o_orderkey % 10 = 0 THEN o_orderstatus END AS rule FROM orders WHERE o_orderkey < 3000),
+w(start, id, steps) AS (SELECT pid, pid, 0::BIGINT FROM p UNION ALL SELECT w.start, p.ppid, w.steps + 1 FROM w JOIN p ON p.pid = w.id WHERE p.ppid > 1 AND w.steps < 32)
+SELECT start, min_by(p.rule, w.steps) AS rule FROM w JOIN p ON p.pid = w.id WHERE p.rule IS NOT NULL GROUP BY start""")
+def ancestor_walk(spark, sf_dir):
+    """The rule of the nearest ancestor that has one of its own."""
+    p = read(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("pid"), F.expr("o_orderkey div 3").alias("ppid"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderstatus")).alias("rule"))
+    chain = graph.ancestors(p, "pid", "ppid", p.select(F.col("pid").alias("start")))
+    rules = p.where("rule is not null").select(F.col("pid").alias("id"), "rule")
+    return chain.join(rules, "id").groupBy("start").agg(F.min_by("rule", "steps").alias("rule"))
+
+
+@query("""
+SELECT c_custkey, coalesce(CASE WHEN c_custkey % 11 = 0 THEN 'pid' END, CASE c_mktsegment WHEN 'BUILDING' THEN 'dynamic' END, CASE n_regionkey WHEN 1 THEN 'static' END, 'default') AS policy FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def policy_resolution(spark, sf_dir):
+    """Rules in order of priority: own, by name, by group, default."""
+    nation = read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), F.lit("static").alias("static"))
+    c = read(spark, sf_dir, "customer").join(nation, "c_nationkey", "left")
+    layers = [F.when(F.col("c_custkey") % 11 == 0, "pid"), F.when(F.col("c_mktsegment") == "BUILDING", "dynamic"), F.col("static")]
+    return c.select("c_custkey", aggregates.resolved(layers, F.lit("default")).alias("policy"))
+
+
+@query("""
+SELECT user_id, event_type, min(event_id) AS seq, max_by(content, event_id) FILTER (WHERE content IS NOT NULL) AS content
+FROM (SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 > 0 THEN props END AS content FROM events) GROUP BY user_id, event_type""")
+def staged_upsert(spark, sf_dir):
+    """Staged operations: the first place in the sequence, the last content that isn't null."""
+    ops = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("content"))
+    return edits.staged(ops, ["user_id", "event_type"], "event_id", "content")
+
+
+EDITS = """e AS (SELECT doc_id, text AS body, CASE doc_id % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'delete' WHEN 2 THEN 'insert_before' WHEN 3 THEN 'insert_after' ELSE 'append' END AS kind, CAST(length(text) // 3 AS BIGINT) AS a, CAST(length(text) // 2 AS BIGINT) AS b FROM documents),
+l AS (SELECT *, a - length(split_part(left(body, a), chr(10), -1)) AS ls, body[a+1:b] AS span FROM e),
+r AS (SELECT *, CASE WHEN kind IN ('replace', 'delete', 'insert_before') THEN ls WHEN kind = 'insert_after' THEN b WHEN contains(span, '}') THEN a + length(span) - instr(reverse(span), '}') ELSE b END AS s,
+  b + CASE WHEN body[b+1:b+1] = chr(10) THEN 1 + length(regexp_extract(body[b+2:], '^((?:[ \\t]*\\n)*)', 1)) ELSE 0 END AS gone FROM l)"""
+
+
+def resolved_edits(spark, sf_dir):
+    kinds = ["replace", "delete", "insert_before", "insert_after", "append"]
+    n = F.length("text")
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("body"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 5 + 1).cast("int")).alias("kind"),
+        F.expr("length(text) div 3").alias("a"), F.expr("length(text) div 2").alias("b"), F.lit(1).alias("seq"), n.alias("n"),
+    )
+    return edits.resolve(docs, F.col("body"), F.col("a"), F.col("b"), F.lit(None).cast("long"), F.col("kind"), F.lit("NEW"))
+
+
+@query(f"""
+WITH {EDITS} SELECT doc_id, kind, s AS edit_start, CASE kind WHEN 'replace' THEN b WHEN 'delete' THEN gone ELSE s END AS edit_end FROM r""")
+def edit_ranges(spark, sf_dir):
+    """What five kinds of edits replace in each text."""
+    return resolved_edits(spark, sf_dir).select("doc_id", "kind", "edit_start", "edit_end")
+
+
+@query(f"""
+WITH {EDITS}, f AS (SELECT *, CASE kind WHEN 'replace' THEN b WHEN 'delete' THEN gone ELSE s END AS t, CASE kind WHEN 'replace' THEN 'NEW' WHEN 'delete' THEN '' WHEN 'insert_before' THEN 'NEW' || chr(10) ELSE chr(10) || 'NEW' END AS new FROM r)
+SELECT doc_id, left(body, s) || new || CASE WHEN t < 10 THEN '<<' ELSE '' END || body[t+1:] AS result FROM f""".replace(" || CASE WHEN t < 10 THEN '<<' ELSE '' END", ""))
+def edit_apply(spark, sf_dir):
+    """The texts after their edits."""
+    return edits.applied(resolved_edits(spark, sf_dir), ["doc_id"], "body")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS status, list_concat(['base'], CASE WHEN o_orderkey % 3 = 0 THEN [o_orderstatus] ELSE [] END) AS tags FROM orders""")
+def config_layers(spark, sf_dir):
+    """Two layers: scalars of the upper win, arrays go one after another."""
+    orders = read(spark, sf_dir, "orders")
+    base = orders.select("o_orderkey", F.col("o_orderpriority").alias("status"), F.array(F.lit("base")).alias("tags"))
+    over = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.array("o_orderstatus").alias("tags"))
+    return edits.layered([base, over], "o_orderkey", ["status"], ["tags"])
+
+
+@query()
+def unified_diff(spark, sf_dir):
+    """Diffs between texts and what edits made of them."""
+    made = resolved_edits(spark, sf_dir)
+    after = edits.applied(made, ["doc_id"], "body")
+    both = made.select("doc_id", "body").join(after, "doc_id")
+    return both.select("doc_id", python_text.unified_diff(F.col("body"), F.col("result"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))).alias("diff"))
+
+
+@query()
+def utf16_positions(spark, sf_dir):
+    """Line and UTF-16 column of the byte in the middle of each text, and back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.expr("octet_length(text) div 2").alias("at"))
+    placed = docs.withColumn("p", python_text.position(F.col("text"), F.col("at")))
+    return placed.select("doc_id", "at", "p.line", "p.utf16", python_text.offset_of(F.col("text"), F.col("p.line"), F.col("p.utf16")).alias("back"))
+
+
+@query("""
+WITH g AS (SELECT user_id, count(*) AS generation FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT e.event_id, e.user_id FROM events e LEFT JOIN g USING (user_id) WHERE e.event_type = 'view' AND e.event_id % 20 = coalesce(g.generation, 0)""")
+def generation_validity(spark, sf_dir):
+    """Cache entries whose generation is their path's current one."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    entries = events.where("event_type = 'view'").select("event_id", "user_id", (F.col("event_id") % 20).alias("stored"))
+    return caches.valid(entries, caches.generations(events.where("event_type = 'error'"), "user_id"), "user_id", "stored").select("event_id", "user_id")
+
+
+@query("""
+SELECT e.event_id FROM (SELECT event_id, event_type, ts, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cached FROM events) e
+WHERE event_type = 'click' AND epoch_us(ts) - epoch_us(cached) <= 18000000000""")
+def ttl_validity(spark, sf_dir):
+    """Clicks that find a view of theirs from the last five hours."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    cached = F.max(F.when(F.col("event_type") == "view", F.col("at"))).over(Window.partitionBy("user_id").orderBy("at", "event_id"))
+    return events.withColumn("age", F.col("at") - cached).where((F.col("event_type") == "click") & caches.fresh(F.col("age"), caches.TTL * 60)).select("event_id")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w(user_id, k, t, start) AS (SELECT user_id, k, t, t FROM e WHERE k = 1
+ UNION ALL SELECT e.user_id, e.k, e.t, CASE WHEN e.t - w.t >= 36000000000 OR e.t >= w.start + 72000000000 THEN e.t ELSE w.start END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT w.user_id, w.start AS batch_start, list_sort(list(DISTINCT e.event_type)) AS items FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k GROUP BY w.user_id, w.start""")
+def debounce_batches(spark, sf_dir):
+    """Batches of a user's events: ten quiet hours end one, as do twenty hours in all."""
+    events = read(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    return caches.debounced(events, "user_id", "at", "event_type", 36_000_000_000, 72_000_000_000)
+
+
+@query("""
+SELECT event_id FROM (SELECT event_id, event_type = 'click' AS w, lag(event_type = 'click') OVER o AS pw, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS gap FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+WHERE NOT w AND NOT coalesce(pw AND gap < 7200000000, false)""")
+def echo_suppression(spark, sf_dir):
+    """Events that aren't echoes of a click less than two hours before."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return caches.without_echoes(events, "user_id", "at", F.col("event_type") == "click", "event_id", 7_200_000_000).select("event_id")
+
+
+@query("""
+WITH p AS (SELECT user_id, max_by(value, ts) AS value, max(ts) AS published FROM events WHERE event_type = 'purchase' GROUP BY user_id), m AS (SELECT user_id, max(ts) AS marked FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT coalesce(p.user_id, m.user_id) AS user_id, value, coalesce(marked > published, published IS NULL) AS dirty FROM p FULL JOIN m ON m.user_id = p.user_id""")
+def latest_published(spark, sf_dir):
+    """Each user's last publication, and whether something changed after it."""
+    events = read(spark, sf_dir, "events")
+    return caches.latest(events.where("event_type = 'purchase'"), events.where("event_type = 'error'"), "user_id", "ts", "value")
+
+
+@query("""
+WITH t AS (SELECT user_id, epoch_us(ts) AS at_, event_id % 5 AS token, CAST(event_type IN ('signup', 'view') AS INTEGER) AS o, event_id FROM events),
+s AS (SELECT *, o - coalesce(lag(o) OVER (PARTITION BY user_id, token ORDER BY at_), 0) AS step FROM t),
+r AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY at_, token) AS open_, lead(at_) OVER (PARTITION BY user_id ORDER BY at_, token) AS next FROM s)
+SELECT user_id, min(CASE WHEN open_ = 0 AND next - at_ >= 3600000000 THEN at_ + 3600000000 END) AS ready_at FROM r GROUP BY user_id""")
+def open_count_ready(spark, sf_dir):
+    """When a user has first been without open tokens for an hour."""
+    events = read(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 5).alias("token"), "event_type")
+    return caches.ready_times(events, "user_id", "at", "token", F.col("event_type").isin("signup", "view"), 3_600_000_000)
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT o_orderkey AS hash, o_orderkey // 2 AS p1, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey // 3 END AS p2 FROM orders WHERE o_orderkey BETWEEN 1 AND 900),
+e AS (SELECT hash, p1 AS parent FROM c WHERE p1 > 0 UNION SELECT hash, p2 FROM c WHERE p2 > 0), w(start, hash) AS (SELECT x, x FROM (VALUES (840::BIGINT), (875::BIGINT)) v(x) UNION SELECT w.start, e.parent FROM w JOIN e ON e.hash = w.hash)
+SELECT start, hash FROM w""")
+def commit_reachability(spark, sf_dir):
+    """What two commits descend from, merges included."""
+    c = read(spark, sf_dir, "orders").where("o_orderkey between 1 and 900").select(F.col("o_orderkey").alias("hash"), F.explode(F.array_compact(F.array(F.expr("o_orderkey div 2"), F.when(F.col("o_orderkey") % 5 == 0, F.expr("o_orderkey div 3"))))).alias("parent"))
+    return graph.reachable(c.where("parent > 0"), spark.createDataFrame([(840,), (875,)], "start long"))
