@@ -230,9 +230,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Trains on at most ``max_documents`` rows of ``docs`` (doc_id, text, lang), those with the least hashes."""
+    """Trains on at most ``max_documents`` rows of ``docs`` (doc_id, text, lang).
+
+    Those with the least hashes of their ids are picked by id alone; only their
+    texts are read then.
+    """
+    order = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    drawn = rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(s.seed)), "doc_id").limit(s.max_documents)
+    least = rows.select(order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(s.max_documents)
+    bound = least.agg(F.max("h")).first()[0]
+    drawn = rows.where(order <= F.lit(bound)).limit(s.max_documents) if bound is not None else rows.limit(0)
     words = drawn.select(drawn_words(F.col("text"), s.max_words, s.seed).alias("words"), F.col("lang").cast("string").alias("lang"))
     return train([(r["words"], r["lang"]) for r in words.collect()], s)
 
