@@ -59,7 +59,7 @@ class Plan:
     max_depth: int = 6
     #: Share of equal tokens from which two sets look alike: four deviations below the threshold.
     alike: float = 0.6
-    block_sets: int = 1500
+    block_sets: int = 400
     block_shingles: int = 1_500_000
     seed: int = 11
 
