@@ -348,13 +348,13 @@ def components(edges: DataFrame) -> DataFrame:
     print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
     before = print_of(now)
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = written(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+        large = with_least(both, written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").dropDuplicates(["u", "v"]), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").dropDuplicates(["u", "v"]), "small-star")
         after = print_of(now)
         if after == before:
@@ -364,6 +364,12 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of ``least`` (u, m, n), where a node may have very many edges."""
+    total = least.agg(F.sum("n")).first()[0] or 1
+    return looked_up(edges, least, "u", "m", "n", total, "v")
+
+
 # --- exact links inside loose groups ---
 
 
