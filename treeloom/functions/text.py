@@ -109,7 +109,7 @@ def compact_visibility(label: Column) -> Column:
 
 def section_first_line(body: Column) -> Column:
     """The first line that is neither blank nor a heading, trimmed; null if there is none."""
-    return F.get(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#")), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")), F.lit(0))
 
 
 def flat_type(text: Column) -> Column:

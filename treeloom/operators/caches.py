@@ -94,7 +94,7 @@ def ready_times(progress: DataFrame, key: str, at: str, token: str, begins: Colu
     turned = progress.withColumn("__open", begins.cast("int")).withColumn("__was", F.coalesce(F.lag("__open").over(by_token), F.lit(0)))
     step = F.col("__open") - F.col("__was")
     order = Window.partitionBy(key).orderBy(at, token)
-    running = turned.withColumn("open", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead(at).over(order))
+    running = turned.withColumn("__step", step).where("__step <> 0").withColumn("open", F.sum("__step").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead(at).over(order))
     still = (F.col("open") == 0) & (F.col("next") - F.col(at) >= quiet)
     return running.groupBy(key).agg(F.min(F.when(still, F.col(at) + quiet)).alias("ready_at"))
 

@@ -96,7 +96,7 @@ def layered(layers: list[DataFrame], key: str, scalars: list[str], arrays: list[
         got = F.col(f"{c}__0")
         for i in n[1:]:
             new = F.col(f"{c}__{i}")
-            kept = F.map_filter(got, lambda k, _, new=new: ~F.map_contains_key(new, k))
+            kept = F.map_filter(got, lambda k, _: ~F.map_contains_key(new, k))  # noqa: B023
             got = F.coalesce(F.map_concat(kept, new), got, new)
         return got.alias(c)
 

@@ -65,7 +65,7 @@ def language_for(name: str) -> tuple[Language, str | None] | None:
 #: Node kinds that are symbols, and what they are called.
 SYMBOLS = {
     "rust": {"function": "Function", "struct": "Struct", "enum": "Enum", "trait": "Trait", "impl": "Impl", "mod": "Module", "const": "Const", "static": "Static", "type_alias": "TypeAlias", "macro_def": "Macro"},
-    "ts": {"function": "Function", "class": "Class", "enum": "Enum", "type_alias": "TypeAlias", "let": "Variable", "mod": "Module", "field_def": "Field", "method_sig": "Function"},
+    "ts": {"function": "Function", "class": "Class", "interface": "Interface", "enum": "Enum", "type_alias": "TypeAlias", "let": "Variable", "mod": "Module", "field_def": "Field", "method_sig": "Function"},
     "py": {"function": "Function", "class": "Class", "type_alias": "TypeAlias", "assign": "Variable"},
 }
 DOCS = {"rust": re.compile(r"///|//!|/\*\*"), "ts": re.compile(r"/\*\*")}
@@ -101,8 +101,6 @@ def symbols(node: Node, text: str, lang: str, depth: int) -> list[Fragment]:
             pending.append(child)
             continue
         kind = table.get(child.kind)
-        if lang == "ts" and child.kind == "class" and re.match(r"(?:export\s+|default\s+|declare\s+)*interface\b", text[child.start : child.end]):
-            kind = "Interface"
         name = impl_label(child) if child.kind == "impl" else child.name
         if lang == "py" and child.kind == "assign":
             left = child.by_role("left")
@@ -133,7 +131,7 @@ def symbols(node: Node, text: str, lang: str, depth: int) -> list[Fragment]:
             made.children.append(Fragment("docstring", "docstring", first.start, first.end))
         if attributes:
             made.children.append(Fragment("decorators", "decorator", attributes[0].start, attributes[-1].end))
-        if depth > 1 and body is not None and child.kind in ("impl", "trait", "mod", "class"):
+        if depth > 1 and body is not None and child.kind in ("impl", "trait", "mod", "class", "interface"):
             made.children += symbols(body, text, lang, depth - 1)
         out.append(made)
         pending = []
@@ -215,6 +213,11 @@ def markdown(text: str, depth: int) -> list[Fragment]:
     first = heads[0][0] if heads else len(text)
     if text[:first].strip():
         top.insert(0, Fragment("preamble", "preamble", 0, first))
+    todo = [top]
+    while todo:
+        siblings = todo.pop()
+        siblings.sort(key=lambda f: f.start)
+        todo += [f.children for f in siblings]
     return top
 
 

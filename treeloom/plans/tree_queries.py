@@ -265,7 +265,7 @@ def latest_published(spark, sf_dir):
 @query("""
 WITH t AS (SELECT user_id, epoch_us(ts) AS at_, event_id % 5 AS token, CAST(event_type IN ('signup', 'view') AS INTEGER) AS o, event_id FROM events),
 s AS (SELECT *, o - coalesce(lag(o) OVER (PARTITION BY user_id, token ORDER BY at_), 0) AS step FROM t),
-r AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY at_, token) AS open_, lead(at_) OVER (PARTITION BY user_id ORDER BY at_, token) AS next FROM s)
+r AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY at_, token) AS open_, lead(at_) OVER (PARTITION BY user_id ORDER BY at_, token) AS next FROM s WHERE step <> 0)
 SELECT user_id, min(CASE WHEN open_ = 0 AND next - at_ >= 3600000000 THEN at_ + 3600000000 END) AS ready_at FROM r GROUP BY user_id""")
 def open_count_ready(spark, sf_dir):
     """When a user has first been without open tokens for an hour."""
