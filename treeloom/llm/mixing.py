@@ -84,10 +84,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return weighed.select("source", "source_size", "n_rows", F.least(cap, F.col("weight") * F.lit(float(level))).alias("target"))
 
 
-def rated(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with a struct column ``mix_``: size, source_size, target and copies."""
+def rated(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST, seed: str = SEED, words: Column | None = None) -> DataFrame:
+    """``docs`` with a struct column ``mix_``: size, source_size, target and copies.
+
+    ``words`` is the size, where it is known already; else it is counted in ``text``.
+    """
     size, key, found = (fresh(f"mix_{n}", docs) for n in ("size", "key", "found"))
-    sized = docs.withColumn(size, word_count(F.col(f"`{text}`").cast("string"))).withColumn(key, F.col(f"`{source}`").cast("string"))
+    sized = docs.withColumn(size, word_count(F.col(f"`{text}`").cast("string")) if words is None else words).withColumn(key, F.col(f"`{source}`").cast("string"))
     sizes = sized.groupBy(F.col(key).alias("source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     aims = targets(sizes, weights, most).select(F.col("source").alias(key), F.struct("source_size", "target").alias(found), "n_rows")
     total = aims.agg(F.sum("n_rows")).first()[0] or 0
@@ -108,8 +111,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    counted = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")  # texts are read once
     m = F.col("mix_")
-    return rated(docs).select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
+    return rated(counted, words=F.col("words")).select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
 
 
 OP9_SQL = r"""
