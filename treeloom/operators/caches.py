@@ -49,11 +49,13 @@ def quiet_runs(events: DataFrame, key: str, at: str, quiet: int) -> DataFrame:
 def debounced(events: DataFrame, key: str, at: str, item: str, quiet: int = QUIET, cap: int = CAP) -> DataFrame:
     """(key, batch_start, items): batches end ``quiet`` after their last event or ``cap`` after their first.
 
-    Runs are cut at quiet times first; only inside a run must the cap be
-    followed event by event.
+    Runs are cut at quiet times first. A run shorter than the cap is one batch;
+    only inside longer ones must the cap be followed event by event.
     """
     runs = quiet_runs(events.select(key, F.col(at).alias("at"), F.col(item).alias("item")), key, "at", quiet)
-    kind = runs.schema["item"].dataType.simpleString()
+    whole = Window.partitionBy(key, "run")
+    marked = runs.withColumns({"batch_start": F.min("at").over(whole), "__long": F.max("at").over(whole) - F.min("at").over(whole) >= cap})
+    group = lambda df: df.groupBy(key, "batch_start").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
@@ -62,11 +64,11 @@ def debounced(events: DataFrame, key: str, at: str, item: str, quiet: int = QUIE
             if begin is None or t >= begin + cap:
                 begin = t
             starts.append(begin)
-        out = pdf.assign(batch_start=starts).groupby("batch_start")["item"].agg(lambda x: sorted(set(x))).reset_index(name="items")
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
+        return pdf.assign(batch_start=starts)[[key, "batch_start", "item"]]
 
-    return runs.groupBy(key, "run").applyInPandas(cut, f"{key} {events.schema[key].dataType.simpleString()}, batch_start long, items array<{kind}>")
+    columns = f"{key} {events.schema[key].dataType.simpleString()}, batch_start long, item {runs.schema['item'].dataType.simpleString()}"
+    long = marked.where("__long").groupBy(key, "run").applyInPandas(cut, columns)
+    return group(marked.where("not __long").select(key, "batch_start", "item").unionByName(long))
 
 
 def without_echoes(events: DataFrame, key: str, at: str, is_write: Column, tie: str, window: int = ECHO) -> DataFrame:

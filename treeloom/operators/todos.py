@@ -25,12 +25,12 @@ def tag_lines(files: DataFrame, key: str, body: str, tags: list[str]) -> DataFra
     """
     pattern = "(?i)(" + "|".join(tags) + ")"
     rows = files.where(has_tag(F.col(body), tags)).select(key, F.posexplode(F.split(F.col(body), "\n")).alias("i", "line")).where(has_tag(F.col("line"), tags))
-    found = rows.withColumn("pieces", F.split("line", pattern)).withColumn("hits", F.regexp_extract_all("line", F.lit(pattern)))
-    each = found.select(key, "i", "line", "pieces", F.posexplode("hits").alias("k", "hit"))
-    before = F.aggregate(F.slice("pieces", 1, F.col("k") + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.col("k") * 0
-    earlier = F.aggregate(F.slice(F.regexp_extract_all("line", F.lit(pattern)), 1, F.col("k")), F.lit(0), lambda s, x: s + F.length(x))
-    column = before + earlier
-    return each.select(key, (F.col("i") + 1).cast("long").alias("line_no"), "line", column.alias("column"), F.upper("hit").alias("tag"), F.substring("line", column + F.length("hit") + 1, F.length("line")).alias("after"))
+    pairs = F.arrays_zip(F.split("line", pattern).alias("before"), F.regexp_extract_all("line", F.lit(pattern)).alias("hit"))
+    each = rows.select(key, "i", "line", F.posexplode(pairs).alias("k", "pair")).where("pair.hit is not null")
+    so_far = Window.partitionBy(key, "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    column = F.sum(F.length("pair.before") + F.length("pair.hit")).over(so_far) - F.length("pair.hit")
+    placed = each.withColumn("column", column.cast("int"))
+    return placed.select(key, (F.col("i") + 1).cast("long").alias("line_no"), "line", "column", F.upper("pair.hit").alias("tag"), F.substring("line", F.col("column") + F.length("pair.hit") + 1, F.length("line")).alias("after"))
 
 
 def in_comment(line: Column, column: Column) -> Column:
