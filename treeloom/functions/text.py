@@ -263,3 +263,14 @@ def sliced(items: Column, spec: Column) -> Column:
     begin = F.when(spec["kind"] == "tail", F.greatest(n - spec["start"], F.lit(0))).otherwise(F.least(spec["start"] - 1, n.cast("long")))
     stop = F.when(spec["kind"] == "tail", n.cast("long")).otherwise(F.least(spec["end"], n.cast("long")))
     return F.slice(items, (begin + 1).cast("int"), F.greatest(stop - begin, F.lit(0)).cast("int"))
+
+
+#: Kinds of input and output errors and their numbers.
+ERRNO = {"not-found": 2, "permission-denied": 13, "already-exists": 17, "not-a-directory": 20, "is-a-directory": 21, "invalid-input": 22, "directory-not-empty": 39, "timed-out": 110}
+
+
+def errno(causes: Column, default: int = 5) -> Column:
+    """The number of the first cause in a chain of error kinds that has one."""
+    table = F.create_map(*[F.lit(x) for pair in ERRNO.items() for x in pair])
+    known = F.filter(F.transform(causes, lambda c: table[c]), lambda n: n.isNotNull())
+    return F.coalesce(F.get(known, F.lit(0)), F.lit(default))
