@@ -35,7 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op6_language_id": op6,
         "op3_line_dedup": OP3_SQL,
         "op9_source_mixing": OP9_SQL,
     }
