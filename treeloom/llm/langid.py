@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import table
+from treeloom.llm.common import table, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -209,6 +209,7 @@ def calibrate(model: Model, held: list[tuple]) -> None:
 def drawn_words(text: Column, most: int, seed: int) -> Column:
     """At most ``most`` words, in runs of 20 spread over the whole text."""
 
+    @tidy
     def draw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
@@ -251,6 +252,7 @@ def language(text: Column, model: Model, spark: SparkSession) -> Column:
     """A struct of lang_pred, score and whether the score passes the rejection limit."""
     shared = spark.sparkContext.broadcast(model)  # buckets x languages numbers, bounded by the settings
 
+    @tidy
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])

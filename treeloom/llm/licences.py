@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import table
+from treeloom.llm.common import table, tidy
 
 #: Public licence sentences by identifier.
 SENTENCES = {
@@ -270,6 +270,7 @@ SCAN = "struct<licences:array<string>,matches:array<struct<licence:string,start:
 def licences(text: Column, sentences: dict[str, str] = SENTENCES, rules=RULES) -> Column:
     """A struct of the distinct licences in order of name, the matches with their character spans, and all sentence identifiers."""
 
+    @tidy
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         phrases = Phrases(sentences)
         match = pa.struct([("licence", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("sentences", pa.int64())])

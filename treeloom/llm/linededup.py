@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import SPACE, fresh, looked_up, scratch, table
+from treeloom.llm.common import SPACE, fresh, looked_up, scratch, table, tidy
 from treeloom.llm.cuckoo import CuckooFilter, Full
 
 MIN_CODE_POINTS = 10
@@ -238,6 +238,7 @@ CUT = "struct<n_lines:bigint,n_dropped:bigint,kept_sha256:string,text:string>"
 def without(text: Column, keys: Column, with_text: bool) -> Column:
     """Drops the lines of ``text`` whose key digest is among ``keys``."""
 
+    @tidy
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
         for texts, drops in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from treeloom.llm.common import scratch, table
+from treeloom.llm.common import scratch, table, tidy
 from treeloom.llm.files import Appender, Ranges, again, located
 
 WIDTH = 64
@@ -110,6 +110,7 @@ MANIFEST = "archive string, bytes long, members long"
 def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 128 << 20) -> str:
     """Stores (doc_id, text) in archives under ``folder``; returns the manifest's path."""
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())])
         out, entries = None, []
@@ -234,6 +235,7 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def features(members: DataFrame) -> DataFrame:
     """What the stored images of ``members`` (doc_id, media) hold."""
 
+    @tidy
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
         kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FEATURES.split(", ")]

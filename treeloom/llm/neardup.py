@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import fresh, looked_up, table, written
+from treeloom.llm.common import fresh, looked_up, table, tidy, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -84,7 +84,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 100_000:
         _hashes.clear()
     for w in words:
         if w not in _hashes:
@@ -126,6 +126,7 @@ SKETCH = "doc_id long, text_hash long, set_key binary, n_shingles long, tokens b
 def sketched(docs: DataFrame) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text) with the key and tokens of its set."""
 
+    @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers()
         for batch in batches:
@@ -179,6 +180,7 @@ def node_batch(nodes: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatc
 def roots(sets: DataFrame, plan: Plan) -> DataFrame:
     """The buckets of the first depth, for all runs."""
 
+    @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found, nodes, owners = np.asarray(batch.column(0)), token_matrix(batch.column(1)), [], []
@@ -195,6 +197,7 @@ def roots(sets: DataFrame, plan: Plan) -> DataFrame:
 def deeper(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """The children of too large buckets."""
 
+    @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -279,6 +282,7 @@ EDGES = "u long, v long"
 def compare_tokens(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Edges of a spanning forest of what looks alike in each bucket (node, set)."""
 
+    @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs = [], []
         for group in grouped_runs(batches):
@@ -404,6 +408,7 @@ LINKS = "set long, links long, to long"
 def link_groups(rows: DataFrame, plan: Plan) -> DataFrame:
     """Links and spanning edges in groups (grp, block, single, set, weight, elements)."""
 
+    @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped_runs(batches):
             block, ids, weight = (np.asarray(group.column(i)) for i in (1, 3, 4))
@@ -434,6 +439,7 @@ def with_elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in wanted.schema.fields}
     schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in rest) + ", elements binary"
 
+    @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, elements = [], []

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import table, written
+from treeloom.llm.common import table, tidy, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -98,6 +98,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     """Pieces of every text, with each piece's number among those of its task and length."""
     schema = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in (x.split() for x in PIECES.split(", "))])
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen, first = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), True
         for batch in batches:
@@ -289,6 +290,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     bases = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = dealt.value
         for batch in batches:

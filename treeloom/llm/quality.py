@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import fresh, table
+from treeloom.llm.common import fresh, table, tidy
 
 #: Characters counted as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
@@ -121,12 +121,13 @@ def text_signals(text: bytes, bands: Bands, compress) -> dict:
 def quality_signals(text: Column, bands: Bands = Bands()) -> Column:
     """A struct of word counts, compression ratios and the verdict ``kept``."""
 
+    @tidy
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=bands.level).compress
         for batch in batches:
-            raw = batch.cast(pa.binary()).to_pylist()
+            raw = (t.as_py() for t in batch.cast(pa.binary()))  # one text at a time
             yield pa.array([text_signals(t or b"", bands, compress) for t in raw], ARROW_SIGNALS)
 
     return F.arrow_udf(judge, SIGNAL_TYPE)(text.cast("string"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import table
+from treeloom.llm.common import table, tidy
 from treeloom.llm.langid import held_out, mixed
 
 PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -341,6 +341,7 @@ def train(samples: list[tuple[list[list[bytes]], int]], s: Shape = Shape()) -> T
 def drawn_windows(text: Column, s: Shape) -> Column:
     """At most ``max_windows`` windows of words, spread over the whole text."""
 
+    @tidy
     def draw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
@@ -369,6 +370,7 @@ def toxicity(text: Column, model: Toxicity, spark: SparkSession) -> Column:
     """The score of a whole text, from 0 to 1."""
     shared = spark.sparkContext.broadcast(model)  # the network's weights, bounded by its shape
 
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import looked_up, scratch, table, written
+from treeloom.llm.common import looked_up, scratch, table, tidy, written
 from treeloom.llm.files import Appender, Ranges, again
 
 #: Default ports, which keys leave out.
@@ -126,6 +126,7 @@ CAPTURES = "key string, page_id long, file string, offset long, length long"
 def write_records(rows: DataFrame, folder: str, date: str, file_bytes: int) -> DataFrame:
     """Writes the records of :func:`with_firsts`; returns where each one lies."""
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, out = [x.split()[0] for x in CAPTURES.split(", ")], None
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -153,6 +154,7 @@ PARTS = "first string, blocks string, directory string, captures long"
 def write_index(captures: DataFrame, folder: str, block_lines: int) -> DataFrame:
     """Blocks and a directory file for each sorted partition; one row for each part."""
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, entries, lines, first_line, n = None, [], [], None, 0
 
@@ -241,6 +243,7 @@ class CaptureIndex:
                 made = [sort_key(u, p) for p, u in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["key"])
 
+        @tidy
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Searcher(parts.value)
             for batch in batches:
@@ -262,6 +265,7 @@ def read_records(places: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) ->
     A response's digest is computed from the payload that was read.
     """
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, names = Ranges(), [x.split()[0] for x in RECORDS.split(", ")]
         kinds = [pa.string() if x.endswith("string") else pa.int64() for x in RECORDS.split(", ")]
