@@ -300,6 +300,38 @@ class Toxicity:
         return sigmoid(best)
 
 
+def summed_by(where: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows that go to each of ``n`` places."""
+    return np.stack([np.bincount(where, rows[:, k], n) for k in range(rows.shape[1])], 1)
+
+
+def segment_sums(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each of ``n`` owners, whose rows lie together; every owner has some."""
+    return np.add.reduceat(rows, np.searchsorted(owner, np.arange(n)), axis=0)
+
+
+class Vocabulary:
+    """Words by number, with their buckets computed once."""
+
+    def __init__(self, words: list[bytes], s: Shape) -> None:
+        self.number = dict(zip(words, range(len(words)), strict=True))
+        self.whole, grams, owner = buckets(words, s)
+        order = np.argsort(owner, kind="stable")
+        self.grams = grams[order]
+        self.size = np.bincount(owner, minlength=len(words))  # a word and its marks have an n-gram at least
+        self.begin = np.cumsum(self.size) - self.size
+
+    def numbers(self, window: list[bytes]) -> np.ndarray:
+        return np.array([self.number[w] for w in window])
+
+    def grams_of(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of words, the place of each one's word, and how many each word has."""
+        size = self.size[known]
+        owner = np.repeat(np.arange(len(known)), size)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        return self.grams[np.repeat(self.begin[known], size) + inside], owner, size
+
+
 def train(samples: list[tuple[list[list[bytes]], int]], s: Shape = Shape()) -> Toxicity:
     """A model from (windows of words, label) samples."""
     samples = [(w, y) for w, y in samples if any(w)]
@@ -308,33 +340,32 @@ def train(samples: list[tuple[list[list[bytes]], int]], s: Shape = Shape()) -> T
         return Toxicity(s, None, prior)
     net, rng = Network(s), np.random.default_rng(s.seed)
     net.w["out_bias"][0] = np.log(prior / (1 - prior))
+    vocabulary = Vocabulary(sorted({w for ws, _ in samples for window in ws for w in window}), s)
+    numbered = [([vocabulary.numbers(w) for w in ws if w], y) for ws, y in samples]
     adam, steps = Adam(net.w, s.rate), s.epochs * -(-len(samples) // s.batch)
     for _ in range(s.epochs):
-        order = rng.permutation(len(samples))
+        order = rng.permutation(len(numbered))
         for at in range(0, len(order), s.batch):
-            part = [samples[i] for i in order[at : at + s.batch]]
-            windows = [w for ws, _ in part for w in ws if w]
-            doc = np.repeat(np.arange(len(part)), [sum(1 for w in ws if w) for ws, _ in part])
-            y = np.array([y for _, y in part])
-            known = list(dict.fromkeys(w for ws in windows for w in ws))
-            number = dict(zip(known, range(len(known)), strict=True))
+            part = [numbered[i] for i in order[at : at + s.batch]]
+            windows = [w for ws, _ in part for w in ws]
+            doc, y = np.repeat(np.arange(len(part)), [len(ws) for ws, _ in part]), np.array([y for _, y in part])
             ids, mask = np.zeros((s.window, len(windows)), np.int64), np.zeros((s.window, len(windows)), bool)
-            for k, ws in enumerate(windows):
-                ids[: len(ws), k], mask[: len(ws), k] = [number[w] for w in ws], True
-            table_ = net.inputs(known)
-            _, g, dx = net.gradients(table_[ids] * mask[:, :, None], mask, lambda z, d=doc, y=y: smoothed_max_loss(z, d, y, s.sharpness))
+            for k, w in enumerate(windows):
+                ids[: len(w), k], mask[: len(w), k] = w, True
+            known, place = np.unique(ids[mask], return_inverse=True)
+            grams, owner, count = vocabulary.grams_of(known)
+            vectors = np.concatenate([net.w["words"][vocabulary.whole[known]], segment_sums(net.w["grams"][grams], owner, len(known)) / count[:, None]], 1)
+            x = np.zeros((*mask.shape, vectors.shape[1]), np.float32)
+            x[mask] = vectors[place]
+            _, g, dx = net.gradients(x, mask, lambda z, d=doc, y=y: smoothed_max_loss(z, d, y, s.sharpness))
             adam.t += 1
             share = 1 - adam.t / (steps + 1)
             for name, grad in g.items():
                 adam.step(net.w, name, grad, share=share)
-            flat, dflat = ids[mask], dx[mask]
-            dwords = np.stack([np.bincount(flat, dflat[:, k], len(known)) for k in range(dflat.shape[1])], 1)
-            whole, grams, owner = buckets(known, s)
-            count = np.maximum(np.bincount(owner, minlength=len(known)), 1)
-            for name, rows, grad in (("words", whole, dwords[:, : s.word_dim]), ("grams", grams, (dwords[:, s.word_dim :] / count[:, None])[owner])):
+            dwords = summed_by(place, dx[mask], len(known))
+            for name, rows, grad in (("words", vocabulary.whole[known], dwords[:, : s.word_dim]), ("grams", grams, (dwords[:, s.word_dim :] / count[:, None])[owner])):
                 used, where = np.unique(rows, return_inverse=True)
-                summed = np.stack([np.bincount(where, grad[:, k], len(used)) for k in range(grad.shape[1])], 1)
-                adam.step(net.w, name, summed, used, share)
+                adam.step(net.w, name, summed_by(where, grad, len(used)), used, share)
     return Toxicity(s, net, prior)
 
 
