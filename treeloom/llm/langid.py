@@ -237,7 +237,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     texts are read then.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))  # a null text draws no words
     least = rows.select(order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(s.max_documents)
     bound = least.agg(F.max("h")).first()[0]
     drawn = rows.where(order <= F.lit(bound)).limit(s.max_documents) if bound is not None else rows.limit(0)
