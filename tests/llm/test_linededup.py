@@ -7,7 +7,7 @@ import pytest
 
 from treeloom.llm.common import scratch
 from treeloom.llm.cuckoo import CuckooFilter, Full
-from treeloom.llm.linededup import LineIndex, deduplicated, index_of
+from treeloom.llm.linededup import LineIndex, dedup_lines, deduplicated, index_of
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -72,6 +72,13 @@ def test_other_columns_pass_through(spark):
     assert {(r["doc_id"], r["cut_id"], r["cut_"]["text"]) for r in cut.collect()} == {(1, "a", LONG), (2, "b", "")}
 
 
+def test_whole_documents_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, LONG, 0, "a"), (2, f"{LONG}\nown", 0, "b"), (3, None, None, "c")], "doc_id long, text string, n_chars long, cut_ string")
+    out = dedup_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, LONG, len(LONG), "a"), (2, "own", 3, "b"), (3, None, None, "c")]
+
+
 def test_a_hot_line(spark):
     rows = [(i, f"{LONG}\nline number {i} of its own") for i in range(3000)]
     assert run(spark, rows) == plain(rows)

@@ -258,11 +258,11 @@ def without(text: Column, keys: Column, with_text: bool) -> Column:
 
 
 def deduplicated(docs: DataFrame, drops: DataFrame, with_text: bool = True) -> DataFrame:
-    """``docs`` with a struct column ``cut_``: n_lines, n_dropped, kept_sha256, text."""
+    """``docs`` with a struct column ``cut_`` (or the next free name): n_lines, n_dropped, kept_sha256, text."""
     key, keys = fresh("cut_id", docs), fresh("cut_keys", docs)
     lost = drops.select(F.col("doc_id").alias(key), F.col("keys").alias(keys))
     joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
-    return joined.withColumn("cut_", without(F.col("text"), F.col(keys), with_text)).drop(key, keys)
+    return joined.withColumn(fresh("cut_", docs), without(F.col("text"), F.col(keys), with_text)).drop(key, keys)
 
 
 def index_of(docs: DataFrame) -> LineIndex:
@@ -296,6 +296,6 @@ FROM marked GROUP BY doc_id
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lost lines taken out of ``text``; ``n_chars``, where there is one, is counted anew."""
     cut = deduplicated(docs, index_of(docs.select("doc_id", "text")).drops())
-    text = F.col("cut_.text")
+    text = F.col(fresh("cut_", docs))["text"]
     new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

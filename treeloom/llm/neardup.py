@@ -492,14 +492,13 @@ def jaccard_classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 def one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """The rows of ``docs`` that are the first of their class: smallest doc_id, and one of its repeats."""
     _, sets = classes(docs.select("doc_id", "text"), plan)
-    names = [fresh(f"first_{n}", docs) for n in ("null", "id", "hash", "nth")]
-    null, id_, hash_, nth = names
-    firsts = sets.select(F.col("first.doc_id").isNull().alias(f"_{null}"), F.coalesce("first.doc_id", F.lit(0)).alias(f"_{id_}"), F.col("first.text_hash").alias(f"_{hash_}"), "component").distinct()
-    firsts = firsts.drop("component").groupBy(f"_{null}", f"_{id_}", f"_{hash_}").agg(F.count(F.lit(1)).alias(f"_{nth}"))
+    null, id_, hash_, nth, b_null, b_id, b_hash, n = (fresh(f"first_{x}", docs) for x in ("null", "id", "hash", "nth", "null_b", "id_b", "hash_b", "n"))
     key = F.col("doc_id").cast("long")
+    picked = sets.select(F.col("first.doc_id").isNull().alias(b_null), F.coalesce("first.doc_id", F.lit(0)).alias(b_id), F.col("first.text_hash").alias(b_hash))
+    firsts = picked.groupBy(b_null, b_id, b_hash).agg(F.count(F.lit(1)).alias(n))
     keyed = docs.withColumns({null: key.isNull(), id_: F.coalesce(key, F.lit(0)), hash_: F.xxhash64(F.col("text").cast("string"))})
-    on = (F.col(null) == F.col(f"_{null}")) & (F.col(id_) == F.col(f"_{id_}")) & (F.col(hash_) == F.col(f"_{hash_}"))
-    order = Window.partitionBy(null, id_, hash_).orderBy(F.lit(0))
+    on = (F.col(null) == F.col(b_null)) & (F.col(id_) == F.col(b_id)) & (F.col(hash_) == F.col(b_hash))
+    order = Window.partitionBy(null, id_, hash_).orderBy(F.lit(0))  # rows that repeat one document
     joined = keyed.join(firsts, on).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     return joined.select(*[f"`{c}`" for c in docs.columns])
 
