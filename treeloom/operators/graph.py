@@ -1,7 +1,7 @@
 """Recursive operators over edges: ancestors, topological depth, reachability.
 
-They go level by level, each level a join with the edges. Results are written
-down by the caller's choice of checkpoint; the number of levels is bounded.
+They go level by level, each level a join with the edges, and keep each level
+so that the next doesn't compute it again. The number of levels is bounded.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def ancestors(processes: DataFrame, id_: str, parent: str, starts: DataFrame, le
     front = starts.select("start", F.col("start").alias("id"), F.lit(0).cast("long").alias("steps"))
     out = front
     for _ in range(levels):
-        front = front.join(edges, front["id"] == edges["__c"]).where("__p > 1").select("start", F.col("__p").alias("id"), (F.col("steps") + 1).alias("steps"))
+        front = front.join(edges, front["id"] == edges["__c"]).where("__p > 1").select("start", F.col("__p").alias("id"), (F.col("steps") + 1).alias("steps")).persist()
         if front.isEmpty():
             break
         out = out.unionByName(front)
@@ -54,12 +54,12 @@ def depths(items: DataFrame, edges: DataFrame, levels: int = MAX_LEVELS) -> Data
     is a circle or a path longer than ``levels``.
     """
     known = items.select("item").distinct()
-    live = edges.where("item <> needs").join(known, "item", "left_semi").join(known.select(F.col("item").alias("needs")), "needs", "left_semi").distinct()
+    live = edges.where("item <> needs").join(known, "item", "left_semi").join(known.select(F.col("item").alias("needs")), "needs", "left_semi").distinct().persist()
     front = known.select("item", F.lit(0).cast("long").alias("depth"))
     out = front
     for _ in range(levels):
         front = live.join(front.select(F.col("item").alias("needs"), "depth"), "needs").groupBy("item").agg((F.max("depth") + 1).alias("depth"))
-        front = front.select("item", "depth")
+        front = front.select("item", "depth").persist()
         if front.isEmpty():
             return out.groupBy("item").agg(F.max("depth").alias("depth"))
         out = out.unionByName(front)
@@ -85,7 +85,7 @@ def reachable(parents: DataFrame, starts: DataFrame, levels: int = 5000) -> Data
             break
         count, reach = now, reach * 2
         step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        known = known.unionByName(step).distinct()
+        known = known.unionByName(step).distinct().persist()
     return starts.select("start", F.col("start").alias("hash")).unionByName(starts.join(known, F.col("start") == F.col("a")).select("start", F.col("b").alias("hash"))).distinct()
 
 
