@@ -72,21 +72,23 @@ def item_edges(items: DataFrame) -> DataFrame:
     return items.select("item", F.explode("deps").alias("key")).join(owner, "key").select("item", "needs").distinct()
 
 
-def reachable(parents: DataFrame, starts: DataFrame, levels: int = 5000) -> DataFrame:
+def reachable(parents: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, hash): commits that each start (start) descends from, itself included. ``parents`` has (hash, parent).
 
-    The known pairs are squared, so a history of n commits takes log2(n) joins.
+    In each round the ways of one length are joined with themselves, so a
+    history of depth d takes log2(d) rounds, and a straight one never has more
+    rows than commits. When a round finds nothing new, nothing lies further.
     """
-    edges = parents.where(F.col("parent").isNotNull()).select(F.col("hash").alias("a"), F.col("parent").alias("b")).distinct()
-    known, reach, count = edges, 1, -1
-    while reach < levels:
-        now = known.count()
-        if now == count:
-            break
-        count, reach = now, reach * 2
-        step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        known = known.unionByName(step).distinct().persist()
-    return starts.select("start", F.col("start").alias("hash")).unionByName(starts.join(known, F.col("start") == F.col("a")).select("start", F.col("b").alias("hash"))).distinct()
+    ways = parents.where(F.col("parent").isNotNull()).select(F.col("hash").alias("a"), F.col("parent").alias("b")).distinct().persist()
+    known = starts.select("start", F.col("start").alias("hash")).distinct().persist()
+    count = known.count()
+    while True:
+        further = known.join(ways, known["hash"] == ways["a"]).select("start", F.col("b").alias("hash"))
+        known = known.unionByName(further).distinct().persist()
+        before, count = count, known.count()
+        if count == before:
+            return known
+        ways = ways.select("a", F.col("b").alias("m")).join(ways.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct().persist()
 
 
 def ahead_behind(parents: DataFrame, local: str, upstream: str) -> DataFrame:
