@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from treeloom.functions import python_text, text
+from treeloom.functions import python_text
 from treeloom.operators import aggregates, caches, edges, edits, graph, sections, todos
 from treeloom.plans.registry import query, read
 
