@@ -315,10 +315,14 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], s: Shape) -> None:
         self.number = dict(zip(words, range(len(words)), strict=True))
-        self.whole, grams, owner = buckets(words, s)
-        order = np.argsort(owner, kind="stable")
-        self.grams = grams[order]
-        self.size = np.bincount(owner, minlength=len(words))  # a word and its marks have an n-gram at least
+        whole, grams, sizes = [], [], []
+        for at in range(0, len(words), 10_000):  # in parts: all n-grams at once would take much memory
+            part = words[at : at + 10_000]
+            w, g, owner = buckets(part, s)
+            whole.append(w.astype(np.int32))
+            grams.append(g[np.argsort(owner, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(owner, minlength=len(part)))  # a word and its marks have an n-gram at least
+        self.whole, self.grams, self.size = np.concatenate(whole), np.concatenate(grams), np.concatenate(sizes)
         self.begin = np.cumsum(self.size) - self.size
 
     def numbers(self, window: list[bytes]) -> np.ndarray:
