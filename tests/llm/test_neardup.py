@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from treeloom.llm.neardup import Plan, components, jaccard_classes, one_of_each, shingles
+from treeloom.llm.neardup import COORDINATES, Plan, components, jaccard_classes, loose_edges, one_of_each, shingles
 
 
 def plain(rows):
@@ -92,6 +92,23 @@ def test_runs_reach_the_recall():
     assert 1 - np.exp(-1.0) ** Plan().runs >= Plan().recall
 
 
+def test_pairs_in_split_buckets_meet(spark):
+    """Pairs whose buckets are split at every depth, and which no third set connects."""
+    rng, n = np.random.default_rng(4), 300
+    first = rng.integers(0, 3, (n, COORDINATES)).astype(np.uint32)  # three tokens a coordinate: buckets of many
+    second = first.copy()
+    for row in second:
+        row[rng.choice(COORDINATES, COORDINATES - 51, replace=False)] += 3
+    sets = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate([*first, *second])], "set long, tokens binary")
+    found = {frozenset(e) for e in loose_edges(sets, Plan(bucket_limit=2)).collect()}
+    assert sum(frozenset((i, n + i)) not in found for i in range(n)) <= 1
+
+
+def test_split_runs_reach_the_recall():
+    plan = Plan()
+    assert all(plan.missed(plan.split_runs, d) + plan.missed(plan.runs, 1) <= 1 - plan.recall for d in range(2, plan.max_depth + 1))
+
+
 def test_one_of_each(spark):
     rows = corpus(2)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, first_id string")

@@ -15,8 +15,9 @@ links connect it with, and how many documents it is linked with.
     over ``bucket_limit`` are split again by freshly chosen tokens; small ones
     are compared by brute force on the tokens. What still is too large at the
     greatest depth is compared in blocks, so that no bucket is capped. A pair at
-    the threshold meets in one run with a chance of 0.63 at the first depth;
-    runs are repeated until the chance of meeting reaches ``recall``.
+    the threshold meets in one run with a chance of 0.63 at the first depth and
+    0.23 at the sixth; runs are repeated until the chance of meeting reaches
+    ``recall``, and more often for sets that were in a bucket that was split.
 3.  Buckets don't give pairs but a spanning forest of what looks alike by a
     margin; its connected components are loose groups, supersets of classes.
 4.  Inside each loose group all sets are compared exactly, groups over a size in
@@ -69,6 +70,30 @@ class Plan:
         missed = math.exp(-1.0)  # no common token chosen, each with 1 / (threshold * tokens)
         return math.ceil(math.log(1 - self.recall) / math.log(missed))
 
+    def missed(self, runs: int, depth: int) -> float:
+        """The chance that a pair at the threshold doesn't meet in ``runs`` runs, all its buckets split down to ``depth``."""
+        out, p = 0.0, 1 / (self.threshold * COORDINATES)
+        for common in range(COORDINATES + 1):  # equal tokens, the same ones in all runs
+            lost = 0.0
+            for _ in range(depth):
+                lost = (1 - p * (1 - lost)) ** common
+            out += math.comb(COORDINATES, common) * self.threshold**common * (1 - self.threshold) ** (COORDINATES - common) * lost**runs
+        return out
+
+    @property
+    def split_runs(self) -> int:
+        """Runs of the sets that were in a split bucket, until a pair has met with the wanted chance at any depth.
+
+        A pair is missed if the first ``runs`` runs choose none of its common
+        tokens, so that it isn't seen whether their buckets are split, or if it
+        is lost in all runs; both chances together must not exceed the wanted one.
+        """
+        left = max(1 - self.recall - self.missed(self.runs, 1), (1 - self.recall) / 10)
+        runs = self.runs
+        while self.max_depth > 1 and self.missed(runs, self.max_depth) > left:
+            runs += 1
+        return runs
+
 
 # --- sets and their embedding ---
 
@@ -177,14 +202,14 @@ def node_batch(nodes: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(join(nodes, np.int64)), pa.array(join(sets, np.int64))], names=["node", "set"])
 
 
-def roots(sets: DataFrame, plan: Plan) -> DataFrame:
-    """The buckets of the first depth, for all runs."""
+def roots(sets: DataFrame, plan: Plan, runs: range) -> DataFrame:
+    """The buckets of the first depth, for all ``runs``."""
 
     @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found, nodes, owners = np.asarray(batch.column(0)), token_matrix(batch.column(1)), [], []
-            for run in range(plan.runs if len(ids) else 0):
+            for run in runs if len(ids) else ():
                 root = np.full(len(ids), run + (plan.seed << 20), np.uint64)
                 rows, child = chosen(mix64(root), found, plan)
                 nodes.append(child)
@@ -317,9 +342,9 @@ def edge_batch(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(join(us), pa.int64()), pa.array(join(vs), pa.int64())], names=["u", "v"])
 
 
-def loose_edges(sets: DataFrame, plan: Plan) -> DataFrame:
-    """Edges between sets that meet in a bucket of any depth and look alike."""
-    rows, out = written(roots(sets, plan), "nodes"), None
+def met(sets: DataFrame, all_sets: DataFrame, plan: Plan, runs: range) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, split): what meets in ``runs`` and looks alike, and the sets that were in a split bucket, if any."""
+    rows, out, split = written(roots(sets, plan, runs), "nodes"), None, None
     for depth in range(1, plan.max_depth + 1):
         sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
         large = sizes.where(F.col("n") > plan.bucket_limit)
@@ -330,11 +355,23 @@ def loose_edges(sets: DataFrame, plan: Plan) -> DataFrame:
             rest = in_blocks(rows.join(large, "node", "left_semi"), "node", blocks)
             small = small.unionByName(rest.select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "set"))
             n_large = 0
-        edges = written(compare_tokens(small, sets, plan), "loose").dropDuplicates(["u", "v"])
+        edges = written(compare_tokens(small, all_sets, plan), "loose").dropDuplicates(["u", "v"])
         out = edges if out is None else out.unionByName(edges)
         if not n_large:
             break
-        rows = written(deeper(rows.join(large, "node", "left_semi"), sets, plan), "nodes")
+        rows = rows.join(large, "node", "left_semi")
+        if depth == 1:
+            split = rows.select("set").distinct()
+        rows = written(deeper(rows, all_sets, plan), "nodes")
+    return out, split
+
+
+def loose_edges(sets: DataFrame, plan: Plan) -> DataFrame:
+    """Edges between sets that meet in a bucket of any depth and look alike."""
+    out, split = met(sets, sets, plan, range(plan.runs))
+    if split is not None and plan.split_runs > plan.runs:
+        again = sets.join(written(split, "split"), "set", "left_semi")
+        out = out.unionByName(met(again, sets, plan, range(plan.runs, plan.split_runs))[0])
     return written(out.dropDuplicates(["u", "v"]), "loose-edges")
 
 
