@@ -64,6 +64,13 @@ def test_empty_table(spark):
     assert read_records(index.locate(pages)).collect() == []
 
 
+def test_tab_in_a_url_without_host(spark):
+    pages = spark.createDataFrame([(1, "a\tb", "x"), (2, "a", "y"), (3, "a\tb\nc", "z"), (None, "\t", "w")], "page_id long, url string, html string")
+    index = archive(pages, scratch(spark, "warc"))
+    assert index.captures == 4
+    assert sorted(r["url"] for r in read_records(index.locate(pages)).collect()) == ["\t", "a", "a\tb", "a\tb%0Ac"]
+
+
 def test_surt():
     assert surt("HTTP://www.Example.com:80/a?b#c") == "com,example,www)/a?b"
     assert surt("https://example.com") == "com,example)/"

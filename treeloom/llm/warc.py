@@ -60,7 +60,7 @@ def surt(url: str | None) -> str:
 
 def sort_key(url: str | None, page_id: int | None) -> str:
     """One text that sorts by key, then by id."""
-    return f"{surt(url)} {LAST if page_id is None else page_id + LAST // 2:020d}".replace("\n", "%0A")
+    return f"{surt(url)} {LAST if page_id is None else page_id + LAST // 2:020d}".replace("\n", "%0A").replace("\t", "%09")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -226,13 +226,13 @@ class Searcher:
 class CaptureIndex:
     """An index in the shared folder, and lookups by URL and page id."""
 
-    def __init__(self, spark: SparkSession, parts: list[tuple[str, str, str]]) -> None:
-        self.spark, self.parts = spark, parts
+    def __init__(self, spark: SparkSession, parts: list[tuple[str, str, str]], captures: int = 0) -> None:
+        self.spark, self.parts, self.captures = spark, parts, captures
 
     @classmethod
     def build(cls, captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> CaptureIndex:
         rows = written(write_index(captures, folder, block_lines), "parts").orderBy("first").collect()  # one row for each partition
-        return cls(captures.sparkSession, [(r["first"], r["blocks"], r["directory"]) for r in rows])
+        return cls(captures.sparkSession, [(r["first"], r["blocks"], r["directory"]) for r in rows], sum(r["captures"] for r in rows))
 
     def locate(self, wanted: DataFrame) -> DataFrame:
         """(file, offset, length) of the captures of ``wanted`` (page_id, url), each record once."""
@@ -315,5 +315,8 @@ def archive(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", f
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     index = archive(pages, scratch(spark, "warc"))
-    read = read_records(index.locate(pages))
+    places = written(index.locate(pages), "places")
+    if (found := places.count()) != index.captures:
+        raise ValueError(f"{index.captures} records were written, {found} are found")
+    read = read_records(places)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
