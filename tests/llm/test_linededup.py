@@ -7,7 +7,7 @@ import pytest
 
 from treeloom.llm.common import scratch
 from treeloom.llm.cuckoo import CuckooFilter, Full
-from treeloom.llm.linededup import LineIndex, dedup_lines, deduplicated, index_of
+from treeloom.llm.linededup import LineIndex, dedup_lines, deduplicated, index_of, python_digest
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -118,6 +118,69 @@ def test_batches_and_deletions_can_be_taken_back(spark):
     assert state(index) == before
 
 
+FIRST, TWIN = "a line that is unique 0", "another repeated line 888681"  # keys with equal prints and buckets
+
+
+@pytest.mark.parametrize("order", [[1], [2, 3]])
+def test_falsely_known_keys(spark, order):
+    """A key that a filter only seems to know, and that its batch repeats, keeps its own print."""
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = LineIndex(spark, scratch(spark, "t"), keys_per_shard=1_000_000)
+    index.insert(frame((1, FIRST)))
+    index.shards = 1
+    index._rebuild(None)
+    kept = CuckooFilter.from_bytes(bytes(index.filters().first()["filter"]))
+    assert kept.contains([python_digest(TWIN.encode())]).all()  # the two do collide
+    index.insert(frame((2, TWIN), (3, TWIN)))
+    index.delete(frame(*((i, "") for i in order)).select("doc_id"))
+    filters = CuckooFilter.from_bytes(bytes(index.filters().first()["filter"]))
+    assert len(filters) == 1 and filters.contains([python_digest((TWIN if order == [1] else FIRST).encode())]).all()
+    index.insert(frame((4, TWIN), (5, FIRST)))
+    refs = {bytes(r["key"]): (r["refs"], r["keeper"]) for r in index.refs().collect()}
+    assert refs == ({python_digest(TWIN.encode()): (3, 2)} if order == [1] else {python_digest(FIRST.encode()): (2, 1)})
+
+
+def test_shards_grow_with_the_index(spark):
+    frame = lambda ids: spark.createDataFrame([(i, f"own line number {i}\nshared line number {i % 5}") for i in ids], "doc_id long, text string")
+    index = LineIndex(spark, scratch(spark, "t"), keys_per_shard=10)
+    index.insert(frame(range(40)))
+    assert index.shards == 8
+    index.insert(frame(range(40, 400)), batches=2)
+    assert index.shards > 16 and index.filters().agg({"prints": "max"}).first()[0] < 40
+    whole = LineIndex(spark, scratch(spark, "t"))
+    whole.insert(frame(range(400)))
+    assert state(index) == state(whole)
+    index.delete(frame(range(40, 400)).select("doc_id"))
+    few = LineIndex(spark, scratch(spark, "t"))
+    few.insert(frame(range(40)))
+    assert state(index) == state(few)
+
+
+def test_held_ids_cannot_come_again(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = LineIndex(spark, scratch(spark, "t"))
+    index.insert(frame((1, LONG), (None, LONG)))
+    for again in (1, None):
+        with pytest.raises(ValueError, match="already holds"):
+            index.insert(frame((again, "a line of its own")))
+    index.delete(frame((None, "")).select("doc_id"))
+    before = state(index)
+    assert [i for _, i in before[0]] == [1] and before[1] == []
+    index.delete(frame((7, "")).select("doc_id"))  # not held: nothing changes
+    assert state(index) == before
+    index.delete(frame((1, "")).select("doc_id"))
+    assert state(index) == ([], [])
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_any_number_of_batches(spark, batches):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    index = LineIndex(spark, scratch(spark, "t"), keys_per_shard=2)
+    index.insert(docs, batches)
+    got = deduplicated(docs, index.drops()).select("doc_id", "cut_.n_lines", "cut_.n_dropped", "cut_.kept_sha256").collect()
+    assert sorted(map(tuple, got), key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == plain(ROWS)
+
+
 def test_filter():
     rng = np.random.default_rng(1)
     keys = [bytes(k) for k in rng.integers(0, 256, (4000, 16), dtype=np.uint8)]

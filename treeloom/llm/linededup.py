@@ -10,23 +10,29 @@ The index has three tables in the shared folder, each a list of versions:
     (key, doc_id), once for each document that holds the key; what makes
     deletions exact.
 ``filters``
-    a cuckoo filter for each shard of the key space, holding every key that
-    some live document has. Most keys have one holder; the filter is all that
-    is asked about them.
+    a cuckoo filter for each shard of the key space, holding one print for
+    every key that some live document has. Most keys have one holder; the
+    filter is all that is asked about them.
 ``refs``
     exact reference counts, with the keeper, of keys that reached two holders.
     A later version of a key replaces the earlier.
 
 Inserting groups a batch by key, asks the shards' filters which keys may be
 known, counts exactly only those and the ones the batch itself repeats, and
-adds the new keys to the filters. Deleting recounts the keys of the deleted
-documents, takes keys without holders out of the filters and names new keepers.
-Shards hold distinct keys, so a line that every document has is one row there.
+adds the new keys to the filters. A key that a filter only seemed to know gets
+its own print once the exact count has shown that nobody held it. Deleting
+recounts the keys of the deleted documents, takes keys without holders out of
+the filters and names new keepers. Shards hold distinct keys, so a line that
+every document has is one row there; when the shards hold twice as many keys as
+they should, all are made anew from the postings, in greater number. The query
+and the pipeline insert their documents in ``BATCHES`` batches, so that the
+filters decide which keys of the later ones are counted against the earlier.
 
 Defined results for odd input: a null or empty text is one empty line; very
 long texts are split whole; rows with the same doc_id are one document; a null
 doc_id is one document that comes after all others; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through. Inserting an id that the index holds is
+an error, and deleting one that it doesn't hold changes nothing.
 """
 
 from __future__ import annotations
@@ -44,6 +50,8 @@ from treeloom.llm.common import SPACE, fresh, looked_up, scratch, table, tidy
 from treeloom.llm.cuckoo import CuckooFilter, Full
 
 MIN_CODE_POINTS = 10
+#: Insertions that the query and the pipeline deal their documents into.
+BATCHES = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -70,7 +78,15 @@ def postings_of(docs: DataFrame, least: int = MIN_CODE_POINTS) -> DataFrame:
     return exploded.select(key_digest(F.col("line")).alias("key"), "doc_id").dropDuplicates(["key", "doc_id"])
 
 
-CHANGES = "key binary, shard int, refs long, keeper long, filter binary"
+CHANGES = "key binary, shard int, refs long, keeper long, known boolean, filter binary, prints long"
+POSTINGS = "key binary, doc_id long, version int"
+REFS = "key binary, refs long, keeper long, version int"
+FILTERS = "shard int, filter binary, prints long"
+
+
+def stored(shard: int, kept: CuckooFilter | None, prints: int) -> pd.DataFrame:
+    """A row of the filters; without a filter if it must be rebuilt."""
+    return pd.DataFrame({"shard": [np.int32(shard)], "filter": [kept.to_bytes() if kept is not None else None], "prints": [prints]})
 
 
 def in_shard(shard: tuple, keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -82,15 +98,16 @@ def in_shard(shard: tuple, keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFr
     digests = [bytes(k) for k in keys["key"]]
     known = kept.contains(digests)
     new = [k for k, old in zip(digests, known, strict=True) if not old]
+    prints = len(kept) + len(new)
     try:
         kept.insert(new)
-        blob = kept.to_bytes()
     except Full:
-        blob = None  # to be rebuilt from the exact tables
-    exact = keys[known | (keys["refs"].to_numpy() > 1)]
-    rows = pd.DataFrame({"key": exact["key"], "shard": np.int32(shard[0]), "refs": exact["refs"], "keeper": exact["keeper"].astype("Int64"), "filter": None})
-    last = pd.DataFrame({"key": [None], "shard": [np.int32(shard[0])], "refs": [0], "keeper": pd.array([None], "Int64"), "filter": [blob]})
-    return pd.concat([rows, last], ignore_index=True)
+        kept = None  # to be rebuilt from the exact tables
+    counted = known | (keys["refs"].to_numpy() > 1)
+    exact = keys[counted]
+    rows = pd.DataFrame({"key": exact["key"], "shard": np.int32(shard[0]), "refs": exact["refs"], "keeper": exact["keeper"].astype("Int64"), "known": known[counted], "filter": None, "prints": pd.array([None] * len(exact), "Int64")})
+    last = stored(shard[0], kept, prints).assign(key=None, refs=0, keeper=pd.array([None], "Int64"), known=False)
+    return pd.concat([rows, last[rows.columns]], ignore_index=True)
 
 
 class LineIndex:
@@ -98,14 +115,15 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str, keys_per_shard: int = 250_000, least: int = MIN_CODE_POINTS) -> None:
         self.spark, self.path, self.keys_per_shard, self.least = spark, path, keys_per_shard, least
-        self.shards, self.version = 0, 0
+        self.shards, self.version, self.files = 0, 0, 0
         self.postings_paths: list[str] = []
         self.refs_paths: list[str] = []
         self.filters_path: str | None = None
         self.dead_paths: list[str] = []
 
     def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.path}/{name}/v{self.version}"
+        self.files += 1
+        path = f"{self.path}/{name}/v{self.version}-{self.files}"
         df.write.parquet(path)
         return path
 
@@ -117,78 +135,103 @@ class LineIndex:
 
     def postings(self) -> DataFrame:
         """(key, doc_id) of live documents."""
-        rows = self._read(self.postings_paths, "key binary, doc_id long, version int")
+        rows = self._read(self.postings_paths, POSTINGS)
         if not self.dead_paths:
             return rows.select("key", "doc_id")
         dead = self._read(self.dead_paths, "dead_id long, until int").groupBy("dead_id").agg(F.max("until").alias("until"))
         alive = rows.join(dead, F.col("doc_id").eqNullSafe(F.col("dead_id")) & (F.col("version") <= F.col("until")), "left_anti")
         return alive.select("key", "doc_id")
 
+    def holders(self) -> DataFrame:
+        """(key, held, first): how many live documents hold each key, and the first of them.
+
+        Tasks count before they shuffle, so a line that every document has is a few rows.
+        """
+        return self.postings().groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("first"))
+
     def refs(self) -> DataFrame:
         """(key, refs, keeper) of keys that at least two live documents hold."""
-        rows = self._read(self.refs_paths, "key binary, refs long, keeper long, version int")
+        rows = self._read(self.refs_paths, REFS)
         if len(self.refs_paths) > 1:
             rows = rows.groupBy("key").agg(F.max_by(F.struct("refs", "keeper"), "version").alias("r")).select("key", "r.*")
         return rows.where("refs > 1").select("key", "refs", "keeper")
 
     def filters(self) -> DataFrame:
-        return self._read([self.filters_path] if self.filters_path else [], "shard int, filter binary")
+        return self._read([self.filters_path] if self.filters_path else [], FILTERS)
+
+    def insert(self, docs: DataFrame, batches: int = 1) -> None:
+        """Adds documents (doc_id, text) whose ids the index doesn't hold yet, in as many ``batches``.
+
+        Texts are read once; a batch is the documents whose ids hash alike.
+        """
+        rows = postings_of(docs, self.least).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)).cast("int"))
+        self.files += 1
+        arrived = f"{self.path}/arrived/{self.files}"
+        rows.write.partitionBy("batch").parquet(arrived)
+        came = self.spark.read.schema("key binary, doc_id long, batch int").parquet(arrived)
+        if self.postings_paths:
+            held = self.postings().select(F.col("doc_id").alias("old")).distinct()
+            if came.select("doc_id").distinct().join(held, F.col("doc_id").eqNullSafe(F.col("old")), "left_semi").limit(1).count():
+                raise ValueError("the index already holds some of these documents; delete them first")
+        for k in range(batches):
+            self._insert(came.where(F.col("batch") == k).select("key", "doc_id"))
 
-    def insert(self, docs: DataFrame) -> None:
-        """Adds documents (doc_id, text) whose ids the index doesn't hold yet."""
+    def _insert(self, postings: DataFrame) -> None:
         self.version += 1
-        mine = self._write(postings_of(docs, self.least).withColumn("version", F.lit(self.version)), "postings")
-        fresh_rows = self._read([mine], "key binary, doc_id long, version int")
-        batch = fresh_rows.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("keeper"))
-        batch = self.spark.read.schema("key binary, refs long, keeper long").parquet(self._write(batch, "batch"))
-        if not self.shards:
-            self.shards = max(8, -(-batch.count() // self.keys_per_shard))
+        grouped = postings.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("keeper"))
+        batch = self._read([self._write(grouped, "batch")], "key binary, refs long, keeper long")
+        self._make_room(batch.count())
         asked = self._shard(batch).groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(in_shard, CHANGES)
         changes = self._read([self._write(asked, "changes")], CHANGES)
-        exact = changes.where(F.col("key").isNotNull())
-        if self.postings_paths:
-            # keys that the filters may know: count their older holders
-            old = self.postings().join(exact.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("o"), F.min("doc_id").alias("ok"))
-            exact = exact.join(old, "key", "left").select(
-                "key", (F.col("refs") + F.coalesce("o", F.lit(0))).alias("refs"), F.least("keeper", "ok").alias("keeper"), F.col("o").isNull().alias("unseen")
+        exact = changes.where(F.col("key").isNotNull()).select("key", "refs", "keeper", "known")
+        if self.postings_paths:  # keys that the filters may know: count their older holders
+            exact = exact.join(self.holders(), "key", "left").select(
+                "key", (F.col("refs") + F.coalesce("held", F.lit(0))).alias("refs"), F.least("keeper", "first").alias("keeper"), (F.col("known") & F.col("held").isNull()).alias("seeming")
             )
-            unseen = exact.where("unseen").join(batch.select("key"), "key", "left_semi")
         else:
-            exact, unseen = exact.select("key", "refs", "keeper"), None
-        refs = self._write(exact.select("key", "refs", "keeper").withColumn("version", F.lit(self.version)), "refs")
+            exact = exact.select("key", "refs", "keeper", F.lit(False).alias("seeming"))
+        counted = self._write(exact.withColumn("version", F.lit(self.version)), "refs")
+        mine = self._write(postings.withColumn("version", F.lit(self.version)), "postings")
         self.postings_paths.append(mine)
-        self.refs_paths.append(refs)
-        self._store_filters(changes, unseen, batch)
+        self.refs_paths.append(counted)
+        self._store_filters(changes, self._read([counted], REFS + ", seeming boolean").where("seeming").select("key"))
 
-    def _store_filters(self, changes: DataFrame, unseen: DataFrame | None, batch: DataFrame) -> None:
+    def _make_room(self, arriving: int) -> None:
+        """Shards for what is held and ``arriving``; more of them once they hold twice what they should."""
+        if not self.shards:
+            self.shards = max(8, -(-arriving // self.keys_per_shard))
+            return
+        held = self.filters().agg(F.coalesce(F.sum("prints"), F.lit(0))).first()[0] + arriving
+        if held > 2 * self.keys_per_shard * self.shards:
+            self.shards = -(-held // self.keys_per_shard)
+            self._rebuild(None)
+
+    def _store_filters(self, changes: DataFrame, seeming: DataFrame) -> None:
         """The shards' new filters: those of ``changes``, old ones where a shard had no key,
-        a second copy of the print for keys that only seemed known, rebuilt ones where full."""
-        made = changes.where(F.col("key").isNull()).select("shard", "filter")
+        with prints for keys that only seemed known, rebuilt ones where full."""
+        made = changes.where(F.col("key").isNull()).select("shard", "filter", "prints")
         quiet = self.filters().join(made.select("shard"), "shard", "left_anti")
         state = made.unionByName(quiet)
-        if unseen is not None:
-            seeming = self._shard(unseen.select("key").join(batch.where("refs = 1"), "key", "left_semi"))
-
-            def again(shard: tuple, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-                blob = old["filter"].iloc[0] if len(old) else None
-                if blob is not None and len(keys):
-                    kept = CuckooFilter.from_bytes(blob)
-                    try:
-                        kept.insert([bytes(k) for k in keys["key"]])
-                        blob = kept.to_bytes()
-                    except Full:
-                        blob = None
-                return pd.DataFrame({"shard": [np.int32(shard[0])], "filter": [blob]})
-
-            state = seeming.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(again, "shard int, filter binary")
-        path = self._write(state, "filters")
-        self.filters_path = path
+
+        def again(shard: tuple, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            if not len(keys) or old["filter"].iloc[0] is None:
+                return old[["shard", "filter", "prints"]]
+            kept, prints = CuckooFilter.from_bytes(old["filter"].iloc[0]), int(old["prints"].iloc[0]) + len(keys)
+            try:
+                kept.insert([bytes(k) for k in keys["key"]])
+            except Full:
+                kept = None
+            return stored(shard[0], kept, prints)
+
+        if seeming.limit(1).count():
+            state = self._shard(seeming).groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(again, FILTERS)
+        self.filters_path = self._write(state, "filters")
         full = self.filters().where(F.col("filter").isNull()).select("shard")
         if full.limit(1).count():
             self._rebuild(full)
 
-    def _rebuild(self, full: DataFrame) -> None:
-        """Twice the room for the named shards, from the postings."""
+    def _rebuild(self, full: DataFrame | None) -> None:
+        """Twice the room for the named shards (None: all) from the postings."""
 
         def build(shard: tuple, keys: pd.DataFrame) -> pd.DataFrame:
             digests, room = [bytes(k) for k in keys["key"]], 2 * len(keys)
@@ -196,33 +239,35 @@ class LineIndex:
                 kept = CuckooFilter(room)
                 try:
                     kept.insert(digests)
-                    return pd.DataFrame({"shard": [np.int32(shard[0])], "filter": [kept.to_bytes()]})
+                    return stored(shard[0], kept, len(digests))
                 except Full:
                     room *= 2
 
-        keys = self._shard(self.postings().select("key").distinct()).join(full, "shard", "left_semi")
-        state = self.filters().where(F.col("filter").isNotNull()).unionByName(keys.groupBy("shard").applyInPandas(build, "shard int, filter binary"))
+        keys = self._shard(self.postings().select("key").distinct())
+        state = (keys if full is None else keys.join(full, "shard", "left_semi")).groupBy("shard").applyInPandas(build, FILTERS)
+        if full is not None:
+            state = state.unionByName(self.filters().where(F.col("filter").isNotNull()))
         self.filters_path = self._write(state, "filters-rebuilt")
 
     def delete(self, ids: DataFrame) -> None:
         """Takes documents (doc_id) out; the index is then as if they had never come."""
         self.version += 1
         gone = ids.select(F.col("doc_id").cast("long").alias("dead_id")).distinct()
-        gone = self._read([self._write(gone.withColumn("until", F.lit(self.version)), "dead")], "dead_id long, until int")
+        dead = self._write(gone.withColumn("until", F.lit(self.version)), "dead")
+        gone = self._read([dead], "dead_id long, until int")
         touched = self.postings().join(gone, F.col("doc_id").eqNullSafe(F.col("dead_id")), "left_semi").select("key").distinct()
         touched = self._read([self._write(touched, "touched")], "key binary")
-        self.dead_paths.append(f"{self.path}/dead/v{self.version}")
-        left = self.postings().join(touched, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("keeper"))
-        now = touched.join(left, "key", "left").select("key", F.coalesce("refs", F.lit(0)).alias("refs"), "keeper")
+        self.dead_paths.append(dead)
+        now = touched.join(self.holders(), "key", "left").select("key", F.coalesce("held", F.lit(0)).alias("refs"), F.col("first").alias("keeper"))
         self.refs_paths.append(self._write(now.withColumn("version", F.lit(self.version)), "refs"))
-        gone_keys = self._shard(self._read([self.refs_paths[-1]], "key binary, refs long, keeper long, version int").where("refs = 0").select("key"))
+        gone_keys = self._shard(self._read([self.refs_paths[-1]], REFS).where("refs = 0").select("key"))
 
         def drop(shard: tuple, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             kept = CuckooFilter.from_bytes(old["filter"].iloc[0])
             kept.delete([bytes(k) for k in keys["key"]])
-            return pd.DataFrame({"shard": [np.int32(shard[0])], "filter": [kept.to_bytes()]})
+            return stored(shard[0], kept, int(old["prints"].iloc[0]) - len(keys))
 
-        self.filters_path = self._write(gone_keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(drop, "shard int, filter binary"), "filters")
+        self.filters_path = self._write(gone_keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(drop, FILTERS), "filters")
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines each document loses."""
@@ -267,7 +312,7 @@ def deduplicated(docs: DataFrame, drops: DataFrame, with_text: bool = True) -> D
 
 def index_of(docs: DataFrame) -> LineIndex:
     index = LineIndex(docs.sparkSession, scratch(docs.sparkSession, "lines"))
-    index.insert(docs)
+    index.insert(docs, BATCHES)
     return index
 
 
