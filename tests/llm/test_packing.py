@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from treeloom.llm.packing import best_fit, complete, cuts, encoder, fewest, pack, token_ids
+from treeloom.llm.packing import best_fit, checked, complete, cuts, encoder, fewest, fillings, pack, token_ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", None, "Hello world", "é ü ß 漢字 \U0001f600‍", "tabs\t\tand  spaces \n\n end ", "a<|endoftext|>b", "'s 're 123 4567", "x" * 30_000, "word " * 5000, "Hello world"]
@@ -96,3 +96,52 @@ def test_search_beats_its_incumbent():
     found = sum(n for _, n in complete(counts, 1024))
     assert found <= sum(n for _, n in best_fit(counts, 1024))
     assert found == fewest(counts, 1024)
+
+
+def offered(lengths, counts, room, waste, order="least"):
+    return [x for x in fillings(lengths, counts, room, waste, order) if x is not None]
+
+
+def test_dominated_fillings_are_not_offered():
+    assert offered([6, 4, 3], {6: 1, 4: 1, 3: 1}, 10, 10) == [(0, (6, 4))]
+    assert offered([5, 2], {5: 1, 2: 3}, 5, 5) == [(0, (5,))]  # (2, 2) wastes 1, and 5 could stand for both
+    assert offered([3, 2], {3: 0, 2: 3}, 5, 5) == [(1, (2, 2))]
+    assert offered([], {}, 5, 5) == [(5, ())]
+
+
+def all_fillings(items, room):
+    """Each multiset of ``items`` that fits, by trying all."""
+    found = {()}
+    for x in items:
+        found |= {tuple(sorted((*f, x), reverse=True)) for f in found if sum(f) + x <= room}
+    return found
+
+
+def dominates(a, b):
+    """Whether the pieces of ``b`` can be dealt into bins of the sizes of ``a``."""
+    if not b:
+        return True
+    return any(x >= b[0] and dominates(a[:i] + (x - b[0],) + a[i + 1 :], b[1:]) for i, x in enumerate(a))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_offered_fillings_are_the_undominated_ones(seed):
+    rng = random.Random(seed)
+    items = [rng.randint(1, 12) for _ in range(rng.randint(0, 8))]
+    room = rng.randint(1, 16)
+    counts = {x: items.count(x) for x in items}
+    every = all_fillings(items, room)
+    best = {f for f in every if not any(g != f and dominates(g, f) for g in every)}
+    for order in ("least", "large", "greedy"):
+        got = offered(sorted(counts, reverse=True), counts, room, room, order)
+        assert all(sum(f) + w == room for w, f in got)
+        assert order == "greedy" or [w for w, _ in got] == sorted(w for w, _ in got)
+        assert {f for _, f in got} == best and len(got) == len(best)
+        few = offered(sorted(counts, reverse=True), counts, room, 2, order)
+        assert {f for _, f in few} == {f for f in best if room - sum(f) <= 2}
+
+
+def test_every_checked_text_is_held_against_the_library(monkeypatch):
+    monkeypatch.setattr("treeloom.llm.packing.token_ids", lambda enc, text: np.array([1, 2]))
+    with pytest.raises(ValueError, match="disagree"):
+        checked(PATH, "Hello world, a whole text")

@@ -6,9 +6,12 @@ and pieces are put into as few sequences as the search finds.
 Pieces of one length are interchangeable, so the search runs on the histogram
 of lengths. It has at most ``capacity`` entries however large the input is;
 that is all the driver gets. Around the largest length left, the search
-enumerates undominated fillings of the rest of the bin, uses one for as many
-bins as the counts allow, and prunes by the waste that would still beat the
-best packing known. Best-fit decreasing gives the first incumbent.
+enumerates the undominated fillings of the rest of the bin, those of least
+waste first, uses one for as many bins as the counts allow, then for half as
+many and so on down to one, and prunes by the waste that would still beat the
+best packing known. Best-fit decreasing gives the first incumbent. Fillings are
+made one by one as the search asks for them; the only cut is ``max_nodes``,
+which counts the nodes of the search and the fillings it looked at.
 
 The pieces are then dealt to the planned slots by their rank among the pieces
 of their length. A task counts its own pieces while it writes them; running
@@ -39,10 +42,13 @@ from treeloom.llm.common import table, tidy, written
 
 CAPACITY = 1024
 END_ID = 2
-#: Search nodes after which the best packing so far is taken.
+#: Search nodes, fillings looked at included, after which the best packing so far is taken.
 MAX_NODES = 20_000
+#: One text in so many, by a checksum of the text, is also encoded by the ``tokenizers`` library, whole.
+CHECKED_SHARE = 32
 
 _encoders: dict[str, object] = {}
+_libraries: dict[str, object] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -80,7 +86,9 @@ def checked(path: str, text: str) -> None:
     """Fails if the ``tokenizers`` library gives other ids for ``text``."""
     from tokenizers import Tokenizer
 
-    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    if path not in _libraries:
+        _libraries[path] = Tokenizer.from_file(path)
+    want = _libraries[path].encode(text, add_special_tokens=False).ids
     if token_ids(encoder(path), text)[:-1].tolist() != want:
         raise ValueError("the fast encoder and the tokenizer file disagree")
 
@@ -100,13 +108,12 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seen, first = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), True
+        enc, task, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if first:
-                    checked(path, (text or "")[:2000])
-                    first = False
+                if zlib.crc32((text or "").encode()) % CHECKED_SHARE == 0:
+                    checked(path, text or "")
                 ids = token_ids(enc, text or "", end_id)
                 for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), task, int(seen[length])))
@@ -158,97 +165,178 @@ def fewest(counts: dict[int, int], capacity: int) -> int:
     return bound
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int, limit: int = 6):
-    """Undominated fillings of ``room`` that waste at most ``waste``, least waste first.
+def bits(values) -> int:
+    out = 0
+    for v in values:
+        out |= 1 << v
+    return out
 
-    ``lengths`` is descending. A filling is dropped if another has a larger
-    piece in the place of one of its own, which then fits elsewhere as well.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def extend(at: int, left: int, chosen: tuple[int, ...], used_last: int) -> None:
-        nonlocal steps
-        for i in range(at, len(lengths)):
-            x = lengths[i]
-            if len(found) >= limit or steps > 400:
-                return
-            if x > left or counts[x] - (used_last if chosen and chosen[-1] == x else 0) <= 0:
-                continue
-            steps += 1
-            again = used_last + 1 if chosen and chosen[-1] == x else 1
-            if left - x == 0:
-                found.append((0, chosen + (x,)))
-            else:
-                before = len(found)
-                extend(i, left - x, chosen + (x,), again)
-                if len(found) == before and left - x <= waste and not any(y <= left - x for y in lengths[i:] if counts[y] > (again if y == x else 0)):
-                    found.append((left - x, chosen + (x,)))
 
-    extend(0, room, (), 0)
-    if waste >= room:
-        found.append((room, ()))
-    seen: set[tuple[int, ...]] = set()
-    for w, f in sorted(found, key=lambda x: (x[0], len(x[1]))):
-        if f not in seen:
-            seen.add(f)
-            yield w, f
+def smeared(found: int, most: int) -> int:
+    """The numbers v + d for v in the set ``found`` and 0 <= d <= ``most``."""
+    reach = 0
+    while reach < most:
+        step = min(reach + 1, most - reach)
+        found |= found << step
+        reach += step
+    return found
+
+
+def dominated(chosen: tuple[int, ...], free: int, waste: int) -> bool:
+    """Whether a piece that isn't ``chosen`` could take the place of some that are (or of none).
+
+    ``free`` is the set of lengths of which some are left beside ``chosen``.
+    The pieces replaced then fit where that piece would have been, so the
+    filling with it is as good in any packing.
+    """
+    one = many = 0  # sums of one chosen piece, and of two or more
+    for x in chosen:
+        many |= (many | one) << x
+        one |= 1 << x
+    if free & many:
+        return True
+    return waste > 0 and bool(free & (smeared((1 | one | many) << 1, waste - 1)))
+
+
+def reachable(usable: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For k = 0, 1, ...: the set of what the first ``k`` of ``usable`` can add up to within ``room``."""
+    sums, mask = [1], (1 << (room + 1)) - 1
+    for x in usable:
+        now = sums[-1]
+        for _ in range(min(counts[x], room // x)):
+            more = now | (now << x) & mask
+            if more == now:
+                break
+            now = more
+        sums.append(now)
+    return sums
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int, order: str = "least"):
+    """The undominated fillings of ``room`` that waste at most ``waste``, one by one.
+
+    ``lengths`` is descending. ``order`` says which come first: "least", those
+    of least waste, and of these the ones whose smallest piece is large;
+    "large", those of least waste and of these the ones with the largest
+    pieces; "greedy", those with the largest pieces, whatever they waste.
+    Gives None for each filling that is dominated, so that the caller can count
+    what was looked at.
+    """
+    usable = [x for x in lengths if x <= room and counts[x] > 0]
+    every, n_usable = bits(usable), len(usable)
+    sums = reachable(usable if order == "least" else usable[::-1], counts, room)
+
+    def smallest_large(among: int, left: int):
+        """What of the first ``among`` lengths adds up to ``left``."""
+        if left == 0:
+            yield ()
+        for i in range(among if left else 0):
+            x = usable[i]
+            for n in range(1, min(counts[x], left // x) + 1):
+                if sums[i] >> (left - n * x) & 1:
+                    for rest in smallest_large(i, left - n * x):
+                        yield rest + (x,) * n
+
+    def largest_first(at: int, left: int, slack: int):
+        """What of the lengths from ``at`` adds up to ``left``, or to as much as ``slack`` less."""
+        near = (1 << (min(slack, left) + 1)) - 1  # the sums from left - slack to left, moved down
+        for i in range(at, n_usable):
+            x = usable[i]
+            if not sums[n_usable - i] >> max(0, left - slack) & near:
+                return  # what follows can't fill enough
+            for n in range(min(counts[x], left // x), 0, -1):
+                if sums[n_usable - i - 1] >> max(0, left - n * x - slack) & ((1 << (min(slack, left - n * x) + 1)) - 1):
+                    for rest in largest_first(i + 1, left - n * x, slack):
+                        yield (x,) * n + rest
+        if left <= slack:
+            yield ()
+
+    most = min(waste, room)
+    if order == "greedy":
+        made = largest_first(0, room, most)
+    else:
+        made = (f for w in range(most + 1) for f in (smallest_large(n_usable, room - w) if order == "least" else largest_first(0, room - w, 0)))
+    for chosen in made:
+        used_up = bits(x for x in set(chosen) if chosen.count(x) == counts[x])
+        w = room - sum(chosen)
+        yield None if dominated(chosen, every & ~used_up, w) else (w, chosen)
+
+
+#: The passes of the search: the order of the fillings, and how many at a node (None: all).
+PASSES = (("greedy", 4), ("least", 4), ("large", 4), ("greedy", 16), ("least", None))
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[tuple[int, ...], int]]:
-    """The fewest bins the search finds, as (lengths of a bin, how many such bins)."""
+    """The fewest bins the search finds, as (lengths of a bin, how many such bins).
+
+    The search broadens: it runs with the first few fillings at each node, once
+    in each of their orders, then with more, and last with all of them and with
+    fewer bins of each. The passes share the nodes.
+    """
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
     best = best_fit(counts, capacity)
     bins_of = lambda plan: sum(n for _, n in plan)
-    least = fewest(counts, capacity)
-    stack: list[tuple] = []
+    least, best_bins = fewest(counts, capacity), bins_of(best)
     left, plan, wasted, nodes = dict(counts), [], 0, 0
 
-    def enter() -> bool:
-        """Pushes the fillings around the largest length left; False if nothing is left."""
-        lengths = sorted((x for x, n in left.items() if n), reverse=True)
-        if not lengths:
-            return False
-        top = lengths[0]
-        left[top] -= 1
-        allowed = (bins_of(best) - 1) * capacity - total - wasted
-        options = list(fillings(lengths, left, capacity - top, allowed)) if allowed >= 0 else []
-        left[top] += 1
-        stack.append((top, iter(options), None))
-        return True
+    def allowed() -> int:
+        """The waste that a packing better than the best may still add."""
+        return (best_bins - 1) * capacity - total - wasted
 
-    if bins_of(best) > least:
-        enter()
-    while stack and nodes < max_nodes and bins_of(best) > least:
-        top, options, done = stack.pop()
-        if done is not None:  # take back what this node had chosen last
-            bins, chosen, waste = done
+    def branches(top: int, order: str, width: int | None):
+        """(lengths of a bin, bins, waste of each): each filling for as many bins as can be, then for fewer."""
+        nonlocal nodes
+        lengths = sorted((x for x, n in left.items() if n), reverse=True)
+        without_top = left | {top: left[top] - 1}
+        taken = 0
+        for found in fillings(lengths, without_top, capacity - top, allowed(), order):
+            nodes += 1
+            if nodes >= stop or taken == width:
+                return
+            if found is None:
+                continue
+            waste, filling = found
+            if waste > allowed():  # the best has improved meanwhile
+                continue
+            taken += 1
+            chosen = (top, *filling)
+            bins = min(left[x] // chosen.count(x) for x in set(chosen))
+            if waste:
+                bins = min(bins, allowed() // waste)
+            while bins and waste * bins <= allowed():
+                yield chosen, bins, waste
+                bins = 0 if width else bins // 2
+
+    for k, (order, width) in enumerate(PASSES):
+        stop = nodes + (max_nodes - nodes) // (len(PASSES) - k)
+        left, plan, wasted = dict(counts), [], 0
+        stack = [[branches(max(left), order, width), None]] if left else []
+        while stack and nodes < stop and best_bins > least:
+            node = stack[-1]
+            if node[1] is not None:  # take back what this node had chosen last
+                chosen, bins, waste = node[1]
+                for x in chosen:
+                    left[x] += bins
+                plan.pop()
+                wasted -= waste * bins
+            node[1] = next(node[0], None) if allowed() >= 0 else None
+            if node[1] is None:
+                stack.pop()
+                continue
+            nodes += 1
+            chosen, bins, waste = node[1]
             for x in chosen:
-                left[x] += bins
-            plan.pop()
-            wasted -= waste * bins
-        nodes += 1
-        room_for_waste = (bins_of(best) - 1) * capacity - total
-        choice = next(((w, f) for w, f in options if wasted + w <= room_for_waste), None)
-        if choice is None:
-            continue
-        waste, filling = choice
-        chosen = (top, *filling)
-        need: dict[int, int] = {}
-        for x in chosen:
-            need[x] = need.get(x, 0) + 1
-        bins = min(left[x] // n for x, n in need.items())
-        if waste:
-            bins = max(1, min(bins, (room_for_waste - wasted) // waste))
-        for x in chosen:
-            left[x] -= bins
-        plan.append((chosen, bins))
-        wasted += waste * bins
-        stack.append((top, options, (bins, chosen, waste)))
-        if not enter():
-            if bins_of(plan) < bins_of(best):
-                best = list(plan)
+                left[x] -= bins
+            plan.append((chosen, bins))
+            wasted += waste * bins
+            top = max((x for x, n in left.items() if n), default=None)
+            if top is not None:
+                stack.append([branches(top, order, width), None])
+            elif bins_of(plan) < best_bins:
+                best, best_bins = list(plan), bins_of(plan)
+        if best_bins <= least:
+            break
     return best
 
 
