@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -103,6 +104,141 @@ def test_toxicity(spark):
     assert together[-1] > 0.5 and all((0 <= together) & (together <= 1))
 
 
+def test_training_windows_hold_every_word_once():
+    for n in (1, 31, 32, 33, 64, 200):
+        for shift in (0, 1, 17, 31):
+            parts = toxicity.side_by_side(np.arange(n), 32, shift)
+            assert np.concatenate(parts).tolist() == list(range(n)) and all(0 < len(p) <= 32 for p in parts)
+
+
+def test_gradients_in_slices():
+    """A batch of more windows than a slice gives the gradients of the whole batch."""
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % k for k in range(40)]
+    windows = [rng.integers(0, 40, rng.integers(1, 6)).astype(np.int32) for _ in range(23)]
+    doc, y = np.repeat(np.arange(3), [10, 12, 1]), np.array([1, 0, 1])
+    got = []
+    for slice_ in (100, 5):
+        shape = toxicity.Shape(window=5, stride=3, hidden=3, attention=4, word_dim=3, gram_dim=2, word_buckets=64, gram_buckets=64, slice=slice_)
+        got.append(toxicity.batch_gradients(toxicity.Network(shape), toxicity.Vocabulary(words, shape), windows, lambda z: toxicity.smoothed_max_loss(z, doc, y, 2.0)))
+    (whole, moved), (sliced, moved_sliced) = got
+    assert all(np.allclose(whole[k], sliced[k], atol=1e-5) for k in whole)
+    for k in moved:
+        assert moved[k][0].tolist() == moved_sliced[k][0].tolist() and np.allclose(moved[k][1], moved_sliced[k][1], atol=1e-5)
+
+
+def plain_score(model, text):
+    """The score of a text by one window and one step at a time, from the weights alone."""
+    w, s = model.net.w, model.shape
+    sig = lambda x: 1 / (1 + np.exp(-x.astype(float)))
+    words = toxicity.words_of(text or "")
+    if not words:
+        return float(sig(w["out_bias"])[0])
+
+    def vector(word):
+        marked = b"<" + word + b">"
+        grams = []
+        for n in range(s.shortest, s.longest + 1):
+            for i in range(len(marked) - n + 1):
+                code = sum(b << (8 * (n - 1 - k)) for k, b in enumerate(marked[i : i + n]))
+                grams.append(int(langid.mixed(np.array([code + (n << 56)], np.uint64))[0]) % s.gram_buckets)
+        whole = int(langid.mixed(np.array([zlib.crc32(word)], np.uint64))[0]) % s.word_buckets
+        return np.concatenate([w["words"][whole], np.mean([w["grams"][g] for g in grams], axis=0)])
+
+    def states(xs, way):
+        h, state, out = s.hidden, np.zeros(s.hidden), []
+        for x in xs if way == "f" else xs[::-1]:
+            g, again = x @ w[f"in_{way}"] + w[f"bias_{way}"], state @ w[f"back_{way}"]
+            z, r = sig(g[:h] + again[:h]), sig(g[h : 2 * h] + again[h : 2 * h])
+            new = np.tanh(g[2 * h :] + r * again[2 * h :])
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return out if way == "f" else out[::-1]
+
+    best = -np.inf
+    for at in range(0, max(1, len(words)), 1):
+        if at not in toxicity.starts(len(words), s):
+            continue
+        xs = [vector(word) for word in words[at : at + s.window]]
+        both = [np.concatenate(p) for p in zip(states(xs, "f"), states(xs, "b"), strict=True)]
+        e = np.array([np.tanh(p @ w["attend"] + w["attend_bias"]) @ w["query"] for p in both])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        best = max(best, float((a[:, None] * np.array(both)).sum(0) @ w["out"] + w["out_bias"][0]))
+    return 1 / (1 + np.exp(-best))
+
+
+def saved(tmp_path, spark, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_op2_against_plain_scores(spark, tmp_path):
+    """The whole query, over odd and repeated rows and clashing columns, rescored one step at a time."""
+    rng = random.Random(8)
+    rows = toxic_rows(250, rng)
+    long_word = "vile" * 60  # longer than any bound on words
+    texts = [(i, t) for i, t, _ in rows] + [(5, rows[5][1]), (900, None), (901, ""), (902, "?!"), (903, long_word + " and more"), (None, "vile " + made("aa", rng))]
+    labels = [(i, y) for i, _, y in rows] + [(None, 1), (903, 1), (7, None)]
+    sf = saved(tmp_path, spark, documents=([(i, t, "x", 3.0) for i, t in texts], "doc_id long, text string, lang string, score double"), labels=([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int"))
+    got = toxicity.op2(spark, sf).collect()
+    assert got[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"} and len(got) == len(texts)
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((i, plain_score(model, t)) for i, t in texts), key=order)
+    for (i, p), r in zip(want, sorted(((r["doc_id"], r["score"], r["held_out"], r["predicted"]) for r in got), key=order), strict=True):
+        assert r[0] == i and r[1] == pytest.approx(p, abs=2e-4) and r[3] == (r[1] >= 0.5)
+        assert r[2] == (zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0)
+
+
+def test_training_does_not_depend_on_the_tables_layout(spark):
+    rng = random.Random(9)
+    rows = toxic_rows(120, rng) + [(3, "another text of three", 0), (3, "and one more vile", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    shape = toxicity.Shape(epochs=1, max_documents=60)
+    one, two = toxicity.fit(docs, labels, shape), toxicity.fit(docs.repartition(7, "text").orderBy("text"), labels.repartition(3), shape)
+    assert all(np.array_equal(one.net.w[k], two.net.w[k]) for k in one.net.w)
+    spoken = docs.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'aa', 'bb') lang")
+    few = langid.Settings(max_documents=40)
+    assert np.array_equal(langid.fit(spoken, few).table, langid.fit(spoken.repartition(5, "text"), few).table)
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = saved(tmp_path, spark, documents=([], "doc_id long, text string, lang string"), labels=([], "doc_id long, toxic int"))
+    assert toxicity.op2(spark, sf).collect() == [] == langid.op6(spark, sf).collect()
+
+
+def test_op6_against_plain_sums(spark, tmp_path):
+    rng = random.Random(11)
+    texts = [(i, made(lang, rng, rng.randint(1, 300)), lang) for i in range(150) for lang in [rng.choice(list(PARTS))]]
+    texts += [(texts[4][0], texts[4][1], texts[4][2]), (900, None, "aa"), (901, "12 + 3", "bb"), (902, "", None), (903, "ka" * 150, "aa"), (None, made("bb", rng), None)]
+    sf = saved(tmp_path, spark, documents=([(*t, "x") for t in texts], "doc_id long, text string, lang string, lang_pred string"))
+    got = langid.op6(spark, sf).collect()
+    assert {"doc_id", "held_out", "lang_pred", "score"} <= set(got[0].asDict()) and len(got) == len(texts)
+    model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+
+    def plain(text):
+        words = [x.lower() for x in langid.WORD.findall((text or "").lower())]
+        if not words:
+            return "und", 0.0
+        at = np.concatenate([langid.features([x], model.settings)[0] for x in words])
+        logits = (model.table[at].astype(float).mean(0) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        return model.languages[int(p.argmax())], float(p.max())
+
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    want = sorted(((i, *plain(t)) for i, t, _ in texts), key=order)
+    for w, r in zip(want, sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=order), strict=True):
+        assert r[:2] == w[:2] and r[2] == pytest.approx(w[2], abs=1e-6)
+
+
+def test_equal_languages_go_to_the_first_name():
+    table = np.zeros((langid.Settings().buckets, 3), np.float32)
+    model = langid.Model(langid.Settings(), ["aa", "bb", "cc"], table, np.array([0.0, 1.0, 1.0]))
+    assert model.predict("word")[0] == "bb"
+
+
 def test_toxicity_without_both_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).score(["a", None]).tolist() == [0.5, 0.5]

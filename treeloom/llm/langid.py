@@ -4,7 +4,7 @@ A word's features are its hashed character n-grams and the word itself. A
 text's vector is the average of its features' embeddings, a linear softmax
 turns it into language probabilities. Embeddings and softmax are trained
 together by stochastic gradient descent in numpy, on a bounded sample of
-labelled rows. A part of that sample is set aside to fit a temperature, so that
+labelled rows, whose texts are read whole. A part of that sample is set aside to fit a temperature, so that
 scores are probabilities, and a rejection limit: the least score at which the
 accepted part of it reaches the wanted accuracy.
 
@@ -39,9 +39,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bounds of the training sample: documents, and words drawn from each.
+    #: Bound of the training sample: labelled documents, each learned from whole.
     max_documents: int = 4000
-    max_words: int = 200
     buckets: int = 1 << 16
     dim: int = 16
     n_min: int = 1
@@ -144,14 +143,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(samples: list[tuple[list[str], str]], s: Settings = Settings()) -> Model:
-    """A model from (words, language) samples."""
+def train(samples: list[tuple[list[str] | Counter, str]], s: Settings = Settings()) -> Model:
+    """A model from (words, language) samples; words may be given as counts."""
     languages = sorted({y for _, y in samples})
     if not languages:
         return Model(s, [], np.zeros((s.buckets, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(s.seed)
     number = {y: k for k, y in enumerate(languages)}
-    rows = [(*np.unique(features(words, s)[0], return_counts=True), number[y]) for words, y in samples if words]
+    rows = [(*feature_counts(Counter(words), s), number[y]) for words, y in samples if words]
     order = rng.permutation(len(rows))
     n_held = int(len(rows) * s.calibration_share)
     held, learn = [rows[i] for i in order[:n_held]], [rows[i] for i in order[n_held:]]
@@ -182,6 +181,14 @@ def train(samples: list[tuple[list[str], str]], s: Settings = Settings()) -> Mod
     return model
 
 
+def feature_counts(words: Counter, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text's words have features in, and how often each."""
+    ids, owner = features(list(words), s)
+    times = np.fromiter(words.values(), np.float64, len(words))
+    used, at = np.unique(ids, return_inverse=True)
+    return used, np.bincount(at, times[owner], len(used))
+
+
 def averaged(part: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Dense rows of feature shares, over the features that occur in ``part``."""
     used, at = np.unique(np.concatenate([r[0] for r in part]), return_inverse=True)
@@ -206,25 +213,6 @@ def calibrate(model: Model, held: list[tuple]) -> None:
     model.accept_from = float(score[order][good[-1]]) if len(good) else 1.0
 
 
-def drawn_words(text: Column, most: int, seed: int) -> Column:
-    """At most ``most`` words, in runs of 20 spread over the whole text."""
-
-    @tidy
-    def draw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for t in batch.to_pylist():
-                words = WORD.findall((t or "").lower())
-                if len(words) > most:
-                    rng = np.random.default_rng(zlib.crc32(t.encode()) + seed)
-                    starts = np.sort(rng.choice(len(words) // 20, most // 20, replace=False)) * 20
-                    words = [w for at in starts for w in words[at : at + 20]]
-                rows.append([w[:100] for w in words])
-            yield pa.array(rows, pa.list_(pa.string()))
-
-    return F.arrow_udf(draw, "array<string>")(text.cast("string"))
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows never learned from: one in five by a checksum of the id."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -234,15 +222,18 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Trains on at most ``max_documents`` rows of ``docs`` (doc_id, text, lang).
 
     Those with the least hashes of their ids are picked by id alone; only their
-    texts are read then.
+    texts are read then. Equal ids are told apart by their texts' hashes, so
+    the sample and its order don't depend on how the table is stored.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))  # a null text draws no words
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))  # a null text gives no words
     least = rows.select(order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(s.max_documents)
     bound = least.agg(F.max("h")).first()[0]
-    drawn = rows.where(order <= F.lit(bound)).limit(s.max_documents) if bound is not None else rows.limit(0)
-    words = drawn.select(drawn_words(F.col("text"), s.max_words, s.seed).alias("words"), F.col("lang").cast("string").alias("lang"))
-    return train([(r["words"], r["lang"]) for r in words.collect()], s)
+    near = rows.where(order <= F.lit(bound)) if bound is not None else rows.limit(0)
+    lang, text = F.col("lang").cast("string"), F.col("text").cast("string")
+    drawn = near.select(order.alias("h"), "doc_id", F.xxhash64("text").alias("t"), lang.alias("lang"), text.alias("text"))
+    picked = drawn.orderBy("h", "doc_id", "t", "lang", "text").limit(s.max_documents).collect()  # at most max_documents texts
+    return train([(Counter(WORD.findall((r["text"] or "").lower())), r["lang"]) for r in picked], s)
 
 
 PREDICTION = "struct<lang_pred:string,score:double,accepted:boolean>"

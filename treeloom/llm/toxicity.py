@@ -8,8 +8,12 @@ weights their states, and their weighted sum gives the window's logit. Windows
 overlap by half and the last ends with the text; the score of a text is that of
 its highest window.
 
-Training is in numpy, by Adam, on a bounded sample of labelled rows. Labels are
-of whole texts, so a text's windows share one loss, on their smoothed maximum.
+Training is in numpy, by Adam, on a bounded sample of labelled rows, whose texts
+are read whole. Labels are of whole texts, so a text's windows share one loss,
+on their smoothed maximum. In training, windows lie side by side rather than
+overlap, so each word is learned from once in each pass; the first begins a
+different number of words into the text in each pass, so that words are seen
+with all their neighbours.
 
 When scoring, what a word adds to the gates is computed once for each distinct
 word, and all windows of a batch go through the layers together.
@@ -25,7 +29,7 @@ any); an empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,9 +45,8 @@ PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256
 
 @dataclass(frozen=True)
 class Shape:
-    #: Bounds of the training sample: labelled documents, and windows drawn from each.
+    #: Bound of the training sample: labelled documents, each learned from whole.
     max_documents: int = 4000
-    max_windows: int = 12
     window: int = 32
     stride: int = 16
     word_buckets: int = 1 << 14
@@ -311,10 +314,9 @@ def segment_sums(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """Words by number, with their buckets computed once."""
+    """The buckets of words, by the words' numbers, computed once."""
 
     def __init__(self, words: list[bytes], s: Shape) -> None:
-        self.number = dict(zip(words, range(len(words)), strict=True))
         whole, grams, sizes = [], [], []
         for at in range(0, len(words), 10_000):  # in parts: all n-grams at once would take much memory
             part = words[at : at + 10_000]
@@ -325,9 +327,6 @@ class Vocabulary:
         self.whole, self.grams, self.size = np.concatenate(whole), np.concatenate(grams), np.concatenate(sizes)
         self.begin = np.cumsum(self.size) - self.size
 
-    def numbers(self, window: list[bytes]) -> np.ndarray:
-        return np.array([self.number[w] for w in window])
-
     def grams_of(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The n-grams of words, the place of each one's word, and how many each word has."""
         size = self.size[known]
@@ -336,69 +335,101 @@ class Vocabulary:
         return self.grams[np.repeat(self.begin[known], size) + inside], owner, size
 
 
-def train(samples: list[tuple[list[list[bytes]], int]], s: Shape = Shape()) -> Toxicity:
-    """A model from (windows of words, label) samples."""
-    samples = [(w, y) for w, y in samples if any(w)]
-    prior = float(np.mean([y for _, y in samples])) if samples else 0.5
-    if len({y for _, y in samples}) < 2:
+def side_by_side(words: np.ndarray, window: int, shift: int) -> list[np.ndarray]:
+    """All of ``words`` in windows that don't overlap, the first one of ``shift`` words, if any."""
+    if len(words) <= window:
+        return [words]
+    cuts = range(shift or window, len(words), window)
+    return np.split(words, cuts)
+
+
+def train(samples: Iterable[tuple[list[list[bytes]], int]], s: Shape = Shape()) -> Toxicity:
+    """A model from (passages of words, label) samples; windows lie within a passage."""
+    number: dict[bytes, int] = {}
+    numbers = lambda words: np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+    numbered = [([numbers(p) for p in passages if p], y) for passages, y in samples if any(passages)]
+    prior = float(np.mean([y for _, y in numbered])) if numbered else 0.5
+    if len({y for _, y in numbered}) < 2:
         return Toxicity(s, None, prior)
     net, rng = Network(s), np.random.default_rng(s.seed)
     net.w["out_bias"][0] = np.log(prior / (1 - prior))
-    vocabulary = Vocabulary(sorted({w for ws, _ in samples for window in ws for w in window}), s)
-    numbered = [([vocabulary.numbers(w) for w in ws if w], y) for ws, y in samples]
-    adam, steps = Adam(net.w, s.rate), s.epochs * -(-len(samples) // s.batch)
+    vocabulary = Vocabulary(list(number), s)
+    adam, steps = Adam(net.w, s.rate), s.epochs * -(-len(numbered) // s.batch)
     for _ in range(s.epochs):
         order = rng.permutation(len(numbered))
         for at in range(0, len(order), s.batch):
-            part = [numbered[i] for i in order[at : at + s.batch]]
-            windows = [w for ws, _ in part for w in ws]
+            part = [([w for p in numbered[i][0] for w in side_by_side(p, s.window, int(rng.integers(s.window)))], numbered[i][1]) for i in order[at : at + s.batch]]
             doc, y = np.repeat(np.arange(len(part)), [len(ws) for ws, _ in part]), np.array([y for _, y in part])
-            ids, mask = np.zeros((s.window, len(windows)), np.int64), np.zeros((s.window, len(windows)), bool)
-            for k, w in enumerate(windows):
-                ids[: len(w), k], mask[: len(w), k] = w, True
-            known, place = np.unique(ids[mask], return_inverse=True)
-            grams, owner, count = vocabulary.grams_of(known)
-            vectors = np.concatenate([net.w["words"][vocabulary.whole[known]], segment_sums(net.w["grams"][grams], owner, len(known)) / count[:, None]], 1)
-            x = np.zeros((*mask.shape, vectors.shape[1]), np.float32)
-            x[mask] = vectors[place]
-            _, g, dx = net.gradients(x, mask, lambda z, d=doc, y=y: smoothed_max_loss(z, d, y, s.sharpness))
+            layers, buckets_moved = batch_gradients(net, vocabulary, [w for ws, _ in part for w in ws], lambda z, d=doc, y=y: smoothed_max_loss(z, d, y, s.sharpness))
             adam.t += 1
             share = 1 - adam.t / (steps + 1)
-            for name, grad in g.items():
+            for name, grad in layers.items():
                 adam.step(net.w, name, grad, share=share)
-            dwords = summed_by(place, dx[mask], len(known))
-            for name, rows, grad in (("words", vocabulary.whole[known], dwords[:, : s.word_dim]), ("grams", grams, (dwords[:, s.word_dim :] / count[:, None])[owner])):
-                used, where = np.unique(rows, return_inverse=True)
-                adam.step(net.w, name, summed_by(where, grad, len(used)), used, share)
+            for name, (rows, grad) in buckets_moved.items():
+                adam.step(net.w, name, grad, rows, share)
     return Toxicity(s, net, prior)
 
 
-def drawn_windows(text: Column, s: Shape) -> Column:
-    """At most ``max_windows`` windows of words, spread over the whole text."""
-
-    @tidy
-    def draw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for t in batch.to_pylist():
-                words = words_of(t or "")
-                at = starts(len(words), s)
-                if len(at) > s.max_windows:
-                    rng = np.random.default_rng(zlib.crc32(t.encode()) + s.seed)
-                    at = np.sort(rng.choice(at, s.max_windows, replace=False)).tolist()
-                rows.append([[w[:100] for w in words[i : i + s.window]] for i in at])
-            yield pa.array(rows, pa.list_(pa.list_(pa.binary())))
-
-    return F.arrow_udf(draw, "array<array<binary>>")(text.cast("string"))
+def batch_gradients(net: Network, vocabulary: Vocabulary, windows: list[np.ndarray], loss_of) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:
+    """Gradients of the layers' weights, and (buckets, gradients) of the embeddings, for windows of word numbers.
+
+    ``slice`` windows at a time, so that a very long text takes no more memory:
+    if there are more, a first pass gives the logits that the loss needs.
+    """
+    s, parts = net.s, [windows[at : at + net.s.slice] for at in range(0, len(windows), net.s.slice)]
+    slopes: list[np.ndarray | None] = [None]
+    if len(parts) > 1:
+        logits = []
+        for part in parts:
+            x, mask, *_ = window_inputs(net, vocabulary, part)
+            logits.append(net.forward(net.gates(x), mask))
+        slope = loss_of(np.concatenate(logits))[1]
+        slopes = [slope[at : at + s.slice] for at in range(0, len(slope), s.slice)]
+    layers: dict[str, np.ndarray] = {}
+    moved: dict[str, list] = {"words": [], "grams": []}
+    for part, slope in zip(parts, slopes, strict=True):
+        x, mask, place, known, grams, owner, count = window_inputs(net, vocabulary, part)
+        _, g, dx = net.gradients(x, mask, loss_of if slope is None else lambda z, dz=slope: (0.0, dz))
+        for name, grad in g.items():
+            layers[name] = layers[name] + grad if name in layers else grad
+        dwords = summed_by(place, dx[mask], len(known))
+        moved["words"].append((vocabulary.whole[known], dwords[:, : s.word_dim]))
+        moved["grams"].append((grams, (dwords[:, s.word_dim :] / count[:, None])[owner]))
+    out = {}
+    for name, found in moved.items():
+        used, where = np.unique(np.concatenate([rows for rows, _ in found]), return_inverse=True)
+        out[name] = (used, summed_by(where, np.concatenate([grad for _, grad in found]), len(used)))
+    return layers, out
+
+
+def window_inputs(net: Network, vocabulary: Vocabulary, windows: list[np.ndarray]) -> tuple:
+    """Inputs (step, window, d) and mask of windows, and what their words and n-grams are."""
+    s = net.s
+    ids, mask = np.zeros((s.window, len(windows)), np.int64), np.zeros((s.window, len(windows)), bool)
+    for k, w in enumerate(windows):
+        ids[: len(w), k], mask[: len(w), k] = w, True
+    known, place = np.unique(ids[mask], return_inverse=True)
+    grams, owner, count = vocabulary.grams_of(known)
+    vectors = np.concatenate([net.w["words"][vocabulary.whole[known]], segment_sums(net.w["grams"][grams], owner, len(known)) / count[:, None]], 1)
+    x = np.zeros((*mask.shape, vectors.shape[1]), np.float32)
+    x[mask] = vectors[place]
+    return x, mask, place, known, grams, owner, count
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Shape = Shape()) -> Toxicity:
-    """Trains on at most ``max_documents`` rows of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic)."""
+    """Trains on at most ``max_documents`` rows of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic).
+
+    Those with the least hashes of their ids are taken. Equal ids are told
+    apart by their texts' hashes, so the sample and its order don't depend on
+    how the tables are stored.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = known.orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id").limit(s.max_documents)
-    rows = docs.join(F.broadcast(picked), "doc_id")  # at most max_documents rows
-    drawn = rows.select(drawn_windows(F.col("text"), s).alias("windows"), (F.col("toxic") > 0).cast("int").alias("y")).limit(2 * s.max_documents)
-    return train([([[bytes(w) for w in ws] for ws in r["windows"]], r["y"]) for r in drawn.collect()], s)
+    order = F.xxhash64("doc_id", F.lit(s.seed))
+    picked = known.orderBy(order, "doc_id").limit(s.max_documents)
+    rows = docs.join(F.broadcast(picked), "doc_id")  # at most max_documents ids
+    drawn = rows.select(order.alias("h"), "doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"), (F.col("toxic") > 0).cast("int").alias("y"))
+    taken = drawn.orderBy("h", "doc_id", "t", "text").limit(s.max_documents).collect()  # at most max_documents texts
+    return train((([words_of(r["text"] or "")], r["y"]) for r in taken), s)
 
 
 def toxicity(text: Column, model: Toxicity, spark: SparkSession) -> Column:
