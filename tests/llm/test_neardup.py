@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from treeloom.llm.neardup import COORDINATES, Plan, components, jaccard_classes, loose_edges, one_of_each, shingles
+from treeloom.llm.neardup import COORDINATES, Plan, components, jaccard_classes, loose_edges, met, one_of_each, shingles
 
 
 def plain(rows):
@@ -104,6 +104,34 @@ def test_pairs_in_split_buckets_meet(spark):
     assert sum(frozenset((i, n + i)) not in found for i in range(n)) <= 1
 
 
+def test_leaders_keep_every_pair_together(spark):
+    """What looks alike in a large bucket is connected by its leaders, and hardly anything is split."""
+    rng, n = np.random.default_rng(5), 900
+    base = rng.integers(0, 1 << 31, COORDINATES).astype(np.uint32)
+    tokens = np.repeat(base[None], n, 0)
+    for i, row in enumerate(tokens):
+        row[rng.choice(COORDINATES, int(rng.integers(0, 8)), replace=False)] = i + 1
+    other = rng.integers(0, 1 << 31, (200, COORDINATES)).astype(np.uint32)
+    other[:, :12] = base[:12]  # in the same buckets, but not alike
+    every = np.concatenate([tokens, other])
+    sets = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(every)], "set long, tokens binary")
+    plan = Plan(bucket_limit=200)
+    edges, split = met(sets, sets, plan, range(plan.runs))
+    assert split.count() <= 200
+    component = {r["node"]: r["component"] for r in components(loose_edges(sets, plan)).collect()}
+    alike = (every[:, None, :] == every[None, :, :]).sum(2) >= 39
+    assert all(component[int(i)] == component[int(j)] for i, j in zip(*np.nonzero(alike), strict=True) if i != j)
+    assert len(set(component.get(i, i) for i in range(n, n + 200))) == 200
+
+
+def test_a_large_group_of_near_copies(spark):
+    """The whole operator on a group far over its limits, against all pairs."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, edited(base, rng, rng.randint(0, 3))) for i in range(420)] + [(1000 + i, edited(base, rng, rng.randint(6, 40))) for i in range(60)]
+    assert run(spark, rows, Plan(bucket_limit=100, block_sets=150)) == plain(rows)
+
+
 def test_split_runs_reach_the_recall():
     plan = Plan()
     assert all(plan.missed(plan.split_runs, d) + plan.missed(plan.runs, 1) <= 1 - plan.recall for d in range(2, plan.max_depth + 1))

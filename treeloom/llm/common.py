@@ -6,6 +6,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,17 @@ def tidy(f):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests
-    on one machine) is a temporary folder made and set.
+    Where that is unset, a temporary folder is made and set, but only if driver
+    and executors are one process on one machine (tests); on a cluster each
+    would write to a folder of its own, and that is an error.
     """
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="treeloom-")
         sc.setCheckpointDir(place)
         place = sc.getCheckpointDir()
@@ -62,6 +66,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{path}/data"
 
 
+#: Where the tables that :func:`written` made lie, for as long as their frames live.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
@@ -71,7 +79,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that :func:`written` gave, once nothing reads them any more."""
+    for df in frames:
+        if path := _places.pop(df, None):
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

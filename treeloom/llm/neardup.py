@@ -18,6 +18,12 @@ links connect it with, and how many documents it is linked with.
     the threshold meets in one run with a chance of 0.63 at the first depth and
     0.23 at the sixth; runs are repeated until the chance of meeting reaches
     ``recall``, and more often for sets that were in a bucket that was split.
+    Before a large bucket is split, each of its sets is held against a few of
+    them, its leaders. A set with at most ``settled`` tokens other than a leader
+    is settled: whatever looks like it differs from that leader by at most
+    ``settled`` more, and everything as near as that is joined to the leader.
+    So settled sets need no further split, and a large group of near copies is
+    met in one pass instead of filling buckets at every depth.
 3.  Buckets don't give pairs but a spanning forest of what looks alike by a
     margin; its connected components are loose groups, supersets of classes.
 4.  Inside each loose group all sets are compared exactly, groups over a size in
@@ -45,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import fresh, looked_up, table, tidy, written
+from treeloom.llm.common import fresh, looked_up, released, table, tidy, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -60,10 +66,18 @@ class Plan:
     max_depth: int = 6
     #: Share of equal tokens from which two sets look alike: four deviations below the threshold.
     alike: float = 0.6
+    #: Sets of a large bucket that all others are held against, and the tokens by which a settled set may differ from one.
+    leaders: int = 64
+    settled: int = 14
     block_sets: int = 400
     block_shingles: int = 1_500_000
     seed: int = 11
 
+    @property
+    def n_leaders(self) -> int:
+        """Leaders of a bucket: few against its sets."""
+        return min(self.leaders, self.bucket_limit // 20)
+
     @property
     def runs(self) -> int:
         """Runs until a pair at the threshold has met with the wanted chance."""
@@ -342,27 +356,85 @@ def edge_batch(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(join(us), pa.int64()), pa.array(join(vs), pa.int64())], names=["u", "v"])
 
 
-def met(sets: DataFrame, all_sets: DataFrame, plan: Plan, runs: range) -> tuple[DataFrame, DataFrame | None]:
-    """(edges, split): what meets in ``runs`` and looks alike, and the sets that were in a split bucket, if any."""
-    rows, out, split = written(roots(sets, plan, runs), "nodes"), None, None
+LED = "node long, set long, to long, settled boolean"
+
+
+def led(rows: DataFrame, large: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """(node, set, to, settled) for the sets in ``large`` (node, n) buckets: the leaders that each leads to, or itself.
+
+    A bucket is dealt into parts of at most about ``bucket_limit`` sets. Its
+    leaders are the sets whose hash lies in the share that gives ``n_leaders``
+    of them; they go to each part, ahead of its sets. Leaders that look alike
+    count as one.
+    """
+    total = large.agg(F.sum("n")).first()[0] or 1
+    inside = looked_up(rows, large.select("node", F.struct("n").alias("sized"), "n"), "node", "sized", "n", total, "set").where(F.col("sized").isNotNull())
+    inside = inside.select("node", "set", F.col("sized.n").alias("n"), F.ceil(F.col("sized.n") / plan.bucket_limit).cast("long").alias("parts"))
+    is_leader = F.pmod(F.xxhash64("set", F.lit(plan.seed)), F.lit(1 << 40)) < F.lit(plan.n_leaders * float(1 << 40)) / F.col("n")
+    members = inside.select("node", F.pmod(F.xxhash64("set"), "parts").alias("part"), F.lit(1).alias("kind"), "set")
+    leaders = inside.where(is_leader).select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "set")
+    dealt = members.unionByName(leaders).join(sets.select("set", "tokens"), "set").select(F.xxhash64("node", "part").alias("grp"), "kind", "node", "set", "tokens")
+
+    @tidy
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = COORDINATES - math.ceil(plan.alike * COORDINATES) + plan.settled
+        for group in grouped_runs(batches):
+            kind, node, ids, found = np.asarray(group.column(1)), np.asarray(group.column(2)), np.asarray(group.column(3)), token_matrix(group.column(4))
+            order = np.lexsort((ids, kind))
+            first = order[np.r_[True, (np.diff(kind[order]) != 0) | (np.diff(ids[order]) != 0)]]  # a repeated row gives its set again
+            kind, node, ids, found = kind[first], node[first], ids[first], found[first]
+            heads, head_ids = found[kind == 0], ids[kind == 0]
+            forest = Forest(len(heads))
+            forest.join_matrix((heads[:, None, :] != heads[None, :, :]).sum(2) <= reach)
+            root = np.array([forest.root(i) for i in range(len(heads))], np.int64)
+            rows_, to, done = [], [], []
+            for begin in range(0, len(ids), 512):
+                part = np.flatnonzero(kind[begin : begin + 512] == 1) + begin
+                apart = (found[part][:, None, :] != heads[None, :, :]).sum(2)
+                near = np.zeros((len(part), len(heads)), bool)
+                for r in np.unique(root):
+                    near[:, r] = (apart[:, root == r] <= reach).any(1)
+                at, head = np.nonzero(near)
+                alone = np.flatnonzero(~near.any(1))
+                settled = (apart <= plan.settled).any(1)
+                rows_ += [part[at], part[alone]]
+                to += [head_ids[head], ids[part[alone]]]
+                done += [settled[at], settled[alone]]
+            at = np.concatenate(rows_)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(ids[at]), pa.array(np.concatenate(to)), pa.array(np.concatenate(done))], names=[x.split()[0] for x in LED.split(", ")])
+
+    return dealt.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(go, LED)
+
+
+def met(sets: DataFrame, all_sets: DataFrame, plan: Plan, runs: range) -> tuple[list[DataFrame], DataFrame | None]:
+    """(edges, split): what meets in ``runs`` and looks alike, and the sets that a split left unsettled, if any."""
+    rows, out, split = written(roots(sets, plan, runs), "nodes"), [], None
     for depth in range(1, plan.max_depth + 1):
         sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
         large = sizes.where(F.col("n") > plan.bucket_limit)
-        small = rows.join(sizes.where(F.col("n") <= plan.bucket_limit), "node", "left_semi")
         n_large = large.count()
-        if n_large and depth == plan.max_depth:
-            blocks = large.select("node", F.ceil(F.col("n") * 2 / plan.bucket_limit).alias("blocks"))
-            rest = in_blocks(rows.join(large, "node", "left_semi"), "node", blocks)
-            small = small.unionByName(rest.select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "set"))
-            n_large = 0
-        edges = written(compare_tokens(small, all_sets, plan), "loose").dropDuplicates(["u", "v"])
-        out = edges if out is None else out.unionByName(edges)
+        out.append(written(compare_tokens(rows.join(sizes.where(F.col("n") <= plan.bucket_limit), "node", "left_semi"), all_sets, plan), "loose"))
+        if n_large:
+            if plan.n_leaders:
+                heads = written(led(rows, large, all_sets, plan), "led")
+                out.append(heads.where("set <> to").select(F.col("set").alias("u"), F.col("to").alias("v")))
+                unsettled = heads.where("NOT settled").select("node", "set").distinct()
+            else:
+                unsettled = rows.join(large, "node", "left_semi")
+            if depth == 1:
+                split = written(unsettled.select("set").distinct(), "split")
+        gone = [rows, sizes]
+        if n_large and depth < plan.max_depth:
+            rows = written(deeper(unsettled, all_sets, plan), "nodes")
+        elif n_large:  # what no leader settled at the greatest depth
+            left = written(unsettled, "unsettled")
+            blocks = left.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.ceil(F.col("n") * 2 / plan.bucket_limit).alias("blocks"))
+            rest = in_blocks(left, "node", blocks).select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "set")
+            out.append(written(compare_tokens(rest, all_sets, plan), "loose"))
+            gone.append(left)
+        released(*gone)
         if not n_large:
             break
-        rows = rows.join(large, "node", "left_semi")
-        if depth == 1:
-            split = rows.select("set").distinct()
-        rows = written(deeper(rows, all_sets, plan), "nodes")
     return out, split
 
 
@@ -370,9 +442,13 @@ def loose_edges(sets: DataFrame, plan: Plan) -> DataFrame:
     """Edges between sets that meet in a bucket of any depth and look alike."""
     out, split = met(sets, sets, plan, range(plan.runs))
     if split is not None and plan.split_runs > plan.runs:
-        again = sets.join(written(split, "split"), "set", "left_semi")
-        out = out.unionByName(met(again, sets, plan, range(plan.runs, plan.split_runs))[0])
-    return written(out.dropDuplicates(["u", "v"]), "loose-edges")
+        again = sets.join(split, "set", "left_semi")
+        if again.limit(1).count():
+            out += met(again, sets, plan, range(plan.runs, plan.split_runs))[0]
+    edges = out[0]
+    for more in out[1:]:
+        edges = edges.unionByName(more)
+    return written(edges.dropDuplicates(["u", "v"]), "loose-edges")
 
 
 # --- connected components ---
@@ -390,13 +466,16 @@ def components(edges: DataFrame) -> DataFrame:
     before = print_of(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least"))
+        all_least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = with_least(both, all_least)
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").dropDuplicates(["u", "v"]), "large-star")
+        released(now, all_least)
         least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         small = with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").dropDuplicates(["u", "v"]), "small-star")
+        released(large, least)
         after = print_of(now)
         if after == before:
             break
@@ -499,7 +578,9 @@ def classes(docs: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]
     sketches = written(sketched(docs), "sketches")
     sets = sets_of(sketches)
     full = sets.where("n_shingles > 0")
-    loose = written(components(loose_edges(full, plan)).withColumnsRenamed({"node": "set", "component": "cluster"}), "clusters")
+    edges = loose_edges(full, plan)
+    loose = written(components(edges).withColumnsRenamed({"node": "set", "component": "cluster"}), "clusters")
+    released(edges)
     grouped = sets.select("set", "set_key", "least", "weight", "n_shingles").join(loose, "set")
     sizes = written(
         grouped.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
@@ -509,12 +590,15 @@ def classes(docs: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]
     elements = written(with_elements(docs, grouped.select("set", "set_key", "least", "weight", "cluster")), "elements")
     paired = in_blocks(elements, "cluster", sizes).withColumn("single", F.col("pair.a") == F.col("pair.b")).withColumn("grp", F.xxhash64("cluster", "pair.a", "pair.b"))
     found = written(link_groups(paired, plan), "links")
+    released(elements, sizes, loose)
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     named = components(found.where("set <> to").select(F.col("set").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "set")
     known = sets.join(links, "set", "left").join(named, "set", "left")
     known = written(known.select("set", "set_key", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "set").alias("component")), "known")
     first = known.groupBy("component").agg(F.min("least").alias("first"))
-    return sketches, written(known.join(first, "component"), "classes")
+    named_sets = written(known.join(first, "component"), "classes")
+    released(found, known, sets)
+    return sketches, named_sets
 
 
 def jaccard_classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
