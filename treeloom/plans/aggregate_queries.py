@@ -41,11 +41,11 @@ def ext_counts(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT user_id, event_type, event_id, count(*) OVER w AS n, min(event_id) OVER w AS f FROM events WHERE event_id % 7 = 0 WINDOW w AS (PARTITION BY user_id, event_type))
+WITH m AS (SELECT user_id, event_type, event_id, count(*) OVER w AS n, min(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id, event_type))
 SELECT user_id, event_type, event_id, CASE WHEN n < 3 THEN 1 ELSE n END AS n FROM m WHERE n < 3 OR event_id = f""")
 def collapse_groups(spark, sf_dir):
     """Types with three or more rows become one; others stay."""
-    events = read(spark, sf_dir, "events").where("event_id % 7 = 0").select("user_id", "event_type", "event_id")
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
     return aggregates.collapsed(events, ["user_id"], "event_type", "event_id")
 
 
