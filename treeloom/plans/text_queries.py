@@ -88,10 +88,10 @@ def bounded(column: str, most: int) -> str:
     return f"CASE WHEN length({s}) <= {most} THEN {s} ELSE regexp_replace(left({s}, {most}), '-[^-]*$', '') END"
 
 
-@query(f"SELECT doc_id, {bounded('left(text, 200)', 50)} AS slug FROM documents")
+@query(f"SELECT doc_id, {bounded('text', 50)} AS slug FROM documents")
 def slug_bounded(spark, sf_dir):
-    """Slugs of the opening words, at most 50 long."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.bounded_slug(F.substring("text", 1, 200), 50).alias("slug"))
+    """Slugs of whole texts, at most 50 long."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.bounded_slug(F.col("text"), 50).alias("slug"))
 
 
 @query("SELECT page_id, CASE WHEN contains(url, '?') THEN trim(split_part(url, '?', 1)) ELSE split_part(url, chr(10), 1) END AS head FROM pages")
