@@ -1,7 +1,8 @@
 """Recursive operators over edges: ancestors, topological depth, reachability.
 
-They go level by level, each level a join with the edges, and keep each level
-so that the next doesn't compute it again. The number of levels is bounded.
+They go level by level, each level a join with the edges. Each level is
+checkpointed, so that the next doesn't compute it again and a lost executor
+loses none of it; levels that nothing needs any more are let go.
 """
 
 from __future__ import annotations
@@ -12,25 +13,37 @@ from pyspark.sql import functions as F
 MAX_LEVELS = 32
 
 
+#: Rounds of doubling after which paths are taken to go in a circle.
+MAX_DOUBLINGS = 40
+
+
 class CycleError(ValueError):
     """The dependencies go in a circle."""
 
 
-def ancestor_sum(nodes: DataFrame, id_: str, parent: str, value: str, levels: int = MAX_LEVELS) -> DataFrame:
-    """(id, total): the sum of ``value`` over each node's ancestors.
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: checkpointed where ``spark.checkpoint.dir`` or the caller has named a folder, else persisted."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def ancestor_sum(nodes: DataFrame, id_: str, parent: str, value: str) -> DataFrame:
+    """(id, total): the sum of ``value`` over each node's ancestors, however many.
 
     Pointers are doubled: after each round a node's pointer leads twice as far
     and its sum covers what lies between, so a depth of d takes log2(d) rounds.
+    Raises :class:`CycleError` if pointers go in a circle.
     """
     up = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("to"))
     own = nodes.select(F.col(id_).alias("to"), F.col(value).alias("v"), F.col(parent).alias("next"))
-    now = up.join(own, "to", "left").select("id", "to", F.coalesce("v", F.lit(0)).alias("total"))
-    reach = 1
-    while reach < levels:
+    now = settled(up.join(own, "to", "left").select("id", F.when(F.col("next").isNotNull(), F.col("to")).alias("to"), F.coalesce("v", F.lit(0)).alias("total")))
+    for _ in range(MAX_DOUBLINGS):
+        if now.where("to is not null").isEmpty():
+            return now.select(F.col("id").alias(id_), "total")
         ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("total").alias("more"))
-        now = now.join(ahead, "to", "left").select("id", F.col("next").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
-        reach *= 2
-    return now.select(F.col("id").alias(id_), "total")
+        before, now = now, settled(now.join(ahead, "to", "left").select("id", F.col("next").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
+        now.count()
+        before.unpersist()
+    raise CycleError("a circle of parents")
 
 
 def ancestors(processes: DataFrame, id_: str, parent: str, starts: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
@@ -39,7 +52,7 @@ def ancestors(processes: DataFrame, id_: str, parent: str, starts: DataFrame, le
     front = starts.select("start", F.col("start").alias("id"), F.lit(0).cast("long").alias("steps"))
     out = front
     for _ in range(levels):
-        front = front.join(edges, front["id"] == edges["__c"]).where("__p > 1").select("start", F.col("__p").alias("id"), (F.col("steps") + 1).alias("steps")).persist()
+        front = settled(front.join(edges, front["id"] == edges["__c"]).where("__p > 1").select("start", F.col("__p").alias("id"), (F.col("steps") + 1).alias("steps")))
         if front.isEmpty():
             break
         out = out.unionByName(front)
@@ -54,12 +67,12 @@ def depths(items: DataFrame, edges: DataFrame, levels: int = MAX_LEVELS) -> Data
     is a circle or a path longer than ``levels``.
     """
     known = items.select("item").distinct()
-    live = edges.where("item <> needs").join(known, "item", "left_semi").join(known.select(F.col("item").alias("needs")), "needs", "left_semi").distinct().persist()
+    live = settled(edges.where("item <> needs").join(known, "item", "left_semi").join(known.select(F.col("item").alias("needs")), "needs", "left_semi").distinct())
     front = known.select("item", F.lit(0).cast("long").alias("depth"))
     out = front
     for _ in range(levels):
         front = live.join(front.select(F.col("item").alias("needs"), "depth"), "needs").groupBy("item").agg((F.max("depth") + 1).alias("depth"))
-        front = front.select("item", "depth").persist()
+        front = settled(front.select("item", "depth"))
         if front.isEmpty():
             return out.groupBy("item").agg(F.max("depth").alias("depth"))
         out = out.unionByName(front)
@@ -72,23 +85,39 @@ def item_edges(items: DataFrame) -> DataFrame:
     return items.select("item", F.explode("deps").alias("key")).join(owner, "key").select("item", "needs").distinct()
 
 
-def reachable(parents: DataFrame, starts: DataFrame) -> DataFrame:
+def reachable(parents: DataFrame, starts: DataFrame, steps: int = MAX_LEVELS) -> DataFrame:
     """(start, hash): commits that each start (start) descends from, itself included. ``parents`` has (hash, parent).
 
-    In each round the ways of one length are joined with themselves, so a
-    history of depth d takes log2(d) rounds, and a straight one never has more
-    rows than commits. When a round finds nothing new, nothing lies further.
+    The first ``steps`` rounds go from what the last one found to its parents,
+    and touch nothing else of the graph. What is deeper is found by doubling:
+    in each round the ways of one length are joined with themselves, so a
+    history of depth d takes log2(d) more rounds, and a straight one never has
+    more rows than commits. When a round finds nothing new, nothing lies further.
     """
-    ways = parents.where(F.col("parent").isNotNull()).select(F.col("hash").alias("a"), F.col("parent").alias("b")).distinct().persist()
-    known = starts.select("start", F.col("start").alias("hash")).distinct().persist()
-    count = known.count()
+    edges = parents.where(F.col("parent").isNotNull()).select(F.col("hash").alias("a"), F.col("parent").alias("b"))
+    known = settled(starts.select("start", F.col("start").alias("hash")).distinct())
+    front = known
+    for _ in range(steps):
+        found = front.join(edges, front["hash"] == edges["a"]).select("start", F.col("b").alias("hash")).distinct()
+        front = settled(found.join(known, ["start", "hash"], "left_anti"))
+        if front.isEmpty():
+            return known
+        before, known = known, settled(known.unionByName(front))
+        known.count()
+        before.unpersist()
+    ways, count = settled(edges.distinct()), known.count()
     while True:
         further = known.join(ways, known["hash"] == ways["a"]).select("start", F.col("b").alias("hash"))
-        known = known.unionByName(further).distinct().persist()
+        last, known = known, settled(known.unionByName(further).distinct())
         before, count = count, known.count()
+        last.unpersist()
         if count == before:
+            ways.unpersist()
             return known
-        ways = ways.select("a", F.col("b").alias("m")).join(ways.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct().persist()
+        shorter = ways
+        ways = settled(ways.select("a", F.col("b").alias("m")).join(ways.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct())
+        ways.count()
+        shorter.unpersist()
 
 
 def ahead_behind(parents: DataFrame, local: str, upstream: str) -> DataFrame:

@@ -87,14 +87,14 @@ def bracket_pairing(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE n AS (SELECT o_orderkey AS id, o_orderkey // 4 AS parent, o_orderstatus = 'O' AS counts FROM orders WHERE o_orderkey < 2000),
+WITH RECURSIVE n AS (SELECT o_orderkey AS id, o_orderkey // 4 AS parent, o_orderstatus = 'O' AS counts FROM orders),
 w(id, up, depth) AS (SELECT id, parent, 0::BIGINT FROM n UNION ALL SELECT w.id, n.parent, w.depth + CASE WHEN n.counts THEN 1 ELSE 0 END FROM w JOIN n ON n.id = w.up WHERE w.up > 0)
 SELECT id, max(depth) AS nested FROM w GROUP BY id""")
 def ancestor_depth(spark, sf_dir):
     """How many open orders are ancestors in a heap of orders (parent = key div 4)."""
     from treeloom.operators import graph
 
-    n = read(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey div 4").alias("parent"), (F.col("o_orderstatus") == "O").cast("long").alias("counts"))
+    n = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("nullif(o_orderkey div 4, 0)").alias("parent"), (F.col("o_orderstatus") == "O").cast("long").alias("counts"))
     return graph.ancestor_sum(n, "id", "parent", "counts").withColumnRenamed("total", "nested")
 
 

@@ -125,12 +125,12 @@ def topo_depth(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT o_orderkey AS pid, o_orderkey // 3 AS ppid, CASE WHEN o_orderkey % 10 = 0 THEN o_orderstatus END AS rule FROM orders WHERE o_orderkey < 3000),
+WITH RECURSIVE p AS (SELECT o_orderkey AS pid, o_orderkey // 3 AS ppid, CASE WHEN o_orderkey % 10 = 0 THEN o_orderstatus END AS rule FROM orders),
 w(start, id, steps) AS (SELECT pid, pid, 0::BIGINT FROM p UNION ALL SELECT w.start, p.ppid, w.steps + 1 FROM w JOIN p ON p.pid = w.id WHERE p.ppid > 1 AND w.steps < 32)
 SELECT start, min_by(p.rule, w.steps) AS rule FROM w JOIN p ON p.pid = w.id WHERE p.rule IS NOT NULL GROUP BY start""")
 def ancestor_walk(spark, sf_dir):
     """The rule of the nearest ancestor that has one of its own."""
-    p = read(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("pid"), F.expr("o_orderkey div 3").alias("ppid"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderstatus")).alias("rule"))
+    p = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), F.expr("o_orderkey div 3").alias("ppid"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderstatus")).alias("rule"))
     chain = graph.ancestors(p, "pid", "ppid", p.select(F.col("pid").alias("start")))
     rules = p.where("rule is not null").select(F.col("pid").alias("id"), "rule")
     return chain.join(rules, "id").groupBy("start").agg(F.min_by("rule", "steps").alias("rule"))
@@ -274,10 +274,11 @@ def open_count_ready(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT o_orderkey AS hash, o_orderkey // 2 AS p1, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey // 3 END AS p2 FROM orders WHERE o_orderkey BETWEEN 1 AND 900),
-e AS (SELECT hash, p1 AS parent FROM c WHERE p1 > 0 UNION SELECT hash, p2 FROM c WHERE p2 > 0), w(start, hash) AS (SELECT x, x FROM (VALUES (840::BIGINT), (875::BIGINT)) v(x) UNION SELECT w.start, e.parent FROM w JOIN e ON e.hash = w.hash)
+WITH RECURSIVE c AS (SELECT o_orderkey AS hash, o_orderkey // 2 AS p1, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey // 3 END AS p2 FROM orders),
+e AS (SELECT hash, p1 AS parent FROM c WHERE p1 > 0 UNION SELECT hash, p2 FROM c WHERE p2 > 0), w(start, hash) AS (SELECT x, x FROM (SELECT o_orderkey AS x FROM orders ORDER BY o_orderkey DESC LIMIT 2) UNION SELECT w.start, e.parent FROM w JOIN e ON e.hash = w.hash)
 SELECT start, hash FROM w""")
 def commit_reachability(spark, sf_dir):
-    """What two commits descend from, merges included."""
-    c = read(spark, sf_dir, "orders").where("o_orderkey between 1 and 900").select(F.col("o_orderkey").alias("hash"), F.explode(F.array_compact(F.array(F.expr("o_orderkey div 2"), F.when(F.col("o_orderkey") % 5 == 0, F.expr("o_orderkey div 3"))))).alias("parent"))
-    return graph.reachable(c.where("parent > 0"), spark.createDataFrame([(840,), (875,)], "start long"))
+    """What the two newest commits descend from, merges included."""
+    orders = read(spark, sf_dir, "orders")
+    c = orders.select(F.col("o_orderkey").alias("hash"), F.explode(F.array_compact(F.array(F.expr("o_orderkey div 2"), F.when(F.col("o_orderkey") % 5 == 0, F.expr("o_orderkey div 3"))))).alias("parent"))
+    return graph.reachable(c.where("parent > 0"), aggregates.recent(orders.select(F.col("o_orderkey").alias("start")), [F.desc("start")], 2))
