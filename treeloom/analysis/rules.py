@@ -1,7 +1,8 @@
 """Thirty rules over syntax trees, each a function from nodes to findings.
 
 ``nodes`` are rows of :func:`treeloom.parse.tables.nodes`. Rules see them only
-by file, so everything shuffles by path, once. Counts over children and
+by file, so everything shuffles by path, once; the shuffled nodes are settled
+before the rules read them, so no file is parsed twice. Counts over children and
 ancestors are grouped counts and running sums; rules that look for a name
 elsewhere join on path and name.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import text
-from treeloom.operators import sequences
+from treeloom.operators import graph, intervals, sequences
 
 #: Limits of the rules.
 NESTING, GENERICS, METHODS_REQUIRED, FIELDS, CLOSURE_LINES, ARMS, PARAMETERS, LOCALS, METHODS, RUN, STRING_ARMS, ELSE_IFS = 3, 3, 8, 10, 15, 8, 5, 10, 15, 3, 3, 3
@@ -91,10 +92,10 @@ def parents(n: DataFrame, *columns: str) -> DataFrame:
 
 def owned(inner: DataFrame, owners: DataFrame) -> DataFrame:
     """``inner`` with ``owner``: the pre of the innermost of ``owners`` around each node."""
-    o = owners.select("path", F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
-    pairs = inner.select("path", F.col("pre").alias("i_pre")).join(o, "path").where((F.col("o_pre") < F.col("i_pre")) & (F.col("o_post") > F.col("i_pre")))
-    best = pairs.groupBy("path", "i_pre").agg(F.max("o_pre").alias("owner"))
-    return inner.join(best.withColumnRenamed("i_pre", "pre"), ["path", "pre"])
+    spans = owners.select("path", F.col("pre").alias("owner"), (F.col("pre") + 1).alias("o_start"), F.col("post").alias("o_end"))
+    points = inner.select("path", "pre").distinct()
+    best = intervals.deepest(points, spans, "path", "pre", "o_start", "o_end", "owner", "owner").select("path", "pre", "owner")
+    return inner.join(best, ["path", "pre"])
 
 
 def under(n: DataFrame, *kinds: str) -> DataFrame:
@@ -391,7 +392,7 @@ def enabled(rules: list[str] | None = None, disabled: tuple[str, ...] = ()) -> l
 
 def analyse(nodes: DataFrame, chosen: list[Rule] | None = None) -> DataFrame:
     """(path, rule_id, severity, row_start, row_end, message, suggestions, node_pre); rows from 0, ends inclusive."""
-    n = nodes.repartition("path")
+    n = graph.settled(nodes.repartition("path"))
     parts = []
     for r in chosen if chosen is not None else enabled():
         found = r.find(n)

@@ -39,14 +39,19 @@ def resolve(ops: DataFrame, body: Column, start: Column, end: Column, last_child
 def applied(edits: DataFrame, key: list[str], body: str) -> DataFrame:
     """(key, result): the body with all of its edits; empty ones go before others at one place.
 
-    A document's edits are collected with it: they are no more than its own.
+    Edits that overlap are refused: the result is null, and :func:`conflicts`
+    says which they are. A document's edits are collected with it: they are no
+    more than its own.
     """
     order = F.struct(F.col("edit_start").alias("s"), (F.col("edit_end") > F.col("edit_start")).alias("filled"), F.col("seq").alias("seq"), F.col("edit_end").alias("e"), F.col("edit_text").alias("t"))
     grouped = edits.groupBy(*key).agg(F.first(body).alias("__b"), F.array_sort(F.collect_list(order)).alias("__e"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda s, e: F.struct(F.concat(s["out"], F.substring(F.col("__b"), s["at"] + 1, e["s"] - s["at"]), e["t"]).alias("out"), e["e"].alias("at"))
-    done = F.aggregate("__e", start, step)
-    return grouped.withColumn("__d", done).select(*key, F.concat("__d.out", F.substring("__b", F.col("__d.at") + 1, F.length("__b"))).alias("result"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("bad"))
+    step = lambda s, e: F.struct(
+        F.concat(s["out"], F.substring(F.col("__b"), s["at"] + 1, e["s"] - s["at"]), e["t"]).alias("out"), e["e"].alias("at"), (s["bad"] | (e["s"] < s["at"])).alias("bad")
+    )
+    done = grouped.withColumn("__d", F.aggregate("__e", start, step))
+    whole = F.concat("__d.out", F.substring("__b", F.col("__d.at") + 1, F.length("__b")))
+    return done.select(*key, F.when(~F.col("__d.bad"), whole).alias("result"))
 
 
 def conflicts(edits: DataFrame, key: list[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Interval and nearest-row operators.
 
-Intervals are two columns. Every join has an equality on a group key (a file,
-an order), so Spark shuffles by it and checks the interval on top. Where one
-group may be huge, :func:`bucketed_overlap` also cuts it into stretches.
+Intervals are two columns. Nothing here pairs all rows of a group: a point is
+looked up by sorting it among the places where the answer can change, or spans
+are listed for each stretch they touch and joined by stretch.
 """
 
 from __future__ import annotations
@@ -33,11 +33,19 @@ def bucketed_overlap(points: DataFrame, spans: DataFrame, key: str, at: str, sta
     return dealt.join(cut, [key, "__s"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__s")
 
 
-def deepest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, depth: str, order: str) -> DataFrame:
-    """For each point the deepest span around it, the first in order among equals. Points outside get none."""
-    pairs = points.join(spans, key).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
-    first = Window.partitionBy(*[F.col(c) for c in points.columns]).orderBy(F.desc(depth), order)
-    return pairs.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+#: Places in a stretch, where the caller doesn't say.
+STRETCH = 256
+
+
+def deepest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, depth: str, order: str, stretch: int = STRETCH) -> DataFrame:
+    """For each point, repeated ones too, the deepest span around it, the first in order among equals. Points outside get none."""
+    once = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__times"))
+    rest = [c for c in spans.columns if c != key]
+    pairs = bucketed_overlap(once, spans, key, at, start, end, stretch)
+    best = F.min_by(F.struct(*rest), F.struct(-F.col(depth), F.col(order))).alias("__best")
+    found = pairs.groupBy(*points.columns, "__times").agg(best)
+    each = found.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return each.select(*points.columns, *[f"__best.{c}" for c in rest])
 
 
 def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
@@ -49,15 +57,30 @@ def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, v
     return filled.where("__kind = 1").select("__row.*", value)
 
 
-def nearest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, order: str) -> DataFrame:
-    """For each point the span with the nearest boundary; of equally near ones that before it, then the first in order.
+def nearest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, order: str, stretch: int = STRETCH) -> DataFrame:
+    """For each point, repeated ones too, the span with the nearest boundary; of equally near ones that before it, then the first in order.
 
-    A span around the point is nearest of all.
+    A span around the point is nearest of all. Points without a span in their
+    group get no row. The last end before a point and the first start after it
+    are looked up as of the point.
     """
-    pairs = points.join(spans, key)
-    distance = F.when(F.col(at) < F.col(start), F.col(start) - F.col(at)).when(F.col(at) >= F.col(end), F.col(at) - F.col(end) + 1).otherwise(0)
-    best = F.min_by(name, F.struct(distance.alias("d"), (F.col(at) < F.col(start)).alias("after"), F.col(order)))
-    return pairs.groupBy(*points.columns).agg(best.alias(name))
+    first = F.min_by(name, order)
+    ends = spans.groupBy(key, F.col(end).alias("__e")).agg(F.struct(F.min(end).alias("e"), F.min(order).alias("o"), first.alias("n")).alias("__before"))
+    starts = spans.groupBy(key, (-F.col(start)).alias("__s")).agg(F.struct(F.min(start).alias("s"), F.min(order).alias("o"), first.alias("n")).alias("__after"))
+    numbered = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__times")).withColumn("__back", -F.col(at) - 1)
+    around = bucketed_overlap(numbered.select(*points.columns), spans.select(key, start, end, F.col(name).alias("__name"), F.col(order).alias("__order")), key, at, start, end, stretch)
+    inside = around.groupBy(*[F.col(c).alias(f"__in_{c}") for c in points.columns]).agg(F.min_by("__name", "__order").alias("__inside"), F.min("__order").alias("__io"))
+    sided = as_of(as_of(numbered, ends, key, at, "__e", "__before"), starts, key, "__back", "__s", "__after")
+    same = [F.col(c).eqNullSafe(F.col(f"__in_{c}")) for c in points.columns]
+    joined = sided.join(inside, same, "left")
+    choice = lambda there, d, after, o, n: F.when(there, F.struct(d.cast("long").alias("d"), F.lit(after).alias("after"), o.alias("o"), n.alias("n")))
+    best = F.array_min(F.array_compact(F.array(
+        choice(F.col("__io").isNotNull(), F.lit(0), 0, F.col("__io"), F.col("__inside")),
+        choice(F.col("__before").isNotNull(), F.col(at) - F.col("__before.e") + 1, 0, F.col("__before.o"), F.col("__before.n")),
+        choice(F.col("__after").isNotNull(), F.col("__after.s") - F.col(at), 1, F.col("__after.o"), F.col("__after.n")),
+    )))
+    found = joined.withColumn("__best", best).where(F.col("__best").isNotNull())
+    return found.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*points.columns, F.col("__best.n").alias(name))
 
 
 def nearest_event(left: DataFrame, right: DataFrame, key: str, at: str, id_: str) -> DataFrame:

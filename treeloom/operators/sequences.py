@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.operators import intervals
+
 
 def numbered_names(df: DataFrame, group: list[str], name: str, order: str) -> DataFrame:
     """``fs_name``: the first of equal names keeps it, later ones get ``-2``, ``-3``."""
@@ -21,8 +23,31 @@ def kind_suffixed_names(df: DataFrame, group: list[str], name: str, kind: str, o
 
 
 def free_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``free``: each name once; a later one takes the next ``-n`` (session ids)."""
-    return numbered_names(df, [], name, order).withColumnRenamed("fs_name", "free")
+    """``free``: the name itself if no earlier row took it, else the first of ``-2``, ``-3``, ... that is free (session ids).
+
+    ``order`` has no ties. What a row may take depends on all rows before it
+    whose names differ in numbers at the end only, so these are dealt with one
+    after another; they are the sessions that were given one name.
+    """
+    import pandas as pd
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, following, free = set(), {}, []
+        rows = rows.sort_values("o")
+        for asked in rows["n"]:
+            got, k = asked, following.get(asked, 2)
+            while got in taken:
+                got, k = f"{asked}-{k}", k + 1
+            following[asked] = k
+            taken.add(got)
+            free.append(got)
+        return rows.assign(free=free)[["o", "free"]]
+
+    base = F.regexp_extract(F.col("n"), "^(.*?)(-[0-9]+)*$", 1)
+    asked = df.select(F.col(order).alias("o"), F.col(name).alias("n"))
+    kind = df.schema[order].dataType.simpleString()
+    dealt = asked.where(F.col("n").isNotNull()).groupBy(base.alias("base")).applyInPandas(deal, f"o {kind}, free string")
+    return df.join(dealt.withColumnRenamed("o", order), order, "left")
 
 
 def history_name(nth: Column, date: Column, key: Column, slug: Column) -> Column:
@@ -51,10 +76,14 @@ def longest_run(df: DataFrame, group: str, order: str, value: str, least: int) -
 
 
 def island_around(df: DataFrame, group: str, order: str, value: str, probes: DataFrame, at: str) -> DataFrame:
-    """The first and last row of the island that holds each probe (group, at)."""
-    marked = islands(df, group, order, value)
-    bounds = marked.groupBy(group, value, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-    return probes.join(bounds, group).where((F.col(at) >= F.col("first")) & (F.col(at) <= F.col("last"))).drop("island")
+    """The first and last row of the island that holds each probe (group, at); probes outside all rows get none.
+
+    Islands don't overlap, so the one that begins last before a probe is the
+    only one that can hold it.
+    """
+    bounds = islands(df, group, order, value).groupBy(group, value, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    held = intervals.as_of(probes, bounds.withColumn("__b", F.struct(value, "first", "last")), group, at, "first", "__b")
+    return held.where(F.col("__b").isNotNull() & (F.col(at) <= F.col("__b.last"))).select(*probes.columns, f"__b.{value}", "__b.first", "__b.last")
 
 
 def paired(df: DataFrame, group: str, order: str, opens: Column, closes: Column) -> DataFrame:
