@@ -70,6 +70,11 @@ def block_summary(languages: Column) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, " block (").otherwise(" blocks ("), names, F.lit(")"))
 
 
+def staged_counts(ops: DataFrame, group: list[str], file: str) -> DataFrame:
+    """(group, ops, files): how many operations are staged, and in how many files."""
+    return ops.groupBy(*group).agg(F.count(F.lit(1)).alias("ops"), F.count_distinct(file).alias("files"))
+
+
 def validation(outcome: Column) -> Column:
     """FAIL if any failed, else PASS if any passed, else null. An aggregate over pass, fail and skip."""
     return F.when(F.coalesce(F.bool_or(outcome == "fail"), F.lit(False)), "FAIL").when(F.coalesce(F.bool_or(outcome == "pass"), F.lit(False)), "PASS")

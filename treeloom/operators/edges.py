@@ -31,6 +31,11 @@ def feature(edges: DataFrame, name: str, file: Column | None = None, line: Colum
     return rows.select(F.col(f"{asked}_file").alias("of_file"), (F.col(f"{asked}_line") + 1).alias("of_line"), F.col(f"{shown}_file").alias("file"), (F.col(f"{shown}_line") + 1).alias("line"), "name")
 
 
+def by_file(rows: DataFrame) -> DataFrame:
+    """(file, refs, symbols, lines) of a feature's rows (file, line, name): how many, of how many names, and on which lines."""
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("name").alias("symbols"), F.array_sort(F.collect_set("line")).alias("lines"))
+
+
 def linked(rows: DataFrame, symbols: DataFrame, root: str) -> DataFrame:
     """Rows (file, line, name) inside ``root`` with the symbol around them, and the name of a link to it.
 

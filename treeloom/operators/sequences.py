@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,26 @@ def after_last(df: DataFrame, group: str, order: str, marker: Column) -> DataFra
     return df.withColumn("__last", last).where(F.col("__last").isNull() | (F.col(order) > F.col("__last"))).drop("__last")
 
 
+#: How lists of records are sliced: one from 1, a range, or the last so many.
+SLICE = re.compile(r"(?:(?P<first>[1-9][0-9]*)(?:-(?P<last>[1-9][0-9]*))?|-(?P<tail>[1-9][0-9]*))\Z")
+
+
+def sliced_rows(df: DataFrame, group: list[str], order: list[str], spec: str) -> DataFrame:
+    """The records of each group that ``M``, ``M-N`` or ``-N`` selects, clamped, with ``nth``, their place from 1.
+
+    ``order`` has no ties. Raises ValueError for another or an inverted spec.
+    """
+    found = SLICE.match(spec)
+    if found is None or found["last"] and int(found["last"]) < int(found["first"]):
+        raise ValueError(f"not a slice: {spec}")
+    forward = Window.partitionBy(*group).orderBy(*order)
+    if found["tail"]:
+        back = Window.partitionBy(*group).orderBy(*map(F.desc, order))
+        return df.withColumns({"nth": F.row_number().over(forward), "__r": F.row_number().over(back)}).where(F.col("__r") <= int(found["tail"])).drop("__r")
+    first = int(found["first"])
+    return df.withColumn("nth", F.row_number().over(forward)).where(F.col("nth").between(first, int(found["last"] or first)))
+
+
 def islands(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """``island``: a number that consecutive rows of equal ``value`` share."""
     whole = Window.partitionBy(group).orderBy(order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeloom.operators import aggregates
+from treeloom.operators import aggregates, graph, history
 from treeloom.plans.registry import query, read
 
 
@@ -37,7 +37,9 @@ def ext_dominant(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def ext_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Files by extension, where sources are the extensions."""
+    index = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc."), "source").alias("path"))
+    return history.extensions(index).withColumnRenamed("ext", "source")
 
 
 @query("""
@@ -92,17 +94,18 @@ def child_counts(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS ops, count(DISTINCT user_id) AS files FROM events GROUP BY event_type")
 def staged_counts(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("ops"), F.count_distinct("user_id").alias("files"))
+    return aggregates.staged_counts(read(spark, sf_dir, "events"), ["event_type"], "user_id")
 
 
 @query("""
 WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS ahead, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS behind""")
 def ahead_behind(spark, sf_dir):
-    """Sizes of two set differences, in one pass."""
+    """Two branches whose commits merge the customers of open and of urgent orders; neither counts itself."""
     orders = read(spark, sf_dir, "orders")
-    sides = orders.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "O").alias("a"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("b"))
-    return sides.agg(F.count_if(F.col("a") & ~F.col("b")).alias("ahead"), F.count_if(F.col("b") & ~F.col("a")).alias("behind"))
+    side = lambda name, which: orders.where(which).select(F.lit(name).alias("hash"), F.col("o_custkey").cast("string").alias("parent")).distinct()
+    parents = side("local", F.col("o_orderstatus") == "O").unionByName(side("upstream", F.col("o_orderpriority") == "1-URGENT"))
+    return graph.ahead_behind(parents, "local", "upstream").select((F.col("ahead") - 1).alias("ahead"), (F.col("behind") - 1).alias("behind"))
 
 
 @query("""

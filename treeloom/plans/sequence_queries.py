@@ -140,7 +140,7 @@ def distinct_first_seen(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_suppkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY ALL")
 def dedup_matches(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    return aggregates.first_seen(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey"], "l_linenumber").withColumnRenamed("first_seen", "l_linenumber")
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
+from treeloom.operators import sequences
 from treeloom.plans.registry import query, read
 
 LINES = "(CASE WHEN list_extract(string_split(text, chr(10)), -1) = '' THEN string_split(text, chr(10))[1:len(string_split(text, chr(10)))-1] ELSE string_split(text, chr(10)) END)"
@@ -43,8 +44,7 @@ def line_slice_single(spark, sf_dir):
 SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2""")
 def line_slice_tail(spark, sf_dir):
     """The last two turns of each conversation."""
-    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(last).alias("r")).where("r <= 2").drop("r")
+    return sequences.sliced_rows(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "-2").drop("nth")
 
 
 @query("""
@@ -52,8 +52,7 @@ SELECT o_custkey, o_orderkey, CAST(r AS INTEGER) AS nth FROM (
   SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r BETWEEN 3 AND 100""")
 def record_slice_clamp(spark, sf_dir):
     """Records 3 to 100 of each customer, as far as there are so many."""
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).alias("nth")).where(F.col("nth").between(3, 100))
+    return sequences.sliced_rows(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "3-100").drop("o_orderdate")
 
 
 TOKENS = "CASE WHEN strlen(text) // 4 >= 1000 THEN '~' || (strlen(text) // 4 // 1000) || '.' || ((strlen(text) // 4 % 1000) // 100) || 'k' ELSE '~' || (strlen(text) // 4) END"

@@ -109,7 +109,11 @@ def linked_callers(spark, sf_dir):
 @query("SELECT l_suppkey, count(*) AS refs, count(DISTINCT l_partkey) AS symbols, list_sort(list(DISTINCT l_linenumber)) AS lines FROM lineitem GROUP BY l_suppkey")
 def references_by_file(spark, sf_dir):
     """Locations grouped by file."""
-    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("l_partkey").alias("symbols"), F.array_sort(F.collect_set("l_linenumber")).alias("lines"))
+    refs = read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("src_file"), (F.col("l_linenumber") - 1).alias("src_line"), F.lit("ref").alias("edge_kind"),
+        F.lit("lib.rs").alias("dst_file"), F.lit(0).alias("dst_line"), F.col("l_partkey").alias("name"),
+    )
+    return edges.by_file(edges.feature(refs, "REFERENCES")).withColumnRenamed("file", "l_suppkey")
 
 
 @query("""
