@@ -165,10 +165,7 @@ class LineIndex:
         Texts are read once; a batch is the documents whose ids hash alike.
         """
         rows = postings_of(docs, self.least).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)).cast("int"))
-        self.files += 1
-        arrived = f"{self.path}/arrived/{self.files}"
-        rows.write.partitionBy("batch").parquet(arrived)
-        came = self.spark.read.schema("key binary, doc_id long, batch int").parquet(arrived)
+        came = self._read([self._write(rows, "arrived")], "key binary, doc_id long, batch int")
         if self.postings_paths:
             held = self.postings().select(F.col("doc_id").alias("old")).distinct()
             if came.select("doc_id").distinct().join(held, F.col("doc_id").eqNullSafe(F.col("old")), "left_semi").limit(1).count():
