@@ -154,6 +154,18 @@ def test_indexing_stream(spark, tmp_path):
     assert states[-1][1] == "quiescent"
 
 
+def test_indexing_is_forced_after_its_timeout(spark, tmp_path):
+    s = 1_000_000
+    events = [("a", 0, "t", True), ("a", 4 * s, "u", True), ("a", 12 * s, "u", False), ("b", s, "t", True), ("b", 2 * s, "t", False), ("c", 0, "t", True)]
+    row = lambda k, t, n, b: (k, stamp(BASE + t), n, b)
+    batches = [[row(*e) for e in events], [row("z", 60 * s, "t", True)], [row("z", 61 * s, "t", True)]]
+    got = streamed(spark, tmp_path, lambda d: jobs.indexing(d, s, 10 * s), batches, "key string, ts timestamp, token string, begins boolean", "append")
+    assert sorted((r["key"], r["ready_at"] - BASE) for r in got if r["key"] != "z") == [("a", 10 * s), ("b", 3 * s), ("c", 10 * s)]
+    for key, at in (("a", 10 * s), ("b", 3 * s)):
+        states = caches.indexing_states([(t, n, b) for k, t, n, b in [*events, (key, 30 * s, "end", True)] if k == key], s, 10 * s)
+        assert (at, "ready") in states
+
+
 def test_generation_stream_and_propagation(spark, tmp_path):
     batches = [[("src/a.rs",), ("src/b.rs",)], [("src/a.rs",), ("top",)]]
     got = streamed(spark, tmp_path, jobs.generations, batches, "path string", "complete")

@@ -5,8 +5,9 @@ import random
 import pytest
 
 from treeloom.analysis import rules
-from treeloom.operators import edits, graph, intervals, policies, sequences
+from treeloom.operators import caches, edges, edits, graph, intervals, policies, sequences
 from treeloom.parse import tables
+from treeloom.sources import files
 
 
 def free(names):
@@ -111,6 +112,47 @@ def test_ancestor_sum_of_any_depth(spark):
     assert got == {i: i for i in range(100)}
 
 
+def test_servers_by_root_marker_and_override(spark):
+    servers = spark.createDataFrame(
+        [("deno", 0, "ts", ["ts"], ["deno.json"], True), ("tsserver", 1, "ts", ["ts"], ["package.json", "tsconfig.json"], True), ("ruff", 2, "py", ["py"], [], True), ("pyright", 3, "py", ["py"], None, True), ("off", 4, "py", ["py"], [], False)],
+        "server string, ord int, language string, exts array<string>, markers array<string>, enabled boolean",
+    )
+    parsers = spark.createDataFrame([("ts",), ("py",)], "ext string")
+    here = edges.applicable(servers, spark.createDataFrame([("package.json",), ("src",)], "name string"))
+    assert sorted(r["server"] for r in here.collect()) == ["off", "pyright", "ruff", "tsserver"]
+    found = lambda **kw: {r["ext"]: r["server"] for r in edges.server_index(here, parsers, **kw).collect()}
+    assert found() == {"ts": "tsserver", "py": "ruff"}
+    wanted = spark.createDataFrame([("py", "pyright"), ("ts", "off")], "ext string, server string")
+    assert found(overrides=wanted) == {"ts": "tsserver", "py": "pyright"}
+
+
+def test_pulled_before_published(spark):
+    pulled = spark.createDataFrame([("a", "full", "new"), ("b", "unchanged", "old"), ("c", "full", None)], "file string, kind string, rows string")
+    store = spark.createDataFrame([("a", "stale"), ("b", "kept"), ("d", "pushed")], "file string, rows string")
+    got = {r["file"]: r["rows"] for r in caches.pulled_or_published(pulled, store, "file", "rows").collect()}
+    assert got == {"a": "new", "b": None, "c": None, "d": "pushed"}
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    df = spark.createDataFrame([("a.rs", "fn f() {}"), ("dir/sub/é.md", "# ü\n"), ("empty", ""), ("none", None)], "path string, text string")
+    got = {r["path"]: r["n_bytes"] for r in files.materialise(df, str(tmp_path)).collect()}
+    assert got == {"a.rs": 9, "dir/sub/é.md": 5, "empty": 0}
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {"a.rs": "fn f() {}", "dir/sub/é.md": "# ü\n", "empty": ""}
+    for bad in ("../x", "/etc/x", "a//b", "a/../b"):
+        with pytest.raises(Exception, match="not a path below"):
+            files.materialise(spark.createDataFrame([(bad, "x")], "path string, text string"), str(tmp_path)).collect()
+
+
+def test_sliced_rows(spark):
+    df = spark.createDataFrame([("g", i) for i in range(1, 7)] + [("h", 1)], "g string, i long")
+    got = lambda spec: sorted((r["g"], r["i"], r["nth"]) for r in sequences.sliced_rows(df, ["g"], ["i"], spec).collect())
+    assert got("-2") == [("g", 5, 5), ("g", 6, 6), ("h", 1, 1)]
+    assert got("2") == [("g", 2, 2)] and got("5-100") == [("g", 5, 5), ("g", 6, 6)]
+    for bad in ("0", "4-2", "x", "-0", "", "1-"):
+        with pytest.raises(ValueError, match="not a slice"):
+            sequences.sliced_rows(df, ["g"], ["i"], bad)
+
+
 def test_analyse_parses_each_file_once(spark):
     """The rules read nodes that are settled; no rule goes back to the parser."""
     seen = spark.sparkContext.accumulator(0)

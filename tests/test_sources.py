@@ -162,3 +162,17 @@ def test_topological_depth(spark):
     circle = spark.createDataFrame([("x", "y"), ("y", "x")], "item string, needs string")
     with pytest.raises(graph.CycleError, match="x|y"):
         graph.depths(circle.select("item"), circle, levels=5)
+
+
+def test_stashes(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], cwd=tmp_path, check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "f").write_text("one\n")
+    run("add", "f")
+    run("commit", "-qm", "first")
+    assert git.read(spark, str(tmp_path), "stashes").count() == 0
+    for text in ("two", "three"):
+        (tmp_path / "f").write_text(text)
+        run("stash", "push", "-q", "-m", text)
+    got = git.read(spark, str(tmp_path), "stashes").orderBy("nth").collect()
+    assert [r["nth"] for r in got] == [0, 1] and [r["message"].split(": ")[-1] for r in got] == ["three", "two"]

@@ -86,6 +86,18 @@ def latest(publications: DataFrame, marks: DataFrame, key: str, at: str, value:
     return last.join(marked, key, "full").select(key, value, F.coalesce(F.col("marked") > F.col("published"), F.col("published").isNull()).alias("dirty"))
 
 
+def pulled_or_published(pulled: DataFrame, published: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): what a server answered when asked, else what it published last.
+
+    ``pulled`` has (key, kind, value): a ``full`` answer counts, any other kind
+    (unchanged, partial) gives null, the empty result. Keys that weren't asked
+    for take the value of ``published`` (see :func:`latest`).
+    """
+    asked = pulled.select(key, F.lit(True).alias("__asked"), F.when(F.col("kind") == "full", F.col(value)).alias("__pulled"))
+    both = asked.join(published.select(key, value), key, "full")
+    return both.select(key, F.when(F.col("__asked"), F.col("__pulled")).otherwise(F.col(value)).alias(value))
+
+
 def ready_times(progress: DataFrame, key: str, at: str, token: str, begins: Column, quiet: int) -> DataFrame:
     """(key, ready_at): when a server has first been without open tokens for ``quiet``; null if never before its last event.
 

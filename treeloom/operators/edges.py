@@ -57,7 +57,22 @@ def search(symbols: DataFrame, wanted: str, limit: int = 20) -> DataFrame:
     return symbols.where(F.contains(F.lower("name"), F.lit(wanted.lower()))).orderBy("server", "ord").limit(limit)
 
 
-def server_index(servers: DataFrame, parsers: DataFrame) -> DataFrame:
-    """(ext, server, language): enabled servers for the extensions that have a parser; the first listed wins."""
-    each = servers.where("enabled").select("server", "ord", "language", F.explode("exts").alias("ext")).join(parsers, "ext", "left_semi")
-    return each.groupBy("ext").agg(F.min_by(F.struct("server", "language"), "ord").alias("s")).select("ext", "s.*")
+def applicable(servers: DataFrame, entries: DataFrame) -> DataFrame:
+    """Servers (server, markers, ...) one of whose root ``markers`` is among a project's root entries (name), or that need none."""
+    names = F.broadcast(entries.select(F.col("name").alias("__m")).distinct())  # the files directly in one folder
+    marked = servers.select("server", F.explode("markers").alias("__m")).join(names, "__m", "left_semi").select("server").distinct()
+    found = marked.select(F.col("server").alias("__s"), F.lit(True).alias("__found"))
+    needless = F.coalesce(F.size("markers"), F.lit(0)) <= 0
+    return servers.join(found, F.col("server") == F.col("__s"), "left").where(needless | F.col("__found")).drop("__s", "__found")
+
+
+def server_index(servers: DataFrame, parsers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(ext, server, language): enabled servers for the extensions that have a parser; the first listed wins.
+
+    An override (ext, server) from the configuration goes before that, if its server is enabled.
+    """
+    each = servers.where("enabled").select("server", "ord", "language", F.explode("exts").alias("ext")).join(parsers, "ext", "left_semi").withColumn("by_ext", F.lit(1))
+    if overrides is not None:
+        chosen = servers.where("enabled").select("server", "ord", "language").join(overrides.select("ext", "server"), "server").join(parsers, "ext", "left_semi")
+        each = each.unionByName(chosen.select("server", "ord", "language", "ext", F.lit(0).alias("by_ext")))
+    return each.groupBy("ext").agg(F.min_by(F.struct("server", "language"), F.struct("by_ext", "ord")).alias("s")).select("ext", "s.*")

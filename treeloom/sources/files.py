@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +69,37 @@ def overview(texts_: DataFrame) -> DataFrame:
 def write(results: DataFrame, folder: str) -> None:
     """Stores (path, text) results as a table partitioned by folder; files are materialised from it."""
     results.withColumn("folder", paths.parent(F.col("path"))).write.mode("overwrite").partitionBy("folder").parquet(folder)
+
+
+def materialise(results: DataFrame, root: str) -> DataFrame:
+    """Writes each (path, text) below ``root`` as a file and gives (path, n_bytes) of what was written; null texts write nothing.
+
+    ``root`` is a folder that all executors share. A file is written beside its
+    place and then moved there, so a task that is tried again leaves whole
+    files. Paths that lead out of ``root`` are an error. Writing happens when
+    the result is computed.
+    """
+    import pyarrow as pa
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            done = []
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path is None or body is None:
+                    continue
+                parts = path.split("/")
+                if path.startswith("/") or not all(parts) or ".." in parts or "." in parts:
+                    raise ValueError(f"not a path below the root: {path!r}")
+                place, raw = "/".join([base.rstrip("/"), *parts]), body.encode("utf-8")
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                beside = f"{place}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(beside) as out:
+                    out.write(raw)
+                store.move(beside, place)
+                done.append((path, len(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "n_bytes"])
+
+    return results.select("path", "text").mapInArrow(put, "path string, n_bytes long")

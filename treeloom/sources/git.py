@@ -25,6 +25,7 @@ TABLES = {
     "status": "path string, flags long",
     "refs": "name string, kind string, target string, is_head boolean",
     "notes": "hash string, note string",
+    "stashes": "nth int, hash string, message string",
 }
 #: Flags of a status entry, by the two letters of the short status.
 INDEX_FLAGS = {"A": 1, "M": 2, "D": 4, "R": 8, "T": 16}
@@ -144,6 +145,12 @@ class GitReader(DataSourceReader):
             short = name.split("/", 2)[2]
             yield short, kind, target, kind == "branch" and short == head
 
+    def read_stashes(self, _: list[str]) -> Iterator[tuple]:
+        out = self.git("stash", "list", "--format=%H%x00%s", check=False).decode("utf-8", "replace")
+        for i, line in enumerate(out.splitlines()):
+            hash_, _, message = line.partition("\0")
+            yield i, hash_, message
+
     def read_notes(self, _: list[str]) -> Iterator[tuple]:
         for line in self.git("notes", "list", check=False).decode().splitlines():
             blob, commit = line.split()

@@ -15,6 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from treeloom.operators.caches import CAP, ECHO, QUIET
 
+#: Fixed value: microseconds after which a server that is still indexing counts as ready.
+INDEXING_TIMEOUT = 120_000_000
+
 
 def cut(times: list[int], items: list[str], begin: int | None, last: int | None, held: list[str], quiet: int, cap: int) -> tuple[list[tuple[int, list[str]]], int | None, int | None, list[str]]:
     """Follows events in order; (closed batches, begin, last, held) of the batch that is open."""
@@ -103,34 +106,36 @@ def diagnostics(events: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, value string, dirty boolean", "value string, published long, marked long", "update", GroupStateTimeout.NoTimeout)
 
 
-def indexing(events: DataFrame, quiet: int) -> DataFrame:
-    """(key, ready_at): once for each server of a stream (key, ts, token, begins), when it has been quiet long enough."""
+def indexing(events: DataFrame, quiet: int, timeout: int = INDEXING_TIMEOUT) -> DataFrame:
+    """(key, ready_at): once for each server of a stream (key, ts, token, begins), when it has been
+    quiet for ``quiet`` microseconds, or ``timeout`` after its first event, whichever comes first."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_, since, ready = state.get if state.exists else ([], None, False)
+        open_, since, begun, ready = state.get if state.exists else ([], None, None, False)
         open_, found = set(open_), None
+        due = lambda: begun + timeout if since is None else min(since + quiet, begun + timeout)
         if state.hasTimedOut:
-            if not ready and since is not None:
-                found, ready = since + quiet, True
-            state.update((sorted(open_), since, ready))
+            if not ready:
+                found, ready = due(), True
         else:
             for at, token, begins in pd.concat(list(frames)).sort_values("at")[["at", "token", "begins"]].itertuples(index=False):
-                if not ready and since is not None and at - since >= quiet:
-                    found, ready = since + quiet, True
+                begun = int(at) if begun is None else begun
+                if not ready and at >= due():
+                    found, ready = due(), True
                 if begins:
                     open_.add(token)
                     since = None
                 elif token in open_:
                     open_.discard(token)
-                    since = at if not open_ else None
-            state.update((sorted(open_), since, ready))
-            if since is not None and not ready:
-                state.setTimeoutTimestamp(max((since + quiet) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+                    since = int(at) if not open_ else None
+        state.update((sorted(open_), since, begun, ready))
+        if not ready:
+            state.setTimeoutTimestamp(max(due() // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if found is not None:
             yield pd.DataFrame({"key": [key[0]], "ready_at": [found]})
 
     rows = events.select("key", "ts", F.unix_micros("ts").alias("at"), "token", "begins").withWatermark("ts", "0 seconds")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, ready_at long", "open array<string>, since long, ready boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ready_at long", "open array<string>, since long, begun long, ready boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def generations(changes: DataFrame) -> DataFrame:
