@@ -43,9 +43,9 @@ def linked(rows: DataFrame, symbols: DataFrame, root: str) -> DataFrame:
     from 1. Rows outside of all symbols link to their line. Of rows with one
     link name the first counts.
     """
-    inside = rows.where(F.col("file").startswith(root)).withColumn("row", F.monotonically_increasing_id())
-    around = intervals.deepest(inside.select("row", "file", "line"), symbols, "file", "line", "start", "stop", "depth", "ord").select("row", "fs_name")
-    named = inside.join(around, "row", "left")
+    inside = rows.where(F.col("file").startswith(root))
+    around = intervals.deepest(inside.select("file", "line").distinct(), symbols, "file", "line", "start", "stop", "depth", "ord").select("file", "line", "fs_name")
+    named = inside.join(around, ["file", "line"], "left")
     link = paths.target_link(F.col("name"), F.col("file"), F.col("line"))
     target = F.coalesce(F.concat(F.col("file"), F.lit("@/symbols/"), F.col("fs_name"), F.lit("@")), F.concat(F.col("file"), F.lit("@/lines:"), F.col("line").cast("string")))
     best = F.min_by(F.struct(F.col("file"), F.col("line"), target.alias("target")), F.struct("file", "line"))
