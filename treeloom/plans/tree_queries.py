@@ -50,7 +50,7 @@ WORDS_SQL = "(?i)(the|thing|ver|eau|ci)"
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 10 < 10), unnest(range(1, len(ls) + 1)) AS u(i)),
+WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
 t AS (SELECT *, string_split_regex(line, '(?i)(?:the|thing|ver|eau|ci)') AS pieces, regexp_extract_all(line, '{WORDS_SQL}') AS hits FROM l)
 SELECT doc_id, line_no, CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS INTEGER) AS col, upper(hits[k]) AS tag FROM t, unnest(range(1, len(hits) + 1)) AS u(k)""")
 def tag_scan(spark, sf_dir):
@@ -184,7 +184,7 @@ def edit_ranges(spark, sf_dir):
 
 @query(f"""
 WITH {EDITS}, f AS (SELECT *, CASE kind WHEN 'replace' THEN b WHEN 'delete' THEN gone ELSE s END AS t, CASE kind WHEN 'replace' THEN 'NEW' WHEN 'delete' THEN '' WHEN 'insert_before' THEN 'NEW' || chr(10) ELSE chr(10) || 'NEW' END AS new FROM r)
-SELECT doc_id, left(body, s) || new || CASE WHEN t < 10 THEN '<<' ELSE '' END || body[t+1:] AS result FROM f""".replace(" || CASE WHEN t < 10 THEN '<<' ELSE '' END", ""))
+SELECT doc_id, left(body, s) || new || body[t+1:] AS result FROM f""")
 def edit_apply(spark, sf_dir):
     """The texts after their edits."""
     return edits.applied(resolved_edits(spark, sf_dir), ["doc_id"], "body")
