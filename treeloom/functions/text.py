@@ -193,8 +193,9 @@ def narrowed(permissions: Column, mode: Column) -> Column:
 
 
 def comm(name: Column) -> Column:
-    """A process name as the kernel keeps it: 15 bytes."""
-    return F.substring(name, 1, 15)
+    """A process name as the kernel keeps it: as many whole characters as 15 bytes hold."""
+    fits = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda n: F.octet_length(F.left(name, n)) <= 15)
+    return F.left(name, F.array_max(fits))
 
 
 def line_of(text: Column, needle: Column) -> Column:
