@@ -6,7 +6,8 @@ against these on finished streams.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -133,3 +134,132 @@ def indexing_states(rows: Iterator[tuple[int, str, bool]], quiet: int, timeout:
             since = at if not open_ else None
         out.append((at, "ready" if ready else "indexing" if open_ else "quiescent"))
     return out
+
+
+def followed(rows: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], object], step: Callable, outcome: str, kind: str) -> DataFrame:
+    """``rows`` with ``outcome``: what ``step(state, *columns)`` says of each row, called in ``order`` within ``key``.
+
+    For states that no window can express. Rows stream through in Arrow
+    batches, sorted by Spark; a task holds one batch and the state of one key,
+    however many rows the key has. ``order`` has no ties.
+    """
+    schema = rows.schema.add(outcome, kind)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, began = None, None, False
+        for batch in batches:
+            out = []
+            for now, *values in zip(*[batch[c].tolist() for c in (key, *columns)], strict=True):
+                if not began or now != at:
+                    at, state, began = now, start(), True
+                out.append(step(state, *values))
+            yield batch.assign(**{outcome: pd.Series(out, index=batch.index, dtype=object)})
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def lru_hits(reads: DataFrame, cache: str, at: str, key: str, capacity: int = 4096) -> DataFrame:
+    """``reads`` with ``hit``: whether a cache of the ``capacity`` last used keys holds the key. Keys without a value are held too."""
+
+    def step(held: OrderedDict, k: object) -> bool:
+        hit = k in held
+        held[k] = None
+        held.move_to_end(k)
+        if len(held) > capacity:
+            held.popitem(last=False)
+        return hit
+
+    return followed(reads, cache, [at], [key], OrderedDict, step, "hit", "boolean")
+
+
+def timed_hits(reads: DataFrame, node: str, at: str, ttl: int | None) -> DataFrame:
+    """``reads`` with ``hit``: whether the node's content is still held from the read that last fetched it.
+
+    Without ``ttl`` the first read is held for good; at 0 nothing is held. A
+    hit doesn't make the content any younger, so what is fetched next depends
+    on every read before it.
+    """
+    if ttl == 0:
+        return reads.withColumn("hit", F.lit(False))
+    if ttl is None:
+        return reads.withColumn("hit", F.row_number().over(Window.partitionBy(node).orderBy(at)) > 1)
+
+    def step(state: dict, t: int) -> bool:
+        hit = "since" in state and t - state["since"] < ttl
+        if not hit:
+            state["since"] = t
+        return hit
+
+    return followed(reads, node, [at], [at], dict, step, "hit", "boolean")
+
+
+def bound_hits(ops: DataFrame, inode: str, at: str, kind: str, ttl: int) -> DataFrame:
+    """``ops`` with ``hit``: whether a ``lookup`` finds the node that was bound; null for other operations.
+
+    A ``bind`` and each ``touch`` (open or release) make it last ``ttl`` more;
+    lookups don't. A binding that ran out goes when it is looked up; a touch
+    before that revives it.
+    """
+
+    def step(state: dict, t: int, what: str) -> bool | None:
+        if what == "bind" or (what == "touch" and "until" in state):
+            state["until"] = t + ttl
+        if what != "lookup":
+            return None
+        hit = "until" in state and t <= state["until"]
+        if not hit:
+            state.clear()
+        return hit
+
+    return followed(ops, inode, [at], [at, kind], dict, step, "hit", "boolean")
+
+
+def listing_hits(ops: DataFrame, at: str, kind: str, path: str, target: str) -> DataFrame:
+    """(path, at, hit) of each ``readdir``: whether the folder's listing is held.
+
+    Creating, making, removing and renaming in a folder let its listing go, as
+    does renaming into it (``target``); an outside ``change`` lets that of the
+    path and of its parent go. So a listing is held if the folder's last
+    operation was to read it.
+    """
+    parent = F.when(F.col(path).contains("/"), F.regexp_extract(path, "^(.*)/[^/]*$", 1)).otherwise("")
+    touched = F.when(F.col(kind) == "rename", F.array_distinct(F.array(F.col(path), F.coalesce(target, path)))).when(F.col(kind) == "change", F.array_distinct(F.array(F.col(path), parent))).otherwise(F.array(path))
+    each = ops.where(F.col(kind).isin("readdir", "create", "mkdir", "remove", "rename", "change")).select(F.explode(touched).alias("path"), F.col(at).alias("at"), F.col(kind).alias("__kind"))
+    last = F.lag("__kind").over(Window.partitionBy("path").orderBy("at"))
+    return each.withColumn("hit", F.coalesce(last == "readdir", F.lit(False))).where("__kind = 'readdir'").drop("__kind")
+
+
+def documents_open(ops: DataFrame, path: str, at: str, kind: str, readable: str) -> DataFrame:
+    """``ops`` with (open, version, sent): what a server has been told of a document after each operation.
+
+    ``access`` opens it at version 0, if it can be read; each ``change`` of an
+    open document sends the next version, or closes it if it can't be read any
+    more; ``close`` closes it. What says nothing to the server sends null.
+    """
+    order = Window.partitionBy(path).orderBy(at)
+    shut = (F.col(kind) == "close") | ((F.col(kind) == "change") & ~F.col(readable))
+    life = F.coalesce(F.sum(F.when(shut, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opens = (F.col(kind) == "access") & F.col(readable)
+    within = Window.partitionBy(path, "__life").orderBy(at)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.coalesce(F.bool_or(opens).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    marked = ops.withColumn("__life", life).withColumn("__before", before)
+    version = F.sum(F.when(F.col("__before") & (F.col(kind) == "change"), 1).otherwise(0)).over(so_far)
+    is_open = (F.col("__before") | opens) & ~shut
+    sent = F.when(F.col("__before") & shut, "close").when(~F.col("__before") & opens, "open").when(F.col("__before") & (F.col(kind) == "change"), "change")
+    return marked.withColumns({"open": is_open, "version": F.when(is_open, version), "sent": sent}).drop("__life", "__before")
+
+
+def flushes(ops: DataFrame, handle: str, at: str, kind: str) -> DataFrame:
+    """(handle, at, writes, cleared) of each ``clear``: whether it leaves the buffer clean.
+
+    It does if nothing was written since the ``snapshot`` before it; else what
+    was written in the meantime (``writes``) would be lost, so the buffer stays
+    dirty. A clear without a snapshot clears nothing.
+    """
+    order = Window.partitionBy(handle).orderBy(at)
+    snap = F.max(F.when(F.col(kind) == "snapshot", F.col(at))).over(order)
+    marked = ops.withColumn("__snap", snap)
+    since = F.sum(F.when(F.col(kind) == "write", 1).otherwise(0)).over(Window.partitionBy(handle, "__snap").orderBy(at))
+    done = marked.withColumn("writes", since).where(F.col(kind) == "clear")
+    return done.select(handle, at, "writes", (F.col("__snap").isNotNull() & (F.col("writes") == 0)).alias("cleared"))

@@ -59,11 +59,11 @@ def with_note(notes_: DataFrame, newest: Column, note: str) -> DataFrame:
 
 def blame(rows: DataFrame, commits: DataFrame) -> DataFrame:
     """(path, start_line, end_line, hash, author, date, message); lines not committed yet say so."""
-    known = shown(commits).select(F.col("hash").alias("short"), "author", "date", "message")
-    named = rows.withColumn("short", F.substring("hash", 1, 7)).join(known, "short", "left")
+    known = commits.select("hash", F.coalesce("author", F.lit("unknown")).alias("author"), text.utc_date(F.col("epoch_secs")).alias("date"), text.first_line(F.col("message")).alias("message"))
+    named = rows.join(known, "hash", "left")
     new = F.col("hash") == NO_COMMIT
     return named.select(
-        "path", "start_line", "end_line", F.when(new, "uncommitted").otherwise(F.col("short")).alias("hash"), F.when(new, "you").otherwise(F.col("author")).alias("author"),
+        "path", "start_line", "end_line", F.when(new, "uncommitted").otherwise(F.substring("hash", 1, 7)).alias("hash"), F.when(new, "you").otherwise(F.col("author")).alias("author"),
         F.when(new, "-").otherwise(F.col("date")).alias("date"), F.when(new, "").otherwise(F.col("message")).alias("message"),
     )
 
@@ -107,3 +107,29 @@ def may_delete(branches: DataFrame, reach: DataFrame) -> DataFrame:
     head = branches.where("is_head").select(F.col("target").alias("start"))
     merged = reach.join(head, "start", "left_semi").select(F.col("hash").alias("target"), F.lit(True).alias("merged")).distinct()
     return branches.join(merged, "target", "left").withColumn("deletable", ~F.col("is_head") & F.coalesce("merged", F.lit(False))).drop("merged")
+
+
+def renamed_branch(name: Column, leaf: Column) -> Column:
+    """A branch's name with its last segment made ``leaf``; the segments before it stay."""
+    return F.when(name.contains("/"), F.concat(F.regexp_extract(name, "^(.*/)[^/]*$", 1), leaf)).otherwise(leaf)
+
+
+def branch_changes(branches: DataFrame, reach: DataFrame, asked: DataFrame) -> DataFrame:
+    """(name, leaf, new_name, outcome) of asked changes (name, leaf): a rename to ``leaf``, or a deletion where it is null.
+
+    ``outcome`` is ``done``, ``not-found``, ``already-exists`` (the new name is
+    taken) or ``unmerged`` (HEAD itself, or not reached by it). ``branches`` and
+    ``reach`` are those of :func:`may_delete`.
+    """
+    known = may_delete(branches, reach).select("name", F.lit(True).alias("__known"), "deletable")
+    taken = branches.select(F.col("name").alias("new_name"), F.lit(True).alias("__taken"))
+    named = asked.select("name", "leaf", renamed_branch(F.col("name"), F.col("leaf")).alias("new_name"))
+    rows = named.join(known, "name", "left").join(taken, "new_name", "left")
+    outcome = F.when(F.col("__known").isNull(), "not-found").when(F.col("leaf").isNull(), F.when(F.col("deletable"), "done").otherwise("unmerged"))
+    return rows.select("name", "leaf", "new_name", outcome.when(F.col("__taken"), "already-exists").otherwise("done").alias("outcome"))
+
+
+def index_renamed(index: DataFrame, renames: DataFrame) -> DataFrame:
+    """The tracked paths after renaming files (path, new_path): the new path is tracked, also where the old one wasn't."""
+    rest = index.join(renames.select("path"), "path", "left_anti")
+    return rest.select("path").unionByName(renames.select(F.col("new_path").alias("path"))).distinct()

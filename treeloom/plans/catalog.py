@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.plans import aggregate_queries, interval_queries, sequence_queries, source_queries, text_queries, tree_queries  # noqa: F401
+from treeloom.plans import aggregate_queries, interval_queries, sequence_queries, source_queries, surface_queries, text_queries, tree_queries  # noqa: F401
 from treeloom.plans.registry import QUERIES, SQL, Query
 
 
