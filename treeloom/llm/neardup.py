@@ -13,7 +13,7 @@ links connect it with, and how many documents it is linked with.
     of its tokens whose hash, drawn anew for each node of the path, is below
     1 / (0.8 * 64). Sets that share a chosen token meet in a bucket. Buckets
     over ``bucket_limit`` are split again by freshly chosen tokens; small ones
-    are compared by brute force on the tokens. What still is too large at the
+    are compared by brute force on a byte of each token. What still is too large at the
     greatest depth is compared in blocks, so that no bucket is capped. A pair at
     the threshold meets in one run with a chance of 0.63 at the first depth and
     0.23 at the sixth; runs are repeated until the chance of meeting reaches
@@ -208,6 +208,22 @@ def token_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
+def brief_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def briefs(sets: DataFrame) -> DataFrame:
+    """(set, brief): a byte of each token, to compare by. Equal tokens have equal bytes, and others one time in 256."""
+
+    @tidy
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = ((token_matrix(batch.column(1)) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in found], pa.binary())], names=["set", "brief"])
+
+    return sets.select("set", "tokens").mapInArrow(go, "set long, brief binary")
+
+
 NODES = "node long, set long"
 
 
@@ -318,14 +334,14 @@ class Forest:
 EDGES = "u long, v long"
 
 
-def compare_tokens(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def compare_tokens(rows: DataFrame, short: DataFrame, plan: Plan) -> DataFrame:
     """Edges of a spanning forest of what looks alike in each bucket (node, set)."""
 
     @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs = [], []
         for group in grouped_runs(batches):
-            ids, found = np.asarray(group.column(1)), token_matrix(group.column(2))
+            ids, found = np.asarray(group.column(1)), brief_matrix(group.column(2))
             ids, at = np.unique(ids, return_index=True)
             found, n = found[at], len(ids)
             if n < 2:
@@ -347,7 +363,7 @@ def compare_tokens(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
                 us, vs = [], []
         yield edge_batch(us, vs)
 
-    near = rows.join(sets.select("set", "tokens"), "set").select("node", "set", "tokens").repartition("node").sortWithinPartitions("node")
+    near = rows.join(short, "set").select("node", "set", "brief").repartition("node").sortWithinPartitions("node")
     return near.mapInArrow(go, EDGES)
 
 
@@ -359,13 +375,14 @@ def edge_batch(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
 LED = "node long, set long, to long, settled boolean"
 
 
-def led(rows: DataFrame, large: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def led(rows: DataFrame, large: DataFrame, short: DataFrame, plan: Plan) -> DataFrame:
     """(node, set, to, settled) for the sets in ``large`` (node, n) buckets: the leaders that each leads to, or itself.
 
     A bucket is dealt into parts of at most about ``bucket_limit`` sets. Its
     leaders are the sets whose hash lies in the share that gives ``n_leaders``
     of them; they go to each part, ahead of its sets. Leaders that look alike
-    count as one.
+    count as one. Tokens differ where their bytes do, here as in buckets, so
+    what a leader settles holds for whatever a bucket would have joined.
     """
     total = large.agg(F.sum("n")).first()[0] or 1
     inside = looked_up(rows, large.select("node", F.struct("n").alias("sized"), "n"), "node", "sized", "n", total, "set").where(F.col("sized").isNotNull())
@@ -373,13 +390,13 @@ def led(rows: DataFrame, large: DataFrame, sets: DataFrame, plan: Plan) -> DataF
     is_leader = F.pmod(F.xxhash64("set", F.lit(plan.seed)), F.lit(1 << 40)) < F.lit(plan.n_leaders * float(1 << 40)) / F.col("n")
     members = inside.select("node", F.pmod(F.xxhash64("set"), "parts").alias("part"), F.lit(1).alias("kind"), "set")
     leaders = inside.where(is_leader).select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "set")
-    dealt = members.unionByName(leaders).join(sets.select("set", "tokens"), "set").select(F.xxhash64("node", "part").alias("grp"), "kind", "node", "set", "tokens")
+    dealt = members.unionByName(leaders).join(short, "set").select(F.xxhash64("node", "part").alias("grp"), "kind", "node", "set", "brief")
 
     @tidy
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = COORDINATES - math.ceil(plan.alike * COORDINATES) + plan.settled
         for group in grouped_runs(batches):
-            kind, node, ids, found = np.asarray(group.column(1)), np.asarray(group.column(2)), np.asarray(group.column(3)), token_matrix(group.column(4))
+            kind, node, ids, found = np.asarray(group.column(1)), np.asarray(group.column(2)), np.asarray(group.column(3)), brief_matrix(group.column(4))
             order = np.lexsort((ids, kind))
             first = order[np.r_[True, (np.diff(kind[order]) != 0) | (np.diff(ids[order]) != 0)]]  # a repeated row gives its set again
             kind, node, ids, found = kind[first], node[first], ids[first], found[first]
@@ -408,15 +425,15 @@ def led(rows: DataFrame, large: DataFrame, sets: DataFrame, plan: Plan) -> DataF
 
 def met(sets: DataFrame, all_sets: DataFrame, plan: Plan, runs: range) -> tuple[list[DataFrame], DataFrame | None]:
     """(edges, split): what meets in ``runs`` and looks alike, and the sets that a split left unsettled, if any."""
-    rows, out, split = written(roots(sets, plan, runs), "nodes"), [], None
+    rows, short, out, split = written(roots(sets, plan, runs), "nodes"), written(briefs(sets), "briefs"), [], None
     for depth in range(1, plan.max_depth + 1):
         sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
         large = sizes.where(F.col("n") > plan.bucket_limit)
         n_large = large.count()
-        out.append(written(compare_tokens(rows.join(sizes.where(F.col("n") <= plan.bucket_limit), "node", "left_semi"), all_sets, plan), "loose"))
+        out.append(written(compare_tokens(rows.join(sizes.where(F.col("n") <= plan.bucket_limit), "node", "left_semi"), short, plan), "loose"))
         if n_large:
             if plan.n_leaders:
-                heads = written(led(rows, large, all_sets, plan), "led")
+                heads = written(led(rows, large, short, plan), "led")
                 out.append(heads.where("set <> to").select(F.col("set").alias("u"), F.col("to").alias("v")))
                 unsettled = heads.where("NOT settled").select("node", "set").distinct()
             else:
@@ -430,11 +447,12 @@ def met(sets: DataFrame, all_sets: DataFrame, plan: Plan, runs: range) -> tuple[
             left = written(unsettled, "unsettled")
             blocks = left.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.ceil(F.col("n") * 2 / plan.bucket_limit).alias("blocks"))
             rest = in_blocks(left, "node", blocks).select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "set")
-            out.append(written(compare_tokens(rest, all_sets, plan), "loose"))
+            out.append(written(compare_tokens(rest, short, plan), "loose"))
             gone.append(left)
         released(*gone)
         if not n_large:
             break
+    released(short)
     return out, split
 
 
