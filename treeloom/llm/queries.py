@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeloom.llm.infill import OP11_SQL, op11
 from treeloom.llm.langid import op6
 from treeloom.llm.licences import op7
 from treeloom.llm.linededup import OP3_SQL, op3
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8,
         "op9_source_mixing": op9,
         "op10_quality_rules": op10,
+        "op11_infill": op11,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": OP3_SQL,
         "op9_source_mixing": OP9_SQL,
+        "op11_infill": OP11_SQL,
     }
