@@ -15,6 +15,7 @@ from treeloom.llm.mixing import OP9_SQL, op9
 from treeloom.llm.neardup import op4
 from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
+from treeloom.llm.simhash import op12
 from treeloom.llm.toxicity import op2
 from treeloom.llm.warc import op1
 
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mixing": op9,
         "op10_quality_rules": op10,
         "op11_infill": op11,
+        "op12_simhash": op12,
     }
 
 
