@@ -17,6 +17,7 @@ from treeloom.llm.packing import op5
 from treeloom.llm.quality import op10
 from treeloom.llm.simhash import op12
 from treeloom.llm.toxicity import op2
+from treeloom.llm.turns import OP13_SQL, op13
 from treeloom.llm.warc import op1
 
 
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10,
         "op11_infill": op11,
         "op12_simhash": op12,
+        "op13_prefix_trie": op13,
     }
 
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": OP3_SQL,
         "op9_source_mixing": OP9_SQL,
         "op11_infill": OP11_SQL,
+        "op13_prefix_trie": OP13_SQL,
     }
