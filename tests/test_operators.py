@@ -57,7 +57,7 @@ def test_deepest_keeps_repeated_points(spark, seed):
             want.append((f, p, min(around)[2]))
     s = spark.createDataFrame(spans, "file string, a long, b long, depth long, ord long, name string")
     p = spark.createDataFrame(points, "file string, at long")
-    got = intervals.deepest(p, s, "file", "at", "a", "b", "depth", "ord", stretch=64).select("file", "at", "name").collect()
+    got = intervals.deepest(p, s, "file", "at", "a", "b", "depth", "ord").select("file", "at", "name").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -71,7 +71,7 @@ def test_nearest_keeps_repeated_points(spark, seed):
             want.append((f, p, min(every)[3]))
     s = spark.createDataFrame(spans, "file string, a long, b long, depth long, ord long, name string")
     p = spark.createDataFrame(points, "file string, at long")
-    got = intervals.nearest(p, s, "file", "at", "a", "b", "name", "ord", stretch=64).collect()
+    got = intervals.nearest(p, s, "file", "at", "a", "b", "name", "ord").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 

@@ -191,15 +191,6 @@ def test_nearest_prefers_what_comes_before(spark):
     assert got == {1: "a", 3: "a", 4: "b", 5: "b"}
 
 
-def test_bucketed_overlap(spark):
-    rng = random.Random(2)
-    spans = [("f", i, s, s + rng.randint(0, 40)) for i in range(50) for s in [rng.randint(0, 200)]]
-    points = [("f", p) for p in range(250)]
-    got = intervals.bucketed_overlap(spark.createDataFrame(points, "k string, at long"), spark.createDataFrame(spans, "k string, id int, s long, e long"), "k", "at", "s", "e", 16)
-    want = sorted((p, i) for _, p in points for _, i, s, e in spans if s <= p < e)
-    assert sorted((r["at"], r["id"]) for r in got.collect()) == want
-
-
 @pytest.mark.parametrize("text", ["fn f() { a **b; let c = '\"'; let d = '\\''; 'x: loop { break 'x; } }", "impl<'a> A<'a> for B where C: D { type E = F; }", "fn f() { match x { 1..=2 if y => z?, _ => {} } }", "fn f() { let S { a, .. } = s; v[1..].iter().map(|x| -> u8 { *x as u8 }); }"])
 def test_rust_without_errors(text):
     from treeloom.parse.clike import parse

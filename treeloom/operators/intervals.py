@@ -1,8 +1,8 @@
 """Interval and nearest-row operators.
 
-Intervals are two columns. Nothing here pairs all rows of a group: a point is
-looked up by sorting it among the places where the answer can change, or spans
-are listed for each stretch they touch and joined by stretch.
+Intervals are two columns. Nothing here pairs all rows of a group: what lies
+around a point is found by a sweep (:mod:`treeloom.operators.sweeps`), what lies
+before or after it by sorting it among the places where the answer changes.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.operators import sweeps
+
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Whether two inclusive ranges share a point."""
@@ -22,30 +24,11 @@ def clamp(df: DataFrame, start: str, end: str, low: Column, high: Column) -> Dat
     return inside.withColumns({start: F.greatest(F.col(start), low), end: F.least(F.col(end), high)})
 
 
-def bucketed_overlap(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, stretch: int) -> DataFrame:
-    """Pairs of points and half-open spans that contain them, within ``key``.
-
-    Spans are listed once for each stretch they touch, so a group with many
-    rows is spread over its stretches; a point meets a span once.
-    """
-    cut = spans.withColumn("__s", F.explode(F.sequence(F.floor(F.col(start) / stretch), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / stretch))))
-    dealt = points.withColumn("__s", F.floor(F.col(at) / stretch))
-    return dealt.join(cut, [key, "__s"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__s")
-
-
-#: Places in a stretch, where the caller doesn't say.
-STRETCH = 256
-
-
-def deepest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, depth: str, order: str, stretch: int = STRETCH) -> DataFrame:
+def deepest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, depth: str, order: str) -> DataFrame:
     """For each point, repeated ones too, the deepest span around it, the first in order among equals. Points outside get none."""
-    once = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__times"))
-    rest = [c for c in spans.columns if c != key]
-    pairs = bucketed_overlap(once, spans, key, at, start, end, stretch)
-    best = F.min_by(F.struct(*rest), F.struct(-F.col(depth), F.col(order))).alias("__best")
-    found = pairs.groupBy(*points.columns, "__times").agg(best)
-    each = found.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    return each.select(*points.columns, *[f"__best.{c}" for c in rest])
+    found = sweeps.innermost(points, spans, key, at, start, end, -F.col(depth), F.col(order))
+    each = found.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select("row.*", *[f"span.{c}" for c in spans.columns if c != key])
 
 
 def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
@@ -57,7 +40,7 @@ def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, v
     return filled.where("__kind = 1").select("__row.*", value)
 
 
-def nearest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, order: str, stretch: int = STRETCH) -> DataFrame:
+def nearest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, order: str) -> DataFrame:
     """For each point, repeated ones too, the span with the nearest boundary; of equally near ones that before it, then the first in order.
 
     A span around the point is nearest of all. Points without a span in their
@@ -68,8 +51,8 @@ def nearest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str,
     ends = spans.groupBy(key, F.col(end).alias("__e")).agg(F.struct(F.min(end).alias("e"), F.min(order).alias("o"), first.alias("n")).alias("__before"))
     starts = spans.groupBy(key, (-F.col(start)).alias("__s")).agg(F.struct(F.min(start).alias("s"), F.min(order).alias("o"), first.alias("n")).alias("__after"))
     numbered = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__times")).withColumn("__back", -F.col(at) - 1)
-    around = bucketed_overlap(numbered.select(*points.columns), spans.select(key, start, end, F.col(name).alias("__name"), F.col(order).alias("__order")), key, at, start, end, stretch)
-    inside = around.groupBy(*[F.col(c).alias(f"__in_{c}") for c in points.columns]).agg(F.min_by("__name", "__order").alias("__inside"), F.min("__order").alias("__io"))
+    around = sweeps.innermost(points, spans.select(key, start, end, F.col(name).alias("__name"), F.col(order).alias("__order")), key, at, start, end, F.col("__order"))
+    inside = around.select(*[F.col(f"row.{c}").alias(f"__in_{c}") for c in points.columns], F.col("span.__name").alias("__inside"), F.col("span.__order").alias("__io"))
     sided = as_of(as_of(numbered, ends, key, at, "__e", "__before"), starts, key, "__back", "__s", "__after")
     same = [F.col(c).eqNullSafe(F.col(f"__in_{c}")) for c in points.columns]
     joined = sided.join(inside, same, "left")
@@ -126,8 +109,18 @@ def in_changed_range(start: Column, end: Column, low: Column, high: Column) -> C
 
 
 def touching_commits(changes: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
-    """Changes whose new lines meet a symbol's current lines; a hunk of no lines counts as one."""
-    last = F.col("hunk_new_start") + F.greatest(F.col("hunk_new_lines"), F.lit(1)) - 1
-    hunks = changes.withColumn("hunk_end", last)
-    inside = (hunks[key] == symbols[key]) & overlaps(hunks["hunk_new_start"], F.col("hunk_end"), symbols["start_line"], symbols["end_line"])
-    return hunks.join(symbols, inside, "left_semi").drop("hunk_end")
+    """Changes whose new lines meet a symbol's current lines; a hunk of no lines counts as one.
+
+    A hunk meets a symbol if one lies around its first line, or if the next to
+    begin after that does so before the hunk ends.
+    """
+    begin = F.col("hunk_new_start").cast("long")
+    last = begin + F.greatest(F.col("hunk_new_lines"), F.lit(1)) - 1
+    ends = symbols.select(key, F.col("start_line").cast("long").alias("__s"), (F.col("end_line") + 1).cast("long").alias("__e"))
+    hunks = changes.where(F.col(key).isNotNull()).withColumns({"__at": begin, "__last": last, "__back": -begin})
+    starts = ends.groupBy(key, (-F.col("__s")).alias("__s")).agg(F.min("__s").alias("__next"))
+    sided = as_of(hunks, starts, key, "__back", "__s", "__next")
+    places = hunks.select(F.col(key).alias("__key"), "__at").distinct()
+    inside = sweeps.innermost(places, ends.withColumnRenamed(key, "__key"), "__key", "__at", "__s", "__e", F.col("__e")).select(F.col("row.__key").alias("__in_key"), F.col("row.__at").alias("__in_at"), F.lit(True).alias("__in"))
+    met = sided.join(inside, (F.col(key) == F.col("__in_key")) & (F.col("__at") == F.col("__in_at")), "left")
+    return met.where(F.col("__in") | (F.col("__next") <= F.col("__last"))).select(*changes.columns)

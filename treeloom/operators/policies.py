@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.operators import intervals
+from treeloom.operators import sweeps
 
 
 def access_mode(tool: Column, n_lines: Column, limit: Column, threshold: Column, narrow: int = 50) -> Column:
@@ -42,7 +42,7 @@ def changed_range(edits: DataFrame, scopes: DataFrame, least: int = 5) -> DataFr
     e = edits.select("path", F.col("row_start").alias("a"), F.col("row_end").alias("b"))
     size = F.col("row_end") - F.col("row_start") + 1
     named = scopes.where("name is not null").withColumn("__end", F.col("row_end") + 1)
-    around = intervals.bucketed_overlap(e, named, "path", "a", "row_start", "__end", intervals.STRETCH)
+    around = sweeps.containing(e.distinct(), named, "path", "a", "row_start", "__end").select("row.*", "span.row_start", "span.row_end")
     around = around.where((F.col("row_end") >= F.col("b")) & (size >= F.greatest(F.col("b") - F.col("a") + 1, F.lit(least))))
     best = around.groupBy("path", "a", "b").agg(F.min_by(F.struct("row_start", "row_end"), size).alias("s"))
     return e.join(best, ["path", "a", "b"], "left").select("path", (F.coalesce("s.row_start", "a") + 1).alias("first"), (F.coalesce("s.row_end", "b") + 2).alias("last"))

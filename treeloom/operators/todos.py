@@ -54,9 +54,11 @@ def entries(files: DataFrame, key: str, body: str, tags: list[str] = TAGS) -> Da
     hits = tag_lines(files, key, body, tags)
     said = hits.where(in_comment(F.col("line"), F.col("column"))).withColumn("said", text.tag_suffix(F.col("after"))).where("said is not null")
     blocks = comment_blocks(files, key, body)
-    later = said.alias("s").join(blocks.alias("b"), (F.col(f"s.{key}") == F.col(f"b.{key}")) & (F.col("b.line_no") >= F.col("s.line_no")) & (F.col("b.block_first") <= F.col("s.line_no")), "left")
+    # A tag's own line names its block, and the block's lines are met by its first one.
+    owned = said.join(blocks.select(key, "line_no", F.col("block_first").alias("block")), [key, "line_no"], "left")
+    later = owned.alias("s").join(blocks.alias("b"), (F.col(f"s.{key}") == F.col(f"b.{key}")) & (F.col("b.block_first") == F.col("s.block")) & (F.col("b.line_no") > F.col("s.line_no")), "left")
     rest = F.regexp_replace("b.line", r"^\s*(?://+|#+)!?/? ?", "")
-    lines_ = F.array_sort(F.collect_list(F.when(F.col("b.line_no") > F.col("s.line_no"), F.struct(F.col("b.line_no").alias("n"), rest.alias("t")))))
+    lines_ = F.array_sort(F.collect_list(F.when(F.col("b.line_no").isNotNull(), F.struct(F.col("b.line_no").alias("n"), rest.alias("t")))))
     grouped = later.groupBy(F.col(f"s.{key}").alias(key), F.col("s.line_no").alias("line_no"), F.col("s.column").alias("column"), F.col("s.tag").alias("tag"), F.col("s.said").alias("said")).agg(lines_.alias("more"))
     whole = F.trim(F.array_join(F.concat(F.array("said"), F.transform("more", lambda r: r["t"])), "\n"))
     return grouped.select(key, "line_no", "tag", whole.alias("text"), text.entry_slug(whole).alias("entry"))
