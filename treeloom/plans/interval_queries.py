@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import text
-from treeloom.operators import intervals
+from treeloom.operators import intervals, sweeps
 from treeloom.plans.registry import query, read
 from treeloom.plans.text_queries import LINES
 
@@ -110,16 +110,39 @@ def point_in_changed_range(spark, sf_dir):
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS i, length(ls[i]) AS n FROM (SELECT doc_id, {LINES} AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
+WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS i FROM (SELECT doc_id, {LINES} AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
 t AS (SELECT doc_id, max(i) AS last FROM l GROUP BY doc_id),
 s AS (SELECT doc_id, 'doc' AS name, 1::BIGINT AS a, last + 1 AS b FROM t UNION ALL SELECT doc_id, 'half', 1, last // 2 + 1 FROM t UNION ALL SELECT doc_id, 'quarter', 1, last // 4 + 1 FROM t)
 SELECT doc_id, i, name FROM (SELECT l.doc_id, l.i, s.name, row_number() OVER (PARTITION BY l.doc_id, l.i ORDER BY s.b - s.a, s.name DESC) AS r
-  FROM l JOIN s ON s.doc_id = l.doc_id AND l.i >= s.a AND l.i < s.b WHERE l.n > 40) WHERE r = 1""")
+  FROM l JOIN s ON s.doc_id = l.doc_id AND l.i >= s.a AND l.i < s.b) WHERE r = 1""")
 def innermost_assignment(spark, sf_dir):
-    """Each long line to the smallest of the nested sections around it."""
+    """Each line to the smallest of the nested sections around it."""
     parts = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("p", "line"))
-    rows = parts.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), F.length("line").alias("n"))
+    rows = parts.select("doc_id", (F.col("p") + 1).cast("long").alias("i"))
     last = rows.groupBy("doc_id").agg(F.max("i").alias("last"))
     spans = last.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("depth"), F.expr(f"last div {d} + 1").alias("b")) for k, (n, d) in enumerate((("doc", 1), ("half", 2), ("quarter", 4)))])).alias("s"))
     spans = spans.select("doc_id", "s.name", "s.depth", F.lit(1).cast("long").alias("a"), "s.b")
-    return intervals.deepest(rows.where("n > 40").select("doc_id", "i"), spans, "doc_id", "i", "a", "b", "depth", "name").select("doc_id", "i", "name")
+    return intervals.deepest(rows, spans, "doc_id", "i", "a", "b", "depth", "name").select("doc_id", "i", "name")
+
+
+@query("""
+WITH h AS (SELECT l_orderkey, l_linenumber, l_suppkey AS path, l_partkey % 1000 AS a, l_partkey % 1000 + greatest(CAST(floor(l_quantity) AS BIGINT), 1) - 1 AS b FROM lineitem),
+s AS (SELECT s_suppkey AS path, i * 90 + s_nationkey AS a, i * 90 + s_nationkey + i * 3 AS b FROM supplier, unnest(range(11)) AS u(i))
+SELECT l_orderkey, l_linenumber FROM h WHERE EXISTS (SELECT 1 FROM s WHERE s.path = h.path AND h.a <= s.b AND h.b >= s.a)""")
+def touching_hunks(spark, sf_dir):
+    """Hunks that meet one of a file's eleven symbols."""
+    hunks_ = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("path"), (F.col("l_partkey") % 1000).alias("hunk_new_start"), F.floor("l_quantity").alias("hunk_new_lines"))
+    begin = F.col("i") * 90 + F.col("s_nationkey")
+    symbols = read(spark, sf_dir, "supplier").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(10)))).select(F.col("s_suppkey").alias("path"), begin.alias("start_line"), (begin + F.col("i") * 3).alias("end_line"))
+    return intervals.touching_commits(hunks_, symbols, "path").select("l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH p AS (SELECT c_custkey, c_nationkey AS k, CAST(floor(c_acctbal) AS BIGINT) AS "at" FROM customer),
+s AS (SELECT s_suppkey, s_nationkey AS k, CAST(floor(s_acctbal) AS BIGINT) AS a, CAST(floor(s_acctbal) AS BIGINT) + s_suppkey % 7 * 500 AS b FROM supplier)
+SELECT c_custkey, s_suppkey FROM p JOIN s ON p.k = s.k AND p."at" >= s.a AND p."at" < s.b""")
+def spans_around(spark, sf_dir):
+    """Every span of a supplier's balance around a customer's of the same nation."""
+    points = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.floor("c_acctbal").alias("at"))
+    spans = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.floor("s_acctbal").alias("a"), (F.floor("s_acctbal") + F.col("s_suppkey") % 7 * 500).alias("b"))
+    return sweeps.containing(points, spans, "k", "at", "a", "b").select("row.c_custkey", "span.s_suppkey")

@@ -62,12 +62,11 @@ def longest_run(spark, sf_dir):
 WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'u' ELSE 'o' END AS k FROM conversations),
 i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS g FROM c),
 b AS (SELECT conv_id, k, g, min(turn) AS first, max(turn) AS last FROM i GROUP BY ALL)
-SELECT DISTINCT c.conv_id, c.turn, b.k, b.first, b.last FROM c JOIN b ON b.conv_id = c.conv_id AND c.turn BETWEEN b.first AND b.last WHERE c.turn = 1""")
+SELECT DISTINCT c.conv_id, c.turn, b.k, b.first, b.last FROM c JOIN b ON b.conv_id = c.conv_id AND c.turn BETWEEN b.first AND b.last""")
 def island_containing(spark, sf_dir):
-    """The run of like turns around turn 1."""
+    """The run of like turns around each turn."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "u").otherwise("o").alias("k"))
-    probes = c.where("turn = 1").select("conv_id", "turn")
-    return sequences.island_around(c, "conv_id", "turn", "k", probes, "turn")
+    return sequences.island_around(c, "conv_id", "turn", "k", c.select("conv_id", "turn"), "turn")
 
 
 @query("""
