@@ -152,19 +152,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(apart == 0, 1.0).when(apart * 2 >= BITS, 0.0).otherwise(F.cos(apart * F.lit(np.pi / BITS)))
 
 
-def followed(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
-    """(part, kind, times, row, next): each document with the next one by id, after the last the first, as structs of the named columns.
+def followed(docs: DataFrame, doc_id: str, text: str, **more: Column) -> DataFrame:
+    """(part, kind, times, row, next): each document with the next one by id, after the last the first, as structs of id, text and the columns ``more``.
 
     Null ids come first, and documents of one id by digest. Rows with equal id
     and text are one document that comes ``times`` (a table of one document is
-    followed by itself); the columns ``more`` must follow from the text. Rows
-    are sorted over all partitions and read in order, one document ahead. The
+    followed by itself); the columns ``more`` are made from the text once rows
+    are sorted, not in the sample before. Rows are sorted over all partitions
+    and read in order, one document ahead. The
     last document of a partition (kind 2) lacks its next, which is the first
     (kind 1, an extra row) of the next partition: :func:`closed` joins them.
     """
-    columns = [doc_id, text, *more]
-    keyed = docs.select(*columns, F.struct(F.col(doc_id), F.sha2(F.col(text).cast("binary"), 256)).alias("key"))
-    placed = keyed.repartitionByRange("key").sortWithinPartitions("key").select(F.struct(*columns).alias("row"), "key")
+    keyed = docs.select(doc_id, text, F.struct(F.col(doc_id), F.sha2(F.col(text).cast("binary"), 256)).alias("key"))
+    placed = keyed.repartitionByRange("key").sortWithinPartitions("key").withColumns(more).select(F.struct(doc_id, text, *more).alias("row"), "key")
     names, kind = ["part", "kind", "times", "row", "next"], placed.schema["row"].dataType
     schema = StructType()
     for name, type_ in zip(names, [LongType()] * 3 + [kind] * 2):
@@ -274,13 +274,12 @@ def near_prints(docs: DataFrame, fingerprint: str, doc_id: str, plan: Tables = T
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    printed = docs.withColumn("fingerprint", simhash(F.col("text")))
     text, after = F.col("row.text"), F.col("next.text")
     size = F.length(text)
     tail = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), size - tail), F.substring(after, F.lit(1), tail))
     facts = [F.col("row.doc_id").alias("doc_id"), size.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), F.col("row.fingerprint").alias("own"), simhash(edited).alias("changed"), F.col("next.fingerprint").alias("following")]
-    pairs, bare = followed(printed, "doc_id", "text", "fingerprint"), F.col("kind") == 0
+    pairs, bare = followed(docs, "doc_id", "text", fingerprint=simhash(F.col("text"))), F.col("kind") == 0
     # Texts are written for the ends of partitions only; of all other rows, what was made from them.
     kept = written(pairs.select("part", "kind", "times", F.when(~bare, F.col("row")).alias("row"), F.when(bare, F.struct(*facts)).alias("facts")), "prints")
     ends = kept.where("kind > 0").select("part", "kind", "times", "row", F.lit(None).cast(kept.schema["row"].dataType).alias("next"))
