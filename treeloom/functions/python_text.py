@@ -1,8 +1,7 @@
-"""Text functions that need Python: diffs and UTF-16 positions, as Arrow functions."""
+"""Text functions that need Python: UTF-16 positions, as Arrow functions."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,24 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def diff_text(old: str, new: str, path: str) -> str:
-    """A unified diff with three lines of context; empty if nothing changed."""
-    path = path.removeprefix("/")
-    out = []
-    for line in difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{path}", f"b/{path}"):
-        out.append(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n")
-    return "".join(out)
-
-
-def unified_diff(old: Column, new: Column, path: Column) -> Column:
-    def diff(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for columns in batches:
-            rows = zip(*(c.to_pylist() for c in columns), strict=True)
-            yield pa.array([diff_text(a or "", b or "", p or "") for a, b, p in rows], pa.string())
-
-    return F.arrow_udf(diff, "string")(old, new, path)
-
-
 def to_position(text: str, offset: int) -> tuple[int, int]:
     """(line, UTF-16 column), from 0, of a byte offset; places past the end are the end."""
     before = text.encode()[:offset].decode("utf-8", "ignore")

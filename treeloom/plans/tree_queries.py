@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import python_text
-from treeloom.operators import aggregates, caches, edges, edits, graph, sections, todos
+from treeloom.operators import aggregates, caches, edges, edits, graph, linediff, sections, todos
 from treeloom.plans.registry import query, read
 
 HEADINGS = """h AS (SELECT page_id, k, CAST(levels[k] AS INTEGER) AS level, CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(tags[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS pos, n
@@ -206,7 +206,62 @@ def unified_diff(spark, sf_dir):
     made = resolved_edits(spark, sf_dir)
     after = edits.applied(made, ["doc_id"], "body")
     both = made.select("doc_id", "body").join(after, "doc_id")
-    return both.select("doc_id", python_text.unified_diff(F.col("body"), F.col("result"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))).alias("diff"))
+    return linediff.unified(both, "doc_id", "body", "result", F.concat(F.lit("docs/"), F.col("doc_id").cast("string")))
+
+
+@query(f"""
+WITH {EDITS}, f AS (SELECT *, CASE kind WHEN 'replace' THEN b WHEN 'delete' THEN gone ELSE s END AS t, CASE kind WHEN 'replace' THEN 'NEW' WHEN 'delete' THEN '' WHEN 'insert_before' THEN 'NEW' || chr(10) ELSE chr(10) || 'NEW' END AS new FROM r)
+SELECT doc_id, left(body, s) || new || body[t+1:] AS result FROM f""")
+def patched_texts(spark, sf_dir):
+    """The texts after their edits, made by applying the diffs to what they were."""
+    bodies = resolved_edits(spark, sf_dir).select("doc_id", "body")
+    return bodies.join(unified_diff(spark, sf_dir), "doc_id").select("doc_id", linediff.patched(F.col("body"), F.col("diff")).alias("result"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS ls FROM documents)
+SELECT doc_id, CAST(len(ls) - len(ls) // 3 AS BIGINT) AS kept, CAST(len(ls) // 3 AS BIGINT) AS gone, (len(ls) + 2) // 7 AS added FROM d WHERE len(ls) > 0""")
+def script_counts(spark, sf_dir):
+    """How many lines stay, go and come if every third line is taken out and new ones are put in."""
+    lines = linediff.lines_of(F.col("text"))
+    none = F.array().cast("array<string>")
+    new = lambda i: F.when(i % 7 == 4, F.array(F.concat(F.lit("\x01new "), i.cast("string"), F.lit("\n")))).otherwise(none)
+    fewer = F.flatten(F.transform(lines, lambda x, i: F.concat(new(i), F.when(i % 3 == 2, none).otherwise(F.array(x)))))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(fewer, "").alias("less"))
+    count = lambda sign: F.count_if(F.col("sign") == sign)
+    return linediff.script(docs, "doc_id", "text", "less").groupBy("doc_id").agg(count(" ").alias("kept"), count("-").alias("gone"), count("+").alias("added"))
+
+
+def transcripts(spark, sf_dir):
+    """Each conversation as a file whose versions are its last three turns."""
+    c = read(spark, sf_dir, "conversations")
+    each = c.withColumn("version", F.explode(F.sequence(F.col("turn"), F.col("turn") + 2)))
+    known = c.select(F.col("conv_id"), F.col("turn").alias("version"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: F.concat(r["text"], F.lit("\n"))), "")
+    return each.join(known, ["conv_id", "version"], "left_semi").groupBy("conv_id", "version").agg(body.alias("body"))
+
+
+WINDOWS = """l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
+n AS (SELECT conv_id, turn, count(*) AS n FROM l GROUP BY ALL),
+b AS (SELECT v.conv_id, v.turn AS version, u.turn, coalesce(sum(u.n) OVER (PARTITION BY v.conv_id, v.turn ORDER BY u.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, u.n
+  FROM n v JOIN n u ON u.conv_id = v.conv_id AND u.turn BETWEEN v.turn - 2 AND v.turn)"""
+
+
+@query(f"""
+WITH {WINDOWS} SELECT b.conv_id, b.version, CAST(b.before + l.i AS BIGINT) AS line_no, b.turn AS origin, CAST(o.before + l.i AS BIGINT) AS origin_line
+FROM b JOIN l ON l.conv_id = b.conv_id AND l.turn = b.turn JOIN b o ON o.conv_id = b.conv_id AND o.version = b.turn AND o.turn = b.turn""")
+def line_origins(spark, sf_dir):
+    """Which version brought each line of each version of a conversation's last three turns."""
+    found = linediff.origins(transcripts(spark, sf_dir), "conv_id", "version", "body")
+    return found.select("conv_id", "version", F.col("line_no").cast("long").alias("line_no"), "origin", F.col("origin_line").cast("long").alias("origin_line"))
+
+
+@query(f"""
+WITH {WINDOWS} SELECT conv_id, version, CAST(before + 1 AS BIGINT) AS start_line, CAST(before + n AS BIGINT) AS end_line, turn AS origin FROM b""")
+def blame_hunks(spark, sf_dir):
+    """Runs of lines that one version brought."""
+    found = linediff.blamed(linediff.origins(transcripts(spark, sf_dir), "conv_id", "version", "body"), "conv_id", "version")
+    return found.select("conv_id", "version", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "origin")
 
 
 @query()
