@@ -197,3 +197,63 @@ def test_filter():
             kept.delete([k])
     with pytest.raises(Full):
         CuckooFilter(10).insert(keys)
+
+
+def rows_read(spark, df):
+    """How many rows of files a run of ``df`` reads."""
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan()
+    return sum(int(m) for m in scans(plan))
+
+
+def scans(plan):
+    text = plan.nodeName()
+    if text.startswith("AdaptiveSparkPlan"):
+        yield from scans(plan.executedPlan())
+        return
+    if "ShuffleQueryStage" in text or "BroadcastQueryStage" in text:
+        yield from scans(plan.plan())
+        return
+    if text.startswith("Scan parquet"):
+        yield plan.metrics().apply("numOutputRows").value()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from scans(children.apply(i))
+
+
+def test_a_small_batch_reads_few_counts(spark):
+    """One in a hundred documents: counts are read in the shards of their known lines alone, and no other document."""
+    frame = lambda ids: spark.createDataFrame([(i, f"own line number {i}\nshared line number {i // 10}") for i in ids], "doc_id long, text string")
+    index = LineIndex(spark, scratch(spark, "t"), keys_per_shard=10)
+    index.insert(frame(range(1000)))
+    known = index.counts().count()
+    index.insert(frame(range(1000, 1010)))  # shares no line with the others
+    assert len(index.read_shards) <= 1  # but for a false print, no shard is asked
+    index.insert(spark.createDataFrame([(2000 + i, f"shared line number {i}") for i in range(3)], "doc_id long, text string"))
+    assert 1 <= len(index.read_shards) <= 4 < index.shards // 20
+    asked = index._shard(spark.createDataFrame([(python_digest(f"shared line number {i}".encode()),) for i in range(3)], "key binary"))
+    looked = index.counts(asked)
+    assert sorted(r["refs"] for r in looked.collect()) == [11, 11, 11]
+    assert rows_read(spark, looked) < known / 20
+    whole = LineIndex(spark, scratch(spark, "t"))
+    whole.insert(frame(range(1010)))
+    whole.insert(spark.createDataFrame([(2000 + i, f"shared line number {i}") for i in range(3)], "doc_id long, text string"))
+    assert state(index) == state(whole)
+
+
+def test_many_changes(spark):
+    """Insertions and deletions in turn: after each, the index is what one insertion of the living documents gives."""
+    rng = np.random.default_rng(7)
+    text = lambda: "\n".join(f"a line out of a few {rng.integers(12)}" if rng.random() < 0.5 else f"a line out of many {rng.integers(10**6)}" for _ in range(rng.integers(5)))
+    index, alive = LineIndex(spark, scratch(spark, "t"), keys_per_shard=15), {}
+    for step in range(5):
+        new = {100 * step + k: text() for k in range(12)} | ({None: text()} if step == 1 else {})
+        index.insert(spark.createDataFrame(list(new.items()), "doc_id long, text string"), batches=1 + step % 2)
+        alive |= new
+        gone = [i for i in alive if rng.random() < 0.4] if step % 2 else []
+        if gone:
+            index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+            alive = {i: t for i, t in alive.items() if i not in gone}
+    whole = LineIndex(spark, scratch(spark, "t"))
+    whole.insert(spark.createDataFrame(list(alive.items()), "doc_id long, text string"))
+    assert state(index) == state(whole)

@@ -4,29 +4,33 @@ A line's key is the line without ASCII white space at its ends and with A-Z in
 lower case. A key of at least ten code points that two or more documents hold
 stays only in the document with the smallest id.
 
-The index has three tables in the shared folder, each a list of versions:
+The index has these tables in the shared folder, each a list of versions:
 
-``postings``
-    (key, doc_id), once for each document that holds the key; what makes
-    deletions exact.
+``docs``
+    (doc_id, keys), as documents came: what makes deletions exact.
 ``filters``
     a cuckoo filter for each shard of the key space, holding one print for
     every key that some live document has. Most keys have one holder; the
     filter is all that is asked about them.
+``singles``
+    (key, keeper) of keys that came new with one holder, by shard.
 ``refs``
-    exact reference counts, with the keeper, of keys that reached two holders.
-    A later version of a key replaces the earlier.
-
-Inserting groups a batch by key, asks the shards' filters which keys may be
-known, counts exactly only those and the ones the batch itself repeats, and
-adds the new keys to the filters. A key that a filter only seemed to know gets
-its own print once the exact count has shown that nobody held it. Deleting
-recounts the keys of the deleted documents, takes keys without holders out of
-the filters and names new keepers. Shards hold distinct keys, so a line that
-every document has is one row there; when the shards hold twice as many keys as
-they should, all are made anew from the postings, in greater number. The query
-and the pipeline insert their documents in ``BATCHES`` batches, so that the
-filters decide which keys of the later ones are counted against the earlier.
+    exact reference counts, with the keeper, of keys that reached two holders
+    or lost some, by shard. A later version of a key replaces the earlier.
+
+Inserting groups a batch by key and asks the shards' filters which keys may be
+known. New keys go to the filters and, with one holder, to the singles. For those
+that may be known the exact counts are looked up, in the shards that have such
+keys and nowhere else, and the batch's holders are added to them; nothing is
+counted anew from the documents. A key that a filter only seemed to know gets its
+own print once no count was found. Deleting reads the files that hold the deleted
+documents, takes their holders off the counts of their keys and keys without
+holders out of the filters; only where a keeper went are the other documents
+searched for the next one. Shards hold distinct keys, so a line that every
+document has is one row there; when the shards hold twice as many keys as they
+should, filters and counts are dealt anew, in greater number, which also joins
+the versions. The query and the pipeline insert their documents in ``BATCHES``
+batches, so that the filters decide which keys of the later ones are looked up.
 
 Defined results for odd input: a null or empty text is one empty line; very
 long texts are split whole; rows with the same doc_id are one document; a null
@@ -70,17 +74,16 @@ def python_digest(line: bytes) -> bytes:
     return hashlib.sha256(line.strip(SPACE.encode()).translate(FOLD)).digest()[:16]
 
 
-def postings_of(docs: DataFrame, least: int = MIN_CODE_POINTS) -> DataFrame:
-    """(key, doc_id), each pair once."""
+def keys_of(docs: DataFrame, least: int = MIN_CODE_POINTS) -> DataFrame:
+    """(doc_id, keys): the digests of each row's keys, each once."""
     keys = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), line_key)
     long_enough = F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= least))
-    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(long_enough).alias("line"))
-    return exploded.select(key_digest(F.col("line")).alias("key"), "doc_id").dropDuplicates(["key", "doc_id"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(long_enough, key_digest).alias("keys"))
 
 
-CHANGES = "key binary, shard int, refs long, keeper long, known boolean, filter binary, prints long"
-POSTINGS = "key binary, doc_id long, version int"
-REFS = "key binary, refs long, keeper long, version int"
+CHANGES = "kind string, shard int, key binary, refs long, keeper long, filter binary, prints long"
+DOCS = "doc_id long, keys array<binary>, batch int, version int"
+COUNTS = "key binary, refs long, keeper long, version int, shard int"
 FILTERS = "shard int, filter binary, prints long"
 
 
@@ -90,7 +93,7 @@ def stored(shard: int, kept: CuckooFilter | None, prints: int) -> pd.DataFrame:
 
 
 def in_shard(shard: tuple, keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """What a batch changes in one shard: keys to count exactly, and the new filter.
+    """What a batch changes in one shard: ``new`` and ``known`` keys, and the new ``filter``.
 
     ``keys`` has (key, refs, keeper) as the batch alone has them.
     """
@@ -102,11 +105,9 @@ def in_shard(shard: tuple, keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFr
     try:
         kept.insert(new)
     except Full:
-        kept = None  # to be rebuilt from the exact tables
-    counted = known | (keys["refs"].to_numpy() > 1)
-    exact = keys[counted]
-    rows = pd.DataFrame({"key": exact["key"], "shard": np.int32(shard[0]), "refs": exact["refs"], "keeper": exact["keeper"].astype("Int64"), "known": known[counted], "filter": None, "prints": pd.array([None] * len(exact), "Int64")})
-    last = stored(shard[0], kept, prints).assign(key=None, refs=0, keeper=pd.array([None], "Int64"), known=False)
+        kept = None  # to be rebuilt from the counts
+    rows = pd.DataFrame({"kind": np.where(known, "known", "new"), "shard": np.int32(shard[0]), "key": keys["key"], "refs": keys["refs"], "keeper": keys["keeper"].astype("Int64"), "filter": None, "prints": pd.array([None] * len(keys), "Int64")})
+    last = stored(shard[0], kept, prints).assign(kind="filter", key=None, refs=0, keeper=pd.array([None], "Int64"))
     return pd.concat([rows, last[rows.columns]], ignore_index=True)
 
 
@@ -116,45 +117,73 @@ class LineIndex:
     def __init__(self, spark: SparkSession, path: str, keys_per_shard: int = 250_000, least: int = MIN_CODE_POINTS) -> None:
         self.spark, self.path, self.keys_per_shard, self.least = spark, path, keys_per_shard, least
         self.shards, self.version, self.files = 0, 0, 0
-        self.postings_paths: list[str] = []
+        self.docs_paths: list[str] = []
+        self.singles_paths: list[str] = []
         self.refs_paths: list[str] = []
         self.filters_path: str | None = None
         self.dead_paths: list[str] = []
+        self.read_shards: list[int] | None = []  #: shards whose counts the last change read
 
-    def _write(self, df: DataFrame, name: str) -> str:
+    def _write(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> str:
         self.files += 1
-        path = f"{self.path}/{name}/v{self.version}-{self.files}"
-        df.write.parquet(path)
+        path = f"{self.path}/{name}/run={self.files}"
+        df.write.partitionBy(*by).parquet(path)
         return path
 
+    def _there(self, path: str) -> list[str]:
+        """The path, if anything was written there: partitions without rows have no folder."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return [path] if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else []
+
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _by_shard(self, paths: list[str], shards: list[int] | None) -> DataFrame:
+        """Counts (key, refs, keeper, version) of the named shards (None: all), from no other folder."""
+        if not paths:
+            return self._read([], COUNTS).drop("shard")
+        rows = self.spark.read.schema(COUNTS).option("basePath", paths[0].split("/run=")[0]).parquet(*paths)
+        return (rows if shards is None else rows.where(F.col("shard").isin(shards))).select("key", "refs", "keeper", "version")
+
     def _shard(self, df: DataFrame) -> DataFrame:
         return df.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
 
-    def postings(self) -> DataFrame:
-        """(key, doc_id) of live documents."""
-        rows = self._read(self.postings_paths, POSTINGS)
+    def _write_counts(self, df: DataFrame, name: str, version: int, kind: str = "count") -> list[str]:
+        """Counts (key, refs, keeper) of a version, a folder for each shard."""
+        rows = self._shard(df).withColumns({"version": F.lit(version), "kind": F.lit(kind)})
+        return self._there(f"{self._write(rows.repartition('shard'), name, ('kind', 'shard'))}/kind={kind}")
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``docs`` whose documents haven't been deleted."""
         if not self.dead_paths:
-            return rows.select("key", "doc_id")
+            return rows.select("doc_id", "keys")
         dead = self._read(self.dead_paths, "dead_id long, until int").groupBy("dead_id").agg(F.max("until").alias("until"))
         alive = rows.join(dead, F.col("doc_id").eqNullSafe(F.col("dead_id")) & (F.col("version") <= F.col("until")), "left_anti")
-        return alive.select("key", "doc_id")
+        return alive.select("doc_id", "keys")
 
-    def holders(self) -> DataFrame:
-        """(key, held, first): how many live documents hold each key, and the first of them.
+    def docs(self) -> DataFrame:
+        """(doc_id, keys) of live documents."""
+        return self._alive(self._read(self.docs_paths, DOCS))
 
-        Tasks count before they shuffle, so a line that every document has is a few rows.
-        """
-        return self.postings().groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("first"))
+    def postings(self) -> DataFrame:
+        """(key, doc_id) of live documents, each pair once."""
+        return self.docs().select(F.explode("keys").alias("key"), "doc_id").dropDuplicates(["key", "doc_id"])
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.max_by(F.struct("refs", "keeper"), "version").alias("r")).select("key", "r.*")
 
     def refs(self) -> DataFrame:
         """(key, refs, keeper) of keys that at least two live documents hold."""
-        rows = self._read(self.refs_paths, REFS)
-        if len(self.refs_paths) > 1:
-            rows = rows.groupBy("key").agg(F.max_by(F.struct("refs", "keeper"), "version").alias("r")).select("key", "r.*")
-        return rows.where("refs > 1").select("key", "refs", "keeper")
+        rows = self._by_shard(self.refs_paths, None)
+        return (self._latest(rows) if len(self.refs_paths) > 1 else rows).where("refs > 1").select("key", "refs", "keeper")
+
+    def counts(self, keys: DataFrame | None = None) -> DataFrame:
+        """(key, refs, keeper) as last counted, of all live keys or of ``keys`` (key, shard) alone, whose shards are all that is read."""
+        if keys is None:
+            return self._latest(self._by_shard(self.singles_paths, None).unionByName(self._by_shard(self.refs_paths, None))).where("refs > 0")
+        self.read_shards = sorted(r["shard"] for r in keys.select("shard").distinct().collect())
+        rows = self._by_shard(self.singles_paths, self.read_shards).unionByName(self._by_shard(self.refs_paths, self.read_shards))
+        return self._latest(rows.join(keys.select("key"), "key", "left_semi")).where("refs > 0")
 
     def filters(self) -> DataFrame:
         return self._read([self.filters_path] if self.filters_path else [], FILTERS)
@@ -164,14 +193,17 @@ class LineIndex:
 
         Texts are read once; a batch is the documents whose ids hash alike.
         """
-        rows = postings_of(docs, self.least).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)).cast("int"))
-        came = self._read([self._write(rows, "arrived")], "key binary, doc_id long, batch int")
-        if self.postings_paths:
-            held = self.postings().select(F.col("doc_id").alias("old")).distinct()
-            if came.select("doc_id").distinct().join(held, F.col("doc_id").eqNullSafe(F.col("old")), "left_semi").limit(1).count():
-                raise ValueError("the index already holds some of these documents; delete them first")
+        dealt = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)).cast("int")
+        path = self._write(keys_of(docs, self.least).withColumn("batch", dealt).withColumn("version", F.lit(self.version + batches)), "docs")
+        came = self._read([path], DOCS)
+        ids = came.select("doc_id")
+        if self.docs_paths and ids.join(self.docs().select(F.col("doc_id").alias("old")), F.col("doc_id").eqNullSafe(F.col("old")), "left_semi").limit(1).count():
+            raise ValueError("the index already holds some of these documents; delete them first")
+        self.docs_paths.append(path)
+        repeated = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
         for k in range(batches):
-            self._insert(came.where(F.col("batch") == k).select("key", "doc_id"))
+            postings = came.where(F.col("batch") == k).select(F.explode("keys").alias("key"), "doc_id")
+            self._insert(postings.dropDuplicates(["key", "doc_id"]) if repeated else postings)  # within a row keys are distinct
 
     def _insert(self, postings: DataFrame) -> None:
         self.version += 1
@@ -179,19 +211,18 @@ class LineIndex:
         batch = self._read([self._write(grouped, "batch")], "key binary, refs long, keeper long")
         self._make_room(batch.count())
         asked = self._shard(batch).groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(in_shard, CHANGES)
-        changes = self._read([self._write(asked, "changes")], CHANGES)
-        exact = changes.where(F.col("key").isNotNull()).select("key", "refs", "keeper", "known")
-        if self.postings_paths:  # keys that the filters may know: count their older holders
-            exact = exact.join(self.holders(), "key", "left").select(
-                "key", (F.col("refs") + F.coalesce("held", F.lit(0))).alias("refs"), F.least("keeper", "first").alias("keeper"), (F.col("known") & F.col("held").isNull()).alias("seeming")
-            )
-        else:
-            exact = exact.select("key", "refs", "keeper", F.lit(False).alias("seeming"))
-        counted = self._write(exact.withColumn("version", F.lit(self.version)), "refs")
-        mine = self._write(postings.withColumn("version", F.lit(self.version)), "postings")
-        self.postings_paths.append(mine)
-        self.refs_paths.append(counted)
-        self._store_filters(changes, self._read([counted], REFS + ", seeming boolean").where("seeming").select("key"))
+        # New keys with one holder are counted by that; they lie in a folder of their own.
+        kind = F.when((F.col("kind") == "new") & (F.col("refs") == 1), "single").otherwise(F.col("kind"))
+        changed = self._write(asked.withColumn("kind", kind).withColumn("version", F.lit(self.version)), "changes", ("kind", "shard"))
+        changes = self._read([changed], "kind string, shard int, key binary, refs long, keeper long, filter binary, prints long, version int")
+        known = changes.where("kind = 'known'").select("key", "shard", "refs", "keeper")
+        old = self.counts(known).select("key", F.col("refs").alias("held"), F.col("keeper").alias("first"))
+        added = known.join(old, "key", "left").select("key", (F.col("refs") + F.coalesce("held", F.lit(0))).alias("refs"), F.least("keeper", "first").alias("keeper"), F.col("held").isNull().alias("seeming"))
+        fresh_ = changes.where("kind = 'new'").select("key", "refs", "keeper", F.lit(False).alias("seeming"))
+        counted = self._write_counts(added.unionByName(fresh_), "refs", self.version)
+        self.singles_paths += self._there(f"{changed}/kind=single")
+        self.refs_paths += counted
+        self._store_filters(changes, self._read(counted, COUNTS + ", seeming boolean").where("seeming").select("key"))
 
     def _make_room(self, arriving: int) -> None:
         """Shards for what is held and ``arriving``; more of them once they hold twice what they should."""
@@ -206,7 +237,7 @@ class LineIndex:
     def _store_filters(self, changes: DataFrame, seeming: DataFrame) -> None:
         """The shards' new filters: those of ``changes``, old ones where a shard had no key,
         with prints for keys that only seemed known, rebuilt ones where full."""
-        made = changes.where(F.col("key").isNull()).select("shard", "filter", "prints")
+        made = changes.where("kind = 'filter'").select("shard", "filter", "prints")
         quiet = self.filters().join(made.select("shard"), "shard", "left_anti")
         state = made.unionByName(quiet)
 
@@ -228,7 +259,7 @@ class LineIndex:
             self._rebuild(full)
 
     def _rebuild(self, full: DataFrame | None) -> None:
-        """Twice the room for the named shards (None: all) from the postings."""
+        """Twice the room for the named shards, from the counts. For None all shards are dealt anew, and the counts with them, all versions in one."""
 
         def build(shard: tuple, keys: pd.DataFrame) -> pd.DataFrame:
             digests, room = [bytes(k) for k in keys["key"]], 2 * len(keys)
@@ -240,8 +271,17 @@ class LineIndex:
                 except Full:
                     room *= 2
 
-        keys = self._shard(self.postings().select("key").distinct())
-        state = (keys if full is None else keys.join(full, "shard", "left_semi")).groupBy("shard").applyInPandas(build, FILTERS)
+        if full is None:
+            live = self._read([self._write(self.counts(), "live")], "key binary, refs long, keeper long")
+            last = self.version - 1  # what a batch under way will count is later
+            self.singles_paths = self._write_counts(live.where("refs = 1"), "changes", last, "single")
+            self.refs_paths = self._write_counts(live.where("refs > 1"), "refs", last)
+            keys = self._shard(live.select("key"))
+        else:
+            named = [r["shard"] for r in full.select("shard").collect()]
+            rows = self._by_shard(self.singles_paths, named).unionByName(self._by_shard(self.refs_paths, named))
+            keys = self._shard(self._latest(rows).where("refs > 0").select("key"))
+        state = keys.groupBy("shard").applyInPandas(build, FILTERS)
         if full is not None:
             state = state.unionByName(self.filters().where(F.col("filter").isNotNull()))
         self.filters_path = self._write(state, "filters-rebuilt")
@@ -251,13 +291,26 @@ class LineIndex:
         self.version += 1
         gone = ids.select(F.col("doc_id").cast("long").alias("dead_id")).distinct()
         dead = self._write(gone.withColumn("until", F.lit(self.version)), "dead")
-        gone = self._read([dead], "dead_id long, until int")
-        touched = self.postings().join(gone, F.col("doc_id").eqNullSafe(F.col("dead_id")), "left_semi").select("key").distinct()
-        touched = self._read([self._write(touched, "touched")], "key binary")
+        gone = self._read([dead], "dead_id long, until int").select("dead_id")
+        of_gone = F.col("doc_id").eqNullSafe(F.col("dead_id"))
+        # Ids alone tell which files have the documents; keys are read from those.
+        live = [r[0] for r in self._read(self.docs_paths, DOCS).select("doc_id", F.col("_metadata.file_path").alias("file")).join(gone, of_gone, "left_semi").select("file").distinct().collect()]
+        within = self._alive(self._read(live, DOCS)).join(gone, of_gone, "left_semi")
+        lost = within.select(F.explode("keys").alias("key"), "doc_id").dropDuplicates(["key", "doc_id"])
+        lost = self._read([self._write(lost, "lost")], "key binary, doc_id long")
+        fewer = self._shard(lost.groupBy("key").agg(F.count(F.lit(1)).alias("gone")))
+        now = fewer.join(self.counts(fewer), "key").select("key", (F.col("refs") - F.col("gone")).alias("refs"), "keeper")
+        went = lost.select(F.col("key").alias("of"), F.col("doc_id").alias("was"))
+        marked = now.join(went, (F.col("key") == F.col("of")) & F.col("keeper").eqNullSafe(F.col("was")), "left").select("key", "refs", "keeper", (F.col("of").isNotNull() & (F.col("refs") > 0)).alias("bereft"))
+        marked = self._read([self._write(marked, "marked")], "key binary, refs long, keeper long, bereft boolean")
         self.dead_paths.append(dead)
-        now = touched.join(self.holders(), "key", "left").select("key", F.coalesce("held", F.lit(0)).alias("refs"), F.col("first").alias("keeper"))
-        self.refs_paths.append(self._write(now.withColumn("version", F.lit(self.version)), "refs"))
-        gone_keys = self._shard(self._read([self.refs_paths[-1]], REFS).where("refs = 0").select("key"))
+        bereft = marked.where("bereft")
+        if bereft.limit(1).count():  # the next keepers are among the documents that are left
+            heirs = self.docs().select(F.explode("keys").alias("key"), "doc_id").join(bereft.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("heir"))
+            marked = marked.join(heirs, "key", "left").withColumn("keeper", F.when(F.col("bereft"), F.col("heir")).otherwise(F.col("keeper")))
+        counted = self._write_counts(marked.select("key", "refs", "keeper"), "refs", self.version)
+        self.refs_paths += counted
+        gone_keys = self._shard(self._read(counted, COUNTS).where("refs = 0").select("key"))
 
         def drop(shard: tuple, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             kept = CuckooFilter.from_bytes(old["filter"].iloc[0])
@@ -269,9 +322,9 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines each document loses."""
         refs = self.refs().select("key", F.struct("keeper").alias("keeper"), "refs")
-        held = looked_up(self.postings(), refs, "key", "keeper", "refs", 1 + refs.agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0], "doc_id")
+        held = looked_up(self.docs().select(F.explode("keys").alias("key"), "doc_id"), refs, "key", "keeper", "refs", 1 + refs.agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0], "doc_id")
         lost = held.where(F.col("keeper").isNotNull() & ~F.col("keeper.keeper").eqNullSafe(F.col("doc_id")))
-        return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most the lines of the document
+        return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most the lines of the document
 
 
 CUT = "struct<n_lines:bigint,n_dropped:bigint,kept_sha256:string,text:string>"
