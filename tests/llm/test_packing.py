@@ -98,6 +98,41 @@ def test_search_beats_its_incumbent():
     assert found == fewest(counts, 1024)
 
 
+def drawn(rng, n, low, high):
+    counts = {}
+    for _ in range(n):
+        x = rng.randint(low, high)
+        counts[x] = counts.get(x, 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("low,high,each", [(342, 511, 2), (257, 341, 3), (513, 1024, 1), (205, 256, 4), (512, 512, 2)])
+@pytest.mark.parametrize("n", [600, 5000])
+def test_the_bound_sees_how_many_share_a_bin(monkeypatch, low, high, each, n):
+    """Where no more than ``each`` pieces fit and best fit puts in as many, that is known to be best at once."""
+    counts = drawn(random.Random(n), n, low, high)
+    assert fewest(counts, 1024) == -(-n // each)
+    monkeypatch.setattr("treeloom.llm.packing.fillings", None)  # no node is searched
+    assert sum(k for _, k in complete(counts, 1024)) == -(-n // each)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_the_bound_is_below_the_fewest(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 10, 12, 24, 31])
+    low = rng.choice([1, 1, capacity // 5 + 1, capacity // 3])
+    items = sorted((rng.randint(low, capacity) for _ in range(rng.randint(1, 10))), reverse=True)
+    counts = {x: items.count(x) for x in items}
+    assert -(-sum(items) // capacity) <= fewest(counts, capacity) <= exact(items, capacity)
+
+
+def test_large_and_small_pieces():
+    """Pieces that fill a bin but for little, and small ones that don't go in there."""
+    assert fewest({900: 100, 200: 100}, 1024) == 120
+    assert fewest({600: 50, 430: 50}, 1024) == 75
+    assert fewest({}, 1024) == 0 and fewest({1: 1}, 1024) == 1
+
+
 def offered(lengths, counts, room, waste, order="least"):
     return [x for x in fillings(lengths, counts, room, waste, order) if x is not None]
 

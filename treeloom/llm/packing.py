@@ -44,6 +44,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Search nodes, fillings looked at included, after which the best packing so far is taken.
 MAX_NODES = 20_000
+#: Parts of a bin, at most, that the lower bound steps by.
+MAX_PARTS = 64
 #: One text in so many, by a checksum of the text, is also encoded by the ``tokenizers`` library, whole.
 CHECKED_SHARE = 32
 
@@ -150,19 +152,39 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [x for group in open_bins.values() for x in group]
 
 
+def rounded_up(weights: np.ndarray, whole: int | np.ndarray) -> int:
+    """The greatest quotient, rounded up."""
+    return int(np.max(-(-weights // whole)))
+
+
 def fewest(counts: dict[int, int], capacity: int) -> int:
-    """A lower bound: whole room, and what can't lie beside pieces over half a bin."""
-    total = sum(length * n for length, n in counts.items())
-    bound = -(-total // capacity)
-    large = sorted((x for x in counts if 2 * x > capacity), reverse=True)
-    for k in {0, *(capacity - x for x in large)}:
-        # pieces over capacity - k share a bin with nothing of at least k
-        alone = sum(n for x, n in counts.items() if x > capacity - k)
-        half = sum(n for x, n in counts.items() if 2 * x > capacity and x <= capacity - k)
-        room = half * capacity - sum(x * n for x, n in counts.items() if 2 * x > capacity and x <= capacity - k)
-        small = sum(x * n for x, n in counts.items() if 2 * x <= capacity and x >= max(k, 1))
-        bound = max(bound, alone + half + max(0, -(-(small - room) // capacity)))
-    return bound
+    """A lower bound on the bins, by dual feasible functions.
+
+    Such a function gives each length a weight so that no filling of a bin weighs
+    more than 1; the weight of all pieces, rounded up, bounds the bins. Tried are
+
+    - the length itself, with lengths over ``capacity - e`` as whole bins and
+      those under ``e`` as nothing, for each length ``e`` up to half a bin;
+    - on top of each, steps: of k + 1 equal parts of a bin, as many as lie within
+      a length, by k; lengths of whole parts keep their share. Pieces of more
+      than a third, say, weigh a half each (k = 2), since no three share a bin;
+    - for each step ``e``, twice the whole steps in a short length, and for a
+      long one what its complement leaves.
+    """
+    if not counts:
+        return 0
+    x, n = (np.array(v, np.int64) for v in zip(*sorted(counts.items()), strict=True))
+    least = np.array([0, *x[2 * x <= capacity]], np.int64)[:, None]
+    kept = np.where(x > capacity - least, capacity, np.where(x < least, 0, x))
+    bound = rounded_up(kept @ n, capacity)
+    for k in range(1, min(capacity // int(x[0]), MAX_PARTS) + 1):
+        parts = (k + 1) * kept
+        weight = np.where(parts % capacity == 0, k * kept, capacity * (parts // capacity))
+        bound = max(bound, rounded_up(weight @ n, k * capacity))
+    step = np.arange(1, capacity // 2 + 1)[:, None]
+    long_ = 2 * (capacity // step - (capacity - x) // step)
+    weight = np.where(2 * x > capacity, long_, np.where(2 * x == capacity, capacity // step, 2 * (x // step)))
+    return max(bound, rounded_up(weight @ n, 2 * (capacity // step[:, 0])))
 
 
 def bits(values) -> int:
