@@ -7,14 +7,15 @@ loses none of it; levels that nothing needs any more are let go.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import functools
+import tempfile
 
-MAX_LEVELS = 32
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from treeloom.operators import sweeps
 
-#: Rounds of doubling after which paths are taken to go in a circle.
-MAX_DOUBLINGS = 40
+MAX_LEVELS = 32
 
 
 class CycleError(ValueError):
@@ -22,8 +23,17 @@ class CycleError(ValueError):
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: checkpointed where ``spark.checkpoint.dir`` or the caller has named a folder, else persisted."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """``df`` computed once and its lineage cut: a checkpoint in the folder that ``spark.checkpoint.dir`` or the caller has named.
+
+    Without one, a temporary folder is made, but only in local mode; on a
+    cluster each machine would write to a folder of its own, and that is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="treeloom-"))
+    return df.checkpoint()
 
 
 def ancestor_sum(nodes: DataFrame, id_: str, parent: str, value: str) -> DataFrame:
@@ -36,13 +46,11 @@ def ancestor_sum(nodes: DataFrame, id_: str, parent: str, value: str) -> DataFra
     up = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("to"))
     own = nodes.select(F.col(id_).alias("to"), F.col(value).alias("v"), F.col(parent).alias("next"))
     now = settled(up.join(own, "to", "left").select("id", F.when(F.col("next").isNotNull(), F.col("to")).alias("to"), F.coalesce("v", F.lit(0)).alias("total")))
-    for _ in range(MAX_DOUBLINGS):
+    for _ in range(now.count().bit_length() + 1):
         if now.where("to is not null").isEmpty():
             return now.select(F.col("id").alias(id_), "total")
         ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("total").alias("more"))
-        before, now = now, settled(now.join(ahead, "to", "left").select("id", F.col("next").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
-        now.count()
-        before.unpersist()
+        now = settled(now.join(ahead, "to", "left").select("id", F.col("next").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
     raise CycleError("a circle of parents")
 
 
@@ -85,39 +93,145 @@ def item_edges(items: DataFrame) -> DataFrame:
     return items.select("item", F.explode("deps").alias("key")).join(owner, "key").select("item", "needs").distinct()
 
 
-def reachable(parents: DataFrame, starts: DataFrame, steps: int = MAX_LEVELS) -> DataFrame:
-    """(start, hash): commits that each start (start) descends from, itself included. ``parents`` has (hash, parent).
+def tree_of(parents: DataFrame) -> DataFrame:
+    """(hash, up) for every commit of ``parents`` (hash, parent): one of its parents, the greatest, as the one above it in a tree."""
+    known = parents.select("hash").unionByName(parents.select(F.col("parent").alias("hash"))).where("hash is not null").distinct()
+    up = parents.where("parent is not null and not (parent <=> hash)").groupBy(F.col("hash").alias("of")).agg(F.max("parent").alias("up"))
+    return known.join(up, F.col("hash") == F.col("of"), "left").select("hash", "up")
+
+
+def labels(parents: DataFrame) -> DataFrame:
+    """(hash, first, last, up): commits numbered so that those from ``first`` up to ``last`` are a commit's own subtree, itself the first.
 
-    The first ``steps`` rounds go from what the last one found to its parents,
-    and touch nothing else of the graph. What is deeper is found by doubling:
-    in each round the ways of one length are joined with themselves, so a
-    history of depth d takes log2(d) more rounds, and a straight one never has
-    more rows than commits. When a round finds nothing new, nothing lies further.
+    Of trees whose edges lead from parent to child: whether one commit lies above
+    another there is a comparison of numbers. The way around the trees, down into
+    a commit and up out of it, is a list; how many ways down follow each step is
+    found by doubling, so n commits take log2(2n) rounds of 2n rows, however long
+    the history. Raises :class:`CycleError` if parents go in a circle.
     """
-    edges = parents.where(F.col("parent").isNotNull()).select(F.col("hash").alias("a"), F.col("parent").alias("b"))
-    known = settled(starts.select("start", F.col("start").alias("hash")).distinct())
-    front = known
-    for _ in range(steps):
-        found = front.join(edges, front["hash"] == edges["a"]).select("start", F.col("b").alias("hash")).distinct()
-        front = settled(found.join(known, ["start", "hash"], "left_anti"))
-        if front.isEmpty():
-            return known
-        before, known = known, settled(known.unionByName(front))
-        known.count()
-        before.unpersist()
-    ways, count = settled(edges.distinct()), known.count()
+    tree = settled(tree_of(parents))
+    sibling = Window.partitionBy("up").orderBy("hash")
+    placed = tree.withColumns({"next": F.lead("hash").over(sibling), "nth": F.row_number().over(sibling)})
+    heirs = placed.where("nth = 1 and up is not null").select(F.col("up").alias("of"), F.col("hash").alias("heir"))
+    linked = placed.join(heirs, F.col("hash") == F.col("of"), "left")
+    step = lambda c, out: F.struct(c.alias("hash"), F.lit(out).alias("out"))
+    into = linked.select(step(F.col("hash"), False).alias("id"), F.when(F.col("heir").isNotNull(), step(F.col("heir"), False)).otherwise(step(F.col("hash"), True)).alias("to"), F.lit(1).alias("way"))
+    onward = F.when(F.col("next").isNotNull(), step(F.col("next"), False)).when(F.col("up").isNotNull(), step(F.col("up"), True))
+    out = linked.select(step(F.col("hash"), True).alias("id"), onward.alias("to"), F.lit(0).alias("way"))
+    total = tree.count()
+    later = ancestor_sum(into.unionByName(out), "id", "to", "way")
+    ends = [F.max(F.when(F.col("id.out") == o, F.col("total"))).alias(n) for o, n in ((False, "a"), (True, "b"))]
+    numbers = later.groupBy(F.col("id.hash").alias("of")).agg(*ends).select("of", (F.lit(total - 1) - F.col("a")).cast("long").alias("first"), (F.lit(total) - F.col("b")).cast("long").alias("last"))
+    return settled(tree.join(numbers, F.col("hash") == F.col("of")).select("hash", "first", "last", "up"))
+
+
+def above(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(start, span.*) of ``points`` (start, first): the spans (hash, first, last, ...) that lie above any of a start's points, each once.
+
+    In the order of numbers, what lies above a point and not above the one before
+    begins after that one.
+    """
+    before = F.lag("first").over(Window.partitionBy("start").orderBy("first"))
+    asked = points.select("start", "first").distinct().withColumn("before", F.coalesce(before, F.lit(-1).cast("long"))).withColumn("tree", F.lit(0))
+    held = spans.withColumn("tree", F.lit(0))
+    return sweeps.containing(asked, held, "tree", "first", "first", "last", after="before").select(F.col("row.start").alias("start"), *[F.col(f"span.{c}").alias(c) for c in spans.columns])
+
+
+def side_edges(parents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(hash, first, last, side, side_first): edges that aren't the tree's, with the numbers of both ends."""
+    edges = parents.where("parent is not null").select(F.col("hash").alias("of"), F.col("parent").alias("side")).distinct()
+    to = labelled.select(F.col("hash").alias("other"), F.col("first").alias("side_first"))
+    made = labelled.join(edges, F.col("hash") == F.col("of")).where("not (side <=> up) and side <> hash")
+    return made.join(to, F.col("side") == F.col("other")).select("hash", "first", "last", "side", "side_first")
+
+
+def footholds(parents: DataFrame, labelled: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, hash, first): commits from which, straight up the trees, all that each start (start) descends from is found.
+
+    A round goes up the trees from what the last one found and over the edges
+    beside them, so rounds are as many as a way changes trees, not as it is long.
+    """
+    sides = settled(side_edges(parents, labelled))
+    here = labelled.select("hash", "first")
+    front = settled(starts.select("start", F.col("start").alias("at")).distinct().join(here, F.col("at") == F.col("hash")).select("start", "hash", "first"))
+    known = front
     while True:
-        further = known.join(ways, known["hash"] == ways["a"]).select("start", F.col("b").alias("hash"))
-        last, known = known, settled(known.unionByName(further).distinct())
-        before, count = count, known.count()
-        last.unpersist()
-        if count == before:
-            ways.unpersist()
+        crossed = above(front.select("start", "first"), sides).select("start", F.col("side").alias("hash"), F.col("side_first").alias("first")).distinct()
+        front = settled(crossed.join(known.select("start", "hash"), ["start", "hash"], "left_anti"))
+        if front.isEmpty():
             return known
-        shorter = ways
-        ways = settled(ways.select("a", F.col("b").alias("m")).join(ways.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct())
-        ways.count()
-        shorter.unpersist()
+        known = settled(known.unionByName(front))
+
+
+def reachable(parents: DataFrame, starts: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """(start, hash): commits that each start (start) descends from, itself included. ``parents`` has (hash, parent).
+
+    With :func:`labels` (made here if not given) each row is written once: what
+    lies above one of a start's footholds. A start without edges reaches itself.
+    """
+    labelled = labels(parents) if labelled is None else labelled
+    found = above(footholds(parents, labelled, starts).select("start", "first"), labelled.select("hash", "first", "last"))
+    alone = starts.select("start").distinct().join(labelled, F.col("start") == F.col("hash"), "left_anti").select("start", F.col("start").alias("hash"))
+    return settled(found.select("start", "hash").unionByName(alone))
+
+
+def levels(commits: DataFrame, parents: DataFrame, at: str) -> DataFrame:
+    """(hash, level): ``at`` of each commit, raised where it isn't above that of every parent.
+
+    For dates that is one round, and one more for each commit that in a row of
+    commits is dated before its parent. Raises :class:`CycleError` if rounds
+    outnumber the commits.
+    """
+    now = settled(commits.select("hash", F.col(at).cast("long").alias("level")))
+    edges = parents.where("parent is not null")
+    most = now.count()
+    for _ in range(most + 1):
+        lower = now.select(F.col("hash").alias("p"), F.col("level").alias("least"))
+        needs = edges.join(lower, F.col("parent") == F.col("p")).groupBy(F.col("hash").alias("of")).agg((F.max("least") + 1).alias("least"))
+        raised = now.join(needs, F.col("hash") == F.col("of"), "left").select("hash", F.greatest("level", "least").alias("level"), (F.col("least") > F.col("level")).alias("up"))
+        now = settled(raised)
+        if now.where("up").isEmpty():
+            return now.select("hash", "level")
+        now = now.select("hash", "level")
+    raise CycleError("a circle of parents")
+
+
+def descends(parents: DataFrame, pairs: DataFrame, labelled: DataFrame | None = None, levelled: DataFrame | None = None) -> DataFrame:
+    """(of, from, descends) of distinct ``pairs`` (of, from): whether ``from`` is ``of`` or descends from it.
+
+    Most answers are comparisons: ``of`` lies above ``from`` in the trees (yes),
+    or its level isn't below (no). Only for the rest the edges beside the trees
+    are searched, and of those none whose end lies below the level of ``of``.
+    """
+    labelled = labels(parents) if labelled is None else labelled
+    levelled = labelled.select("hash", F.lit(0).cast("long").alias("level")) if levelled is None else levelled
+    facts = settled(labelled.join(levelled.select(F.col("hash").alias("h"), "level"), F.col("hash") == F.col("h"), "left").select("hash", "first", "last", "level"))
+    of = facts.select(F.col("hash").alias("of"), F.col("first").alias("of_first"), F.col("last").alias("of_last"), F.col("level").alias("of_level"))
+    from_ = facts.select(F.col("hash").alias("from"), "first", F.col("level").alias("from_level"))
+    asked = pairs.select("of", "from").distinct().join(of, "of", "left").join(from_, "from", "left")
+    inside = (F.col("first") >= F.col("of_first")) & (F.col("first") < F.col("of_last"))
+    above_it = F.col("of_level") >= F.col("from_level")
+    told = F.when(F.col("of").eqNullSafe(F.col("from")), True).when(F.col("of_first").isNull() | F.col("first").isNull(), False).when(inside, True)
+    uneven = facts.agg(F.max("level") > F.min("level")).first()[0]
+    told = told.when(above_it, False) if uneven else told
+    asked = settled(asked.withColumn("told", told))
+    sides = side_edges(parents, labelled)
+    end = facts.select(F.col("hash").alias("e"), F.col("level").alias("side_level"))
+    sides = settled(sides.join(end, F.col("side") == F.col("e")).drop("e"))
+    goal = F.struct("of", "from")
+    goals = asked.where("told is null").select(goal.alias("start"), "of_first", "of_last", "of_level", "first")
+    front = known = settled(goals.select("start", "first"))
+    bounds = goals.select("start", "of_first", "of_last", "of_level")
+    met = []
+    while not front.isEmpty():
+        crossed = above(front, sides).select("start", F.col("side_first").alias("first"), "side_level").join(bounds, "start").where("side_level >= of_level")
+        hits = settled(crossed.where("first >= of_first and first < of_last").select("start").distinct())
+        met.append(hits)
+        front = settled(crossed.select("start", "first").distinct().join(known, ["start", "first"], "left_anti").join(hits, "start", "left_anti"))
+        known = settled(known.unionByName(front))
+    yes = functools.reduce(DataFrame.unionByName, met).distinct().withColumn("yes", F.lit(True)) if met else front.select("start").withColumn("yes", F.lit(True))
+    full = asked.withColumn("start", goal).join(yes, "start", "left").select("of", "from", F.coalesce("told", "yes", F.lit(False)).alias("descends"))
+    return full
 
 
 def ahead_behind(parents: DataFrame, local: str, upstream: str) -> DataFrame:

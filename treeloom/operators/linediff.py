@@ -261,9 +261,7 @@ def origins(versions: DataFrame, file: str, version: str, text: str) -> DataFram
     while not now.where("open").isEmpty():
         ahead = now.select(F.col("id").alias("target"), F.col("to").alias("next"), F.col("open").alias("further"))
         moved = now.where("open").join(ahead, F.expr("to <=> target")).select("id", F.col("next").alias("to"), F.col("further").alias("open"))
-        before, now = now, graph.settled(now.where("not open").unionByName(moved))
-        now.count()
-        before.unpersist()
+        now = graph.settled(now.where("not open").unionByName(moved))
     names = told.select(F.col("at").alias("name"), "version")
     of = lambda c: F.struct(F.col(f"{c}.file"), F.col(f"{c}.nth"))
     new = now.join(names.withColumnRenamed("version", "v"), of("id").eqNullSafe(F.col("name"))).drop("name")

@@ -77,8 +77,11 @@ def best_over_parts(spans: DataFrame) -> list[tuple]:
     return [(run, found[1]) for (n, run), found in best.items() if n == 0]
 
 
-def swept(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, rank: list[Column], every: bool) -> DataFrame:
-    """(row, span): each point with the best span around it by ``rank``, least first, or with every one; both as structs. Other points have no row."""
+def swept(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, rank: list[Column], every: bool, after: str | None = None) -> DataFrame:
+    """(row, span): each point with the best span around it by ``rank``, least first, or with every one; both as structs. Other points have no row.
+
+    With ``after``, only spans that begin after that place of the point count (for every one).
+    """
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hashed = F.xxhash64(key).alias("hash")
@@ -88,13 +91,15 @@ def swept(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, en
     s = spans.where(F.col(key).isNotNull() & (until > begin)).select(hashed, F.col(key).alias("key"), begin.alias("place"), until.alias("until"), named.alias("rank"), F.struct(*[F.col(c) for c in spans.columns]).alias("span"))
     cuts = places(p.select("hash", "place").unionByName(s.select("hash", "place")), parts)
     s = s.withColumns({"first": part_of(cuts, F.col("hash"), F.col("place")), "last": part_of(cuts, F.col("hash"), F.col("until") - 1)})
-    none = {c: F.lit(None).cast(t) for c, t in (("row", p.schema["row"].dataType), ("rank", s.schema["rank"].dataType), ("span", s.schema["span"].dataType), ("until", "long"), ("place", "long"))}
+    none = {c: F.lit(None).cast(t) for c, t in (("row", p.schema["row"].dataType), ("rank", s.schema["rank"].dataType), ("span", s.schema["span"].dataType), ("until", "long"))}
+    if after:
+        p = p.withColumn("until", F.col(f"row.{after}").cast("long"))  # a point has no end; its column tells where spans may begin
     columns = ["part", "hash", "key", "phase", "place", "kind", "until", "rank", "row", "span"]
-    asked = p.withColumns({"part": part_of(cuts, F.col("hash"), F.col("place")), "phase": F.lit(1), "kind": F.lit(1), "until": none["until"], "rank": none["rank"], "span": none["span"]})
+    asked = p.withColumns({"part": part_of(cuts, F.col("hash"), F.col("place")), "phase": F.lit(1), "kind": F.lit(1), "until": F.col("until") if after else none["until"], "rank": none["rank"], "span": none["span"]})
     opened = s.withColumns({"part": F.col("first"), "phase": F.lit(1), "kind": F.lit(0), "row": none["row"]})
     events = asked.select(*columns).unionByName(opened.select(*columns))
     if cuts:
-        beyond = s.where("last > first").withColumns({"phase": F.lit(0), "kind": F.lit(0), "row": none["row"], "place": none["place"]})
+        beyond = s.where("last > first").withColumns({"phase": F.lit(0), "kind": F.lit(0), "row": none["row"]})
         events = events.unionByName(beyond.withColumn("part", F.explode(F.sequence(F.col("first") + 1, F.col("last"))) if every else F.col("last")).select(*columns))
     if cuts and not every:
         kept = F.struct("hash", "key", "rank", "span").alias("kept")
@@ -106,29 +111,37 @@ def swept(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, en
     kinds = p.select("row").schema.add(s.schema["span"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, open_, nth = None, [], 0
+        now, open_, nth, room = None, [], 0, 0
         for batch in batches:
             part, key_, kind, place, until = (batch.column(c).to_pylist() for c in ("part", "key", "kind", "place", "until"))
             ranks, spans_ = batch.column("rank"), batch.column("span")
             at_, found = [], []
             for i, k in enumerate(kind):
                 if (here := (part[i], key_[i])) != now:
-                    now, open_ = here, []
-                if k:
-                    if every:
-                        open_ = [x for x in open_ if x[2] > place[i]]
-                        at_ += [i] * len(open_)
-                        found += [x[3] for x in open_]
-                        continue
+                    now, open_, room = here, [], 0
+                if k and every:  # in the order of their beginnings; ended ones go when they are last, or are many
+                    while open_ and open_[-1][0] <= place[i]:
+                        open_.pop()
+                    if len(open_) > room:
+                        open_ = [x for x in open_ if x[0] > place[i]]
+                        room = 2 * len(open_) + 1000
+                    for x in reversed(open_):
+                        if after and x[1] <= until[i]:
+                            break
+                        if x[0] > place[i]:
+                            at_.append(i)
+                            found.append(x[2])
+                elif k:
                     while open_ and open_[0][2] is not None and open_[0][2] <= place[i]:
                         heapq.heappop(open_)
                     if open_:
                         at_.append(i)
                         found.append(open_[0][3])
+                elif every:
+                    open_.append((until[i], place[i], spans_[i].as_py()))
                 else:
                     nth += 1
-                    x = (None if every else ranked(ranks[i].as_py()), nth, until[i], spans_[i].as_py())
-                    open_.append(x) if every else heapq.heappush(open_, x)
+                    heapq.heappush(open_, (ranked(ranks[i].as_py()), nth, until[i], spans_[i].as_py()))
             if at_:
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at_)), pa.array(found, spans_.type)], ["row", "span"])
 
@@ -148,6 +161,6 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str
     return found.select(F.struct(*[f"row.{c}" for c in points.columns]).alias("row"), "span", F.col(f"row.{times}").alias("times"))
 
 
-def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """(row, span): all pairs of points and half-open spans around them within ``key``."""
-    return swept(points, spans, key, at, start, end, [F.lit(0)], every=True)
+def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, after: str | None = None) -> DataFrame:
+    """(row, span): all pairs of points and half-open spans around them within ``key``; with ``after``, of spans that begin after that column of the point."""
+    return swept(points, spans, key, at, start, end, [F.lit(0)], every=True, after=after)
