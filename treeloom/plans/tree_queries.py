@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import python_text
-from treeloom.operators import aggregates, caches, edges, edits, graph, linediff, sections, todos
+from treeloom.operators import aggregates, caches, edges, edits, graph, linediff, sections, todos, trees
 from treeloom.plans.registry import query, read
 
 HEADINGS = """h AS (SELECT page_id, k, CAST(levels[k] AS INTEGER) AS level, CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(tags[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS pos, n
@@ -264,6 +264,38 @@ def blame_hunks(spark, sf_dir):
     return found.select("conv_id", "version", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "origin")
 
 
+TREES = """d AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, coalesce(text, '') AS body, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n FROM documents),
+h AS (SELECT path, body FROM d),
+i0 AS (SELECT *, CASE WHEN lang = 'es' THEN path || '.moved' ELSE path END AS at_, CASE WHEN lang = 'fr' THEN body || 'x' ELSE body END AS now FROM d WHERE n >= 400),
+i AS (SELECT at_ AS path, now AS body FROM i0),
+w AS (SELECT at_ AS path, CASE WHEN lang = 'de' THEN now || 'y' ELSE now END AS body FROM i0 WHERE n <= 6000 UNION ALL SELECT 'new/' || doc_id, 'new ' || doc_id FROM d WHERE n BETWEEN 1000 AND 1200)"""
+
+
+def document_trees(spark, sf_dir):
+    """Three trees of the documents: as they are, as staged (short ones gone, some moved or changed), and as they lie there."""
+    body, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), body.alias("body"), lang.alias("lang"), F.length(body).alias("n"))
+    staged = docs.where("n >= 400").withColumns({"path": F.when(F.col("lang") == "es", F.concat("path", F.lit(".moved"))).otherwise(F.col("path")), "body": F.when(F.col("lang") == "fr", F.concat("body", F.lit("x"))).otherwise(F.col("body"))})
+    later = staged.where("n <= 6000").select("path", F.when(F.col("lang") == "de", F.concat("body", F.lit("y"))).otherwise(F.col("body")).alias("body"))
+    new = docs.where("n between 1000 and 1200").select(F.concat(F.lit("new/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("body"))
+    return [trees.tree(x.select("path", trees.blob_id(F.col("body")).alias("id"))) for x in (docs, staged, later.unionByName(new))]
+
+
+@query(f"""
+WITH {TREES},
+s AS (SELECT coalesce(h.path, i.path) AS path, h.body AS old, i.body AS new FROM h FULL JOIN i ON h.path = i.path WHERE h.body IS DISTINCT FROM i.body),
+g AS (SELECT path, old AS body, row_number() OVER (PARTITION BY old ORDER BY path) AS nth FROM s WHERE new IS NULL),
+c AS (SELECT path, new AS body, row_number() OVER (PARTITION BY new ORDER BY path) AS nth FROM s WHERE old IS NULL),
+f AS (SELECT path, 2 AS flag FROM s WHERE old IS NOT NULL AND new IS NOT NULL
+ UNION ALL SELECT coalesce(c.path, g.path), CASE WHEN c.path IS NULL THEN 4 WHEN g.path IS NULL THEN 1 ELSE 8 END FROM g FULL JOIN c ON g.body = c.body AND g.nth = c.nth
+ UNION ALL SELECT coalesce(i.path, w.path), CASE WHEN i.path IS NULL THEN 128 WHEN w.path IS NULL THEN 512 ELSE 256 END FROM i FULL JOIN w ON i.path = w.path WHERE i.body IS DISTINCT FROM w.body)
+SELECT path, CAST(sum(flag) AS BIGINT) AS flags FROM f GROUP BY path""")
+def tree_status(spark, sf_dir):
+    """What is staged, changed, gone and untracked among three trees of the documents."""
+    return trees.status_entries(*document_trees(spark, sf_dir))
+
+
 @query()
 def utf16_positions(spark, sf_dir):
     """Line and UTF-16 column of the byte in the middle of each text, and back."""
