@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from treeloom.functions import paths, python_text, text
+from treeloom.functions import paths, text
 
 
 def one(spark, column):
@@ -139,10 +139,26 @@ def test_diff_sentinel(spark):
     assert lit(spark, text.diff_or_sentinel, "", False) == "No changes\n"
 
 
-def test_positions():
-    t = "aé\n\U0001f600x\n"
-    assert [python_text.to_position(t, i) for i in (0, 1, 3, 4, 8, 9)] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (1, 3)]
-    for at in (0, 1, 3, 4, 8, 9):
-        assert python_text.to_offset(t, *python_text.to_position(t, at)) == at
-    assert python_text.to_offset(t, 9, 0) is None
-    assert python_text.to_offset(t, 0, 99) == 3
+def plain_position(t, offset):
+    before = t.encode()[:offset].decode("utf-8", "ignore")
+    return before.count("\n"), len(before.rpartition("\n")[2].encode("utf-16-le")) // 2
+
+
+def plain_offset(t, line, column):
+    lines = t.split("\n")
+    if line >= len(lines):
+        return None
+    head = lines[line].encode("utf-16-le")[: 2 * column].decode("utf-16-le", "ignore")
+    return len("\n".join(lines[:line]).encode()) + (line > 0) + len(head.encode())
+
+
+def test_positions(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["aé\n\U0001f600x\n", "", "\n\n", "漢字\U00010000é\U0010ffff", "plain", "x\U0001f600\n\U0001f600", None]
+    rows = [(t, i) for t in texts for i in range(len((t or "").encode()) + 3)]
+    got = spark.createDataFrame(rows, "t string, i int").select("t", "i", text.position(F.col("t"), F.col("i")).alias("p")).collect()
+    assert all(tuple(r["p"]) == plain_position(r["t"] or "", r["i"]) for r in got)
+    rows = [(t, line, col) for t in texts for line in range(4) for col in range(8)]
+    got = spark.createDataFrame(rows, "t string, line int, col int").select("*", text.offset_of(F.col("t"), F.col("line"), F.col("col")).alias("o")).collect()
+    assert all(r["o"] == plain_offset(r["t"] or "", r["line"], r["col"]) for r in got)

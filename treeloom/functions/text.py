@@ -275,3 +275,35 @@ def errno(causes: Column, default: int = 5) -> Column:
     table = F.create_map(*[F.lit(x) for pair in ERRNO.items() for x in pair])
     known = F.filter(F.transform(causes, lambda c: table[c]), lambda n: n.isNotNull())
     return F.coalesce(F.get(known, F.lit(0)), F.lit(default))
+
+
+def _whole_chars(raw: Column, at: Column) -> Column:
+    """``at``, or the place where the character begins that a cut there would tear: at most three bytes before."""
+    inside = lambda k: F.hex(F.substring(raw, at + 1 - k, F.lit(1))).between("80", "BF") & (at > k)
+    return at - F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+
+
+def position(body: Column, offset: Column) -> Column:
+    """A struct (line, utf16), from 0, of a byte offset: the line and the UTF-16 units before it there; places past the end are the end."""
+    raw = F.encode(F.coalesce(body, F.lit("")), "utf-8")
+    at = F.least(F.coalesce(offset.cast("int"), F.lit(0)), F.octet_length(raw))
+    before = F.decode(F.substring(raw, F.lit(1), _whole_chars(raw, at)), "utf-8")
+    last = F.substring_index(before, "\n", -1)
+    return F.struct(F.regexp_count(before, F.lit("\n")).cast("long").alias("line"), utf16_length(last).alias("utf16"))
+
+
+def utf16_length(line: Column) -> Column:
+    """UTF-16 units: characters, and one more for each beyond U+FFFF."""
+    return (F.char_length(line) + F.regexp_count(line, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long")
+
+
+def offset_of(body: Column, line: Column, utf16: Column) -> Column:
+    """The byte offset of a position; the line's end if it is shorter, null past the last line."""
+    parts = F.split(F.coalesce(body, F.lit("")), "\n", -1)
+    nth = line.cast("int")
+    before = F.octet_length(F.array_join(F.slice(parts, F.lit(1), nth), "\n")) + F.when(nth > 0, 1).otherwise(0)
+    units = F.encode(F.get(parts, nth), "UTF-16LE")
+    bytes_ = F.least(2 * F.coalesce(utf16.cast("int"), F.lit(0)), F.octet_length(units))
+    torn = (bytes_ > 0) & F.hex(F.substring(units, bytes_, F.lit(1))).between("D8", "DB")  # the first half of a pair
+    head = F.decode(F.substring(units, F.lit(1), bytes_ - F.when(torn, 2).otherwise(0)), "UTF-16LE")
+    return F.when(nth < F.size(parts), before + F.octet_length(head)).cast("long")

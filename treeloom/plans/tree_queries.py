@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from treeloom.functions import python_text
+from treeloom.functions import text
 from treeloom.operators import aggregates, caches, edges, edits, graph, linediff, sections, todos, trees
 from treeloom.plans.registry import query, read
 
@@ -296,12 +296,17 @@ def tree_status(spark, sf_dir):
     return trees.status_entries(*document_trees(spark, sf_dir))
 
 
-@query()
+@query("""
+WITH c AS (SELECT doc_id, strlen(text) // 2 AS at_, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+b AS (SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c),
+f AS (SELECT *, max(CASE WHEN ch = chr(10) THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later_ FROM b WHERE upto <= at_)
+SELECT d.doc_id, strlen(d.text) // 2 AS "at", count(*) FILTER (f.ch = chr(10)) AS line, CAST(coalesce(sum(CASE WHEN unicode(f.ch) > 65535 THEN 2 ELSE 1 END) FILTER (f.later_ IS NULL), 0) AS BIGINT) AS utf16, CAST(coalesce(max(f.upto), 0) AS BIGINT) AS back
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id, d.text""")
 def utf16_positions(spark, sf_dir):
     """Line and UTF-16 column of the byte in the middle of each text, and back."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.expr("octet_length(text) div 2").alias("at"))
-    placed = docs.withColumn("p", python_text.position(F.col("text"), F.col("at")))
-    return placed.select("doc_id", "at", "p.line", "p.utf16", python_text.offset_of(F.col("text"), F.col("p.line"), F.col("p.utf16")).alias("back"))
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.expr("octet_length(text) div 2").alias("at"))
+    placed = docs.withColumn("p", text.position(F.col("text"), F.col("at")))
+    return placed.select("doc_id", "at", "p.line", "p.utf16", text.offset_of(F.col("text"), F.col("p.line"), F.col("p.utf16")).alias("back"))
 
 
 @query("""
