@@ -89,3 +89,44 @@ def test_depth_of_ten_thousand(spark, monkeypatch):
     reach = graph.reachable(parents, spark.createDataFrame([(n - 2,), (n - 1,)], "start long"), labelled)
     assert dict(map(tuple, reach.groupBy("start").count().collect())) == {n - 2: n // 2 + (19_000 - 101 + 1) // 2, n - 1: n // 2}
     assert len(rounds) < 60
+
+
+def plain_walk(edges, dates, heads, most):
+    """A list that is searched whole for the newest commit at every step."""
+    up = defaultdict(set)
+    for h, p in edges:
+        up[h].add(p)
+    ready, seen, out = set(heads) & set(dates), set(heads), []
+    while ready and len(out) < most:
+        h = min(ready, key=lambda x: (-dates[x], x))
+        ready.remove(h)
+        out.append(h)
+        fresh = up[h] - seen
+        seen |= fresh
+        ready |= fresh & set(dates)
+    return out
+
+
+@pytest.mark.parametrize("seed,most,skew", [(1, 20, 5), (2, 15, 1000), (3, 500, 40)])
+def test_walks(spark, seed, most, skew):
+    rng = random.Random(seed)
+    edges = history(rng, 300, 4, 0.2)
+    dates = {k: 10 * k + rng.randrange(10 * skew) for k in range(1, 301)}
+    heads = [200, 203] if seed != 2 else [60]
+    parents = spark.createDataFrame(edges, "hash long, parent long")
+    commits = spark.createDataFrame(list(dates.items()), "hash long, at long")
+    got = [r["hash"] for r in graph.walked(commits, parents, heads, most).orderBy("walk_idx").collect()]
+    assert got == plain_walk(edges, dates, heads, most)
+    place = {h: i for i, h in enumerate(got)}
+    children = defaultdict(list)
+    for h, p in edges:
+        children[p].append(h)
+    assert all(h in heads or any(place.get(c, most) < i for c in children[h]) for h, i in place.items())
+
+
+def test_a_walk_looks_at_the_newest_alone(spark, monkeypatch):
+    """A long history and a short walk: no labels are made, and the window is twice the walk."""
+    monkeypatch.setattr(graph, "reachable", None)
+    parents = spark.range(1, 50_000).selectExpr("id as hash", "id - 1 as parent")
+    commits = spark.range(50_000).selectExpr("id as hash", "id * 10 as at")
+    assert [r["hash"] for r in graph.walked(commits, parents, [49_990], 12).orderBy("walk_idx").collect()] == list(range(49_990, 49_978, -1))

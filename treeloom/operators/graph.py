@@ -8,10 +8,15 @@ loses none of it; levels that nothing needs any more are let go.
 from __future__ import annotations
 
 import functools
+import heapq
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 from treeloom.operators import sweeps
 
@@ -234,6 +239,57 @@ def descends(parents: DataFrame, pairs: DataFrame, labelled: DataFrame | None =
     return full
 
 
+def best_first(rows: list[tuple], heads: list, most: int) -> tuple[list, bool]:
+    """The first ``most`` of rows (hash, at, parents) from ``heads``, newest first and none before a child, and whether a parent was missing."""
+    known = {h: (at, parents) for h, at, parents in rows}
+    ready = [(-known[h][0], h) for h in heads if h in known]
+    heapq.heapify(ready)
+    seen, out, missing = set(heads), [], any(h not in known for h in heads)
+    while ready and len(out) < most:
+        _, h = heapq.heappop(ready)
+        out.append(h)
+        for p in known[h][1]:
+            if p not in seen:
+                seen.add(p)
+                if p in known:
+                    heapq.heappush(ready, (-known[p][0], p))
+                else:
+                    missing = True
+    return out, missing
+
+
+def walked(commits: DataFrame, parents: DataFrame, heads: list, most: int) -> DataFrame:
+    """(walk_idx, hash): the first ``most`` commits from ``heads``, the newest known one first (of equal dates the least hash); a parent only after a child.
+
+    ``commits`` has (hash, at). Only the newest commits are looked at, twice
+    ``most`` at first: what is older can't come before all of them that are ready.
+    If the way leaves them too early, four times as many are taken, and from then
+    on of those alone that the heads descend from. The walk itself is one task
+    over that window, which ``most`` bounds.
+    """
+    spark = commits.sparkSession
+    spark_heads = spark.createDataFrame([(h,) for h in heads], commits.select(F.col("hash").alias("start")).schema)
+    kind, size, among = commits.schema["hash"].dataType, 2 * most, commits.select("hash", F.col("at").cast("long").alias("at"))
+    edges = parents.where("parent is not null").select(F.col("hash").alias("of"), "parent")
+    schema = StructType().add("walk_idx", LongType()).add("hash", kind).add("missing", BooleanType())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["hash"], r["at"], r["up"]) for b in batches for r in b.to_pylist()]
+        out, missing = best_first(rows, heads, most)
+        yield pa.RecordBatch.from_pydict({"walk_idx": list(range(len(out))), "hash": out, "missing": [missing] * len(out)}, schema=to_arrow_schema(schema))
+
+    while True:
+        newest = settled(among.orderBy(F.desc("at"), "hash").limit(size))
+        up = newest.join(edges, F.col("hash") == F.col("of"), "left").groupBy("hash", "at").agg(F.array_sort(F.collect_set("parent")).alias("up"))
+        found = settled(up.repartition(1).mapInArrow(walk, schema))
+        n = found.count()
+        if n >= most or newest.count() < size or (n and not found.first()["missing"]):
+            return found.select("walk_idx", "hash")
+        if size == 2 * most:
+            among = among.join(reachable(parents, spark_heads).select("hash").distinct(), "hash", "left_semi")
+        size *= 4
+
+
 def ahead_behind(parents: DataFrame, local: str, upstream: str) -> DataFrame:
     """One row (ahead, behind): commits of one side that the other lacks."""
     spark = parents.sparkSession

@@ -369,12 +369,8 @@ def open_count_ready(spark, sf_dir):
     return caches.ready_times(events, "user_id", "at", "token", F.col("event_type").isin("signup", "view"), 3_600_000_000)
 
 
-@query("""
-WITH p AS (SELECT o_orderkey AS k, o_orderkey // 2 AS of FROM orders WHERE o_orderkey > 1)
-SELECT of, k AS "from", CASE WHEN of % 10 > 0 AND k % 10 > 0 OR of % 10 = 0 AND k % 10 = 0 THEN true
-  WHEN of % 10 = 0 THEN (k - 7) // 50 * 50 >= of AND k >= 57 ELSE k // 200 * 200 - 1 >= of END AS descends FROM p""")
-def ancestor_tests(spark, sf_dir):
-    """Whether an order descends from the one at half its key, in a history of two long lanes that merge into each other.
+def lanes(spark, sf_dir):
+    """Orders as commits of two long lanes that merge into each other, and their parents.
 
     Keys that end in 0 are a lane of their own; every 50th key of the other lane
     merges that, and every 200th the other way.
@@ -383,12 +379,30 @@ def ancestor_tests(spark, sf_dir):
     own = F.when(k % 10 == 0, k - 10).when(k % 10 == 1, k - 2).otherwise(k - 1)
     merged = F.when(k % 50 == 7, k - 7).when(k % 200 == 0, k - 1)
     orders = read(spark, sf_dir, "orders")
-    parents = orders.select(k.alias("hash"), F.explode(F.array_compact(F.array(own, merged))).alias("parent")).where("parent > 0")
+    return orders, orders.select(k.alias("hash"), F.explode(F.array_compact(F.array(own, merged))).alias("parent")).where("parent > 0")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS k, o_orderkey // 2 AS of FROM orders WHERE o_orderkey > 1)
+SELECT of, k AS "from", CASE WHEN of % 10 > 0 AND k % 10 > 0 OR of % 10 = 0 AND k % 10 = 0 THEN true
+  WHEN of % 10 = 0 THEN (k - 7) // 50 * 50 >= of AND k >= 57 ELSE k // 200 * 200 - 1 >= of END AS descends FROM p""")
+def ancestor_tests(spark, sf_dir):
+    """Whether an order descends from the one at half its key."""
+    k, (orders, parents) = F.col("o_orderkey"), lanes(spark, sf_dir)
     pairs = orders.where(k > 1).select(F.expr("o_orderkey div 2").alias("of"), k.alias("from"))
     levels = graph.levels(orders.select(k.alias("hash"), k.alias("at")), parents, "at")
     return graph.descends(parents, pairs, levelled=levels)
 
 
+@query()
+def commit_walk(spark, sf_dir):
+    """The first 5,000 orders that a walk from the newest meets, dates being skewed by some days."""
+    k, (orders, parents) = F.col("o_orderkey"), lanes(spark, sf_dir)
+    commits = orders.select(k.alias("hash"), (k * 86_400 + F.unix_timestamp("o_orderdate") % 400_000).alias("at"))
+    head = orders.agg(F.max(k)).first()[0]
+    return graph.walked(commits, parents, [head], aggregates.EXAMINED)
+
+
 @query("""
 WITH RECURSIVE c AS (SELECT o_orderkey AS hash, o_orderkey // 2 AS p1, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey // 3 END AS p2 FROM orders),
 e AS (SELECT hash, p1 AS parent FROM c WHERE p1 > 0 UNION SELECT hash, p2 FROM c WHERE p2 > 0), w(start, hash) AS (SELECT x, x FROM (SELECT o_orderkey AS x FROM orders ORDER BY o_orderkey DESC LIMIT 2) UNION SELECT w.start, e.parent FROM w JOIN e ON e.hash = w.hash)
