@@ -35,3 +35,7 @@ TURNS = """SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'a'), (1, 2, 'a'), (1, 3, '
 
 def test_hunks_of_turns_that_say_the_same(spark, tmp_path):
     assert at_odds(spark, tmp_path, "blame_hunks", conversations=TURNS) == ([], [], 0)
+
+
+def test_origins_of_turns_that_say_the_same(spark, tmp_path):
+    assert at_odds(spark, tmp_path, "line_origins", conversations=TURNS) == ([], [], 0)
