@@ -130,3 +130,27 @@ def test_a_walk_looks_at_the_newest_alone(spark, monkeypatch):
     parents = spark.range(1, 50_000).selectExpr("id as hash", "id - 1 as parent")
     commits = spark.range(50_000).selectExpr("id as hash", "id * 10 as at")
     assert [r["hash"] for r in graph.walked(commits, parents, [49_990], 12).orderBy("walk_idx").collect()] == list(range(49_990, 49_978, -1))
+
+
+def test_what_is_near_is_found_step_by_step(spark, tmp_path, monkeypatch):
+    """Halves and thirds of numbers: twenty steps reach everything, and no labels are made."""
+    from treeloom.plans import catalog
+
+    monkeypatch.setattr(graph, "labels", None)
+    spark.range(3000).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    want, todo = set(), [(2999, 2999), (2998, 2998)]
+    while todo:
+        start, k = todo.pop()
+        want.add((start, k))
+        todo += [(start, p) for p in (k // 2, k // 3 if k % 5 == 0 else 0) if p > 0]
+    got = catalog.queries()["commit_reachability"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_what_is_far_is_found_by_labels(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "NEAR", most)
+    edges = [(k, k - 1) for k in range(1, 90)] + [(100, 30), (100, 20)]
+    parents = spark.createDataFrame(edges, "hash long, parent long")
+    got = graph.reachable(parents, spark.createDataFrame([(89,), (100,), (7,)], "start long")).collect()
+    assert sorted(map(tuple, got)) == sorted([(89, k) for k in range(90)] + [(100, k) for k in [*range(31), 100]] + [(7, k) for k in range(8)])

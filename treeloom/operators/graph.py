@@ -22,6 +22,9 @@ from treeloom.operators import sweeps
 
 MAX_LEVELS = 32
 
+#: So many rows of a search are broadcast at most.
+NEAR = 50_000
+
 
 class CycleError(ValueError):
     """The dependencies go in a circle."""
@@ -168,12 +171,35 @@ def footholds(parents: DataFrame, labelled: DataFrame, starts: DataFrame) -> Dat
         known = settled(known.unionByName(front))
 
 
+def nearby(parents: DataFrame, starts: DataFrame, rounds: int = MAX_LEVELS) -> DataFrame | None:
+    """(start, hash) as :func:`reachable` has it, found from parent to parent; None if that takes more than ``rounds`` steps.
+
+    A round joins the edges with what the last one found; while that is at most
+    ``NEAR`` rows it is broadcast, and the edges stay where they are.
+    """
+    edges = settled(parents.where("parent is not null").select(F.col("hash").alias("of"), "parent"))
+    front = known = settled(starts.select("start", F.col("start").alias("hash")).distinct())
+    n = front.count()
+    for _ in range(rounds):
+        asked = F.broadcast(front) if n <= NEAR else front
+        up = edges.join(asked, F.col("of") == F.col("hash")).select("start", F.col("parent").alias("hash")).distinct()
+        front = settled(up.join(known, ["start", "hash"], "left_anti"))
+        n = front.count()
+        if not n:
+            return known
+        known = known.unionByName(front)
+    return None
+
+
 def reachable(parents: DataFrame, starts: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(start, hash): commits that each start (start) descends from, itself included. ``parents`` has (hash, parent).
 
-    With :func:`labels` (made here if not given) each row is written once: what
-    lies above one of a start's footholds. A start without edges reaches itself.
+    What lies within some steps is found by going there (:func:`nearby`). If there
+    is more, or with :func:`labels` given, each row is written once: what lies
+    above one of a start's footholds. A start without edges reaches itself.
     """
+    if labelled is None and (found := nearby(parents, starts)) is not None:
+        return found
     labelled = labels(parents) if labelled is None else labelled
     found = above(footholds(parents, labelled, starts).select("start", "first"), labelled.select("hash", "first", "last"))
     alone = starts.select("start").distinct().join(labelled, F.col("start") == F.col("hash"), "left_anti").select("start", F.col("start").alias("hash"))
