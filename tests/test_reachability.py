@@ -154,3 +154,12 @@ def test_what_is_far_is_found_by_labels(spark, monkeypatch, most):
     parents = spark.createDataFrame(edges, "hash long, parent long")
     got = graph.reachable(parents, spark.createDataFrame([(89,), (100,), (7,)], "start long")).collect()
     assert sorted(map(tuple, got)) == sorted([(89, k) for k in range(90)] + [(100, k) for k in [*range(31), 100]] + [(7, k) for k in range(8)])
+
+
+def test_sides_are_counted_without_labels(spark, tmp_path, monkeypatch):
+    from treeloom.plans import catalog
+
+    monkeypatch.setattr(graph, "labels", None)
+    rows = [(1, "O", "1-URGENT"), (2, "O", "2-HIGH"), (2, "F", "2-HIGH"), (3, "O", "5-LOW"), (4, "F", "1-URGENT")]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in catalog.queries()["ahead_behind"](spark, str(tmp_path)).collect()] == [(2, 1)]
