@@ -163,3 +163,32 @@ def test_sides_are_counted_without_labels(spark, tmp_path, monkeypatch):
     rows = [(1, "O", "1-URGENT"), (2, "O", "2-HIGH"), (2, "F", "2-HIGH"), (3, "O", "5-LOW"), (4, "F", "1-URGENT")]
     spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert [tuple(r) for r in catalog.queries()["ahead_behind"](spark, str(tmp_path)).collect()] == [(2, 1)]
+
+
+def test_few_edges_are_looked_at_where_few_end_below(spark, tmp_path, monkeypatch):
+    """All pairs of the lanes: rows that the sweeps give grow with the pairs, not with pairs times merges."""
+    from treeloom.plans import catalog
+
+    met, containing = [], graph.sweeps.containing
+
+    def counted(*args, **named):
+        met.append(containing(*args, **named).count())
+        return containing(*args, **named)
+
+    monkeypatch.setattr(graph.sweeps, "containing", counted)
+    spark.range(4000).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.queries()["ancestor_tests"](spark, str(tmp_path)).collect()
+    assert len(got) == 3998 and sum(met) < 4000
+    up = {k: [p for p in (k - 10 if k % 10 == 0 else k - 2 if k % 10 == 1 else k - 1, k - 7 if k % 50 == 7 else k - 1 if k % 200 == 0 else 0) if p > 0] for k in range(4000)}
+    above = [0] * 4000
+    for k in range(4000):
+        above[k] = 1 << k
+        for p in up[k]:
+            above[k] |= above[p]
+    assert all(r["descends"] == bool(above[r["from"]] >> r["of"] & 1) for r in got)
+
+
+def test_pointers_are_followed_among_neighbours():
+    ids, to, totals = [1, 2, 3, 4, 5, 6, 7], [None, 1, 2, 9, 4, 7, 6], [0, 1, 1, 5, 1, 1, 1]
+    graph.shortened(ids, to, totals)
+    assert to == [None, None, None, 9, 9, 7, 6] and totals == [0, 1, 2, 5, 6, 1, 1]

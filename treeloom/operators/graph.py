@@ -44,19 +44,58 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shortened(ids: list, to: list, totals: list) -> None:
+    """Pointers that stay among ``ids`` are followed until they leave, in place; circles stay as they are."""
+    place, seen = {x: i for i, x in enumerate(ids)}, [False] * len(ids)
+    for i in range(len(ids)):
+        way, at, on = [], i, {}
+        while at is not None and not seen[at]:
+            seen[at], on[at] = True, len(way)
+            way.append(at)
+            at = place.get(to[at])
+        if at in on:
+            way = way[: on[at]]
+        for k in reversed(way):
+            if (ahead := place.get(to[k])) is not None:
+                totals[k], to[k] = totals[k] + totals[ahead], to[ahead]
+
+
+def contracted(now: DataFrame) -> DataFrame:
+    """(id, to, total) with pointers followed as far as a batch of neighbouring ids knows them."""
+    kind = now.schema
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda c: [tuple(x.values()) if isinstance(x, dict) else x for x in c]
+        for b in batches:
+            ids, to, totals = whole(b.column("id").to_pylist()), whole(b.column("to").to_pylist()), b.column("total").to_pylist()
+            names = [f.name for f in b.schema.field("id").type] if pa.types.is_struct(b.schema.field("id").type) else None
+            shortened(ids, to, totals)
+            back = to if names is None else [x if x is None else dict(zip(names, x)) for x in to]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(back, b.schema.field("to").type), pa.array(totals, b.schema.field("total").type)], schema=b.schema)
+
+    parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return now.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(follow, kind)
+
+
 def ancestor_sum(nodes: DataFrame, id_: str, parent: str, value: str) -> DataFrame:
     """(id, total): the sum of ``value`` over each node's ancestors, however many.
 
-    Pointers are doubled: after each round a node's pointer leads twice as far
+    Pointers are first followed within batches of neighbouring ids, so that only
+    nodes to which a pointer leads from another batch remain. Among these
+    pointers are doubled: after each round a node's pointer leads twice as far
     and its sum covers what lies between, so a depth of d takes log2(d) rounds.
     Raises :class:`CycleError` if pointers go in a circle.
     """
     up = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("to"))
     own = nodes.select(F.col(id_).alias("to"), F.col(value).alias("v"), F.col(parent).alias("next"))
-    now = settled(up.join(own, "to", "left").select("id", F.when(F.col("next").isNotNull(), F.col("to")).alias("to"), F.coalesce("v", F.lit(0)).alias("total")))
+    one = settled(up.join(own, "to", "left").select("id", F.when(F.col("next").isNotNull(), F.col("to")).alias("to"), F.coalesce("v", F.lit(0)).alias("total")))
+    every = settled(contracted(one))
+    met = every.where("to is not null").select(F.col("to").alias("id")).distinct()
+    now = settled(every.join(met, "id", "left_semi").select("id", "to", "total"))
     for _ in range(now.count().bit_length() + 1):
         if now.where("to is not null").isEmpty():
-            return now.select(F.col("id").alias(id_), "total")
+            rest = now.select(F.col("id").alias("to"), F.col("total").alias("more"))
+            return every.join(rest, "to", "left").select(F.col("id").alias(id_), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
         ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("total").alias("more"))
         now = settled(now.join(ahead, "to", "left").select("id", F.col("next").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
     raise CycleError("a circle of parents")
@@ -227,12 +266,30 @@ def levels(commits: DataFrame, parents: DataFrame, at: str) -> DataFrame:
     raise CycleError("a circle of parents")
 
 
+def tallied(labelled: DataFrame, sides: DataFrame) -> DataFrame:
+    """(place, landed, open) for each number of a tree: how many ``sides`` lead to it or to numbers before it, and how many begin at or above its commit.
+
+    Sums run inside blocks of numbers, and over the blocks.
+    """
+    step = lambda at, landed, open_: F.struct(F.col(at).alias("place"), F.lit(landed).alias("landed"), F.lit(open_).alias("open"))
+    steps = sides.select(F.explode(F.array(step("side_first", 1, 0), step("first", 0, 1), step("last", 0, -1))).alias("s")).select("s.*")
+    every = labelled.select(F.col("first").alias("place"), F.lit(0).alias("landed"), F.lit(0).alias("open")).unionByName(steps)
+    block = F.expr("place div 4096").alias("block")
+    added = settled(every.groupBy("place").agg(F.sum("landed").alias("landed"), F.sum("open").alias("open")).select(block, "*"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    before = added.groupBy("block").agg(F.sum("landed").alias("landed"), F.sum("open").alias("open")).select(F.col("block").alias("b"), so_far("landed", earlier).alias("l"), so_far("open", earlier).alias("o"))
+    inside = Window.partitionBy("block").orderBy("place")
+    return added.join(before, F.col("block") == F.col("b")).select("place", (F.col("l") + F.sum("landed").over(inside)).alias("landed"), (F.col("o") + F.sum("open").over(inside)).alias("open"))
+
+
 def descends(parents: DataFrame, pairs: DataFrame, labelled: DataFrame | None = None, levelled: DataFrame | None = None) -> DataFrame:
     """(of, from, descends) of distinct ``pairs`` (of, from): whether ``from`` is ``of`` or descends from it.
 
     Most answers are comparisons: ``of`` lies above ``from`` in the trees (yes),
     or its level isn't below (no). Only for the rest the edges beside the trees
-    are searched, and of those none whose end lies below the level of ``of``.
+    are searched, and of those none that leads outside the two levels: up from
+    ``from``, or down from ``of`` where fewer of them end in its subtree.
     """
     labelled = labels(parents) if labelled is None else labelled
     levelled = labelled.select("hash", F.lit(0).cast("long").alias("level")) if levelled is None else levelled
@@ -248,21 +305,51 @@ def descends(parents: DataFrame, pairs: DataFrame, labelled: DataFrame | None =
     asked = settled(asked.withColumn("told", told))
     sides = side_edges(parents, labelled)
     end = facts.select(F.col("hash").alias("e"), F.col("level").alias("side_level"))
-    sides = settled(sides.join(end, F.col("side") == F.col("e")).drop("e"))
+    begin = facts.select(F.col("hash").alias("b"), F.col("level").alias("own_level"))
+    sides = settled(sides.join(end, F.col("side") == F.col("e")).join(begin, F.col("hash") == F.col("b")).drop("e", "b"))
     goal = F.struct("of", "from")
-    goals = asked.where("told is null").select(goal.alias("start"), "of_first", "of_last", "of_level", "first")
+    goals = asked.where("told is null").select(goal.alias("start"), "of_first", "of_last", "of_level", "first", "from_level")
+    sums = settled(tallied(labelled, sides))
+    for name, at in (("up", F.col("first")), ("upto", F.col("of_last") - 1), ("below", F.col("of_first") - 1)):
+        found = sums.select("place", F.col("open" if name == "up" else "landed").alias(name))
+        goals = goals.join(found, at == F.col("place"), "left").drop("place")
+    goals = settled(goals.withColumn("down", F.col("upto") - F.coalesce("below", F.lit(0))).where("up > 0 and down > 0"))
+    met = upward(goals.where("up <= down"), sides) + downward(goals.where("up > down"), sides)
+    yes = functools.reduce(DataFrame.unionByName, met).distinct().withColumn("yes", F.lit(True)) if met else goals.select("start").limit(0).withColumn("yes", F.lit(True))
+    full = asked.withColumn("start", goal).join(yes, "start", "left").select("of", "from", F.coalesce("told", "yes", F.lit(False)).alias("descends"))
+    return full
+
+
+def upward(goals: DataFrame, sides: DataFrame) -> list[DataFrame]:
+    """(start) of goals whose commit is found by going up from the other one, round by round."""
     front = known = settled(goals.select("start", "first"))
-    bounds = goals.select("start", "of_first", "of_last", "of_level")
-    met = []
+    bounds, met = goals.select("start", "of_first", "of_last", "of_level"), []
     while not front.isEmpty():
-        crossed = above(front, sides).select("start", F.col("side_first").alias("first"), "side_level").join(bounds, "start").where("side_level >= of_level")
+        crossed = above(front, sides).select("start", F.col("side_first").alias("first"), "side_level").join(bounds, "start").where("coalesce(side_level >= of_level, true)")
         hits = settled(crossed.where("first >= of_first and first < of_last").select("start").distinct())
         met.append(hits)
         front = settled(crossed.select("start", "first").distinct().join(known, ["start", "first"], "left_anti").join(hits, "start", "left_anti"))
         known = settled(known.unionByName(front))
-    yes = functools.reduce(DataFrame.unionByName, met).distinct().withColumn("yes", F.lit(True)) if met else front.select("start").withColumn("yes", F.lit(True))
-    full = asked.withColumn("start", goal).join(yes, "start", "left").select("of", "from", F.coalesce("told", "yes", F.lit(False)).alias("descends"))
-    return full
+    return met
+
+
+def downward(goals: DataFrame, sides: DataFrame) -> list[DataFrame]:
+    """(start) of goals found by going down: over the edges that end in a subtree, to the subtrees in which they begin."""
+    front = settled(goals.select("start", F.col("of_first").alias("lo"), F.col("of_last").alias("hi")))
+    known = front
+    bounds, met = goals.select("start", F.col("first").alias("goal"), "from_level"), []
+    ends = sides.select(F.lit(0).alias("tree"), "side_first", "first", "last", "own_level")
+    outer = F.max("hi").over(Window.partitionBy("start").orderBy("lo", F.desc("hi")).rowsBetween(Window.unboundedPreceding, -1))
+    while not front.isEmpty():
+        crossed = sweeps.containing(ends, front.withColumn("tree", F.lit(0)), "tree", "side_first", "lo", "hi")
+        crossed = crossed.select("span.start", F.col("row.first").alias("lo"), F.col("row.last").alias("hi"), "row.own_level").join(bounds, "start").where("coalesce(own_level <= from_level, true)")
+        crossed = settled(crossed)
+        hits = settled(crossed.where("goal >= lo and goal < hi").select("start").distinct())
+        met.append(hits)
+        fresh = crossed.select("start", "lo", "hi").distinct().withColumn("outer", outer).where("outer is null or outer < hi").drop("outer")
+        front = settled(fresh.join(known, ["start", "lo", "hi"], "left_anti").join(hits, "start", "left_anti"))
+        known = settled(known.unionByName(front))
+    return met
 
 
 def best_first(rows: list[tuple], heads: list, most: int) -> tuple[list, bool]:
