@@ -215,3 +215,13 @@ def test_long_history(spark, monkeypatch):
     got = {(r["version"], r["line_no"]): (r["origin"], r["origin_line"]) for r in origins(spark.createDataFrame(rows, "file string, version int, body string"), "file", "version", "body").collect()}
     assert all(got[v, 1] == (0, 1) and got[v, 2] == (v, 2) for v in range(70)) and got[2, 3] == (0, 3) and (3, 3) not in got
     assert len(rounds) <= 2 + 8
+
+
+def test_a_script_deals_its_lines_once(spark):
+    """Lines and the marks of kept ones meet in one exchange by key; no join carries lines."""
+    pairs = spark.createDataFrame([(1, "a\nb\nc\n", "a\nc\nd"), (2, None, "x")], "id long, old string, new string")
+    made = linediff.script(pairs, "id", "old", "new")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r["id"], r["pos"], r["sign"], r["i"], r["j"], r["line"]) for r in made.collect())
+    assert got == [(1, 1, " ", 0, 0, "a\n"), (1, 2, "-", 1, 1, "b\n"), (1, 3, " ", 2, 1, "c\n"), (1, 4, "+", 3, 2, "d"), (2, 1, "+", 0, 0, "x")]

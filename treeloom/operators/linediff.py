@@ -167,13 +167,14 @@ def line_map(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("tail")), lambda k: F.when(k < F.col("tail"), F.struct((F.col("head") + F.col("a") - 1 - k).alias("i"), (F.col("head") + F.col("b") - 1 - k).alias("j")))),
     )).alias("p")).where("p is not null")
     middle = both.select("key", "head", rest("o").alias("o"), rest("n").alias("n")).where((F.size("o") > 0) & (F.size("n") > 0))
-    # Lines that occur once on either side meet by their text.
-    side = lambda c, n: middle.select("key", F.lit(n).alias("side"), F.posexplode(c).alias("at", "line"))
+    # Lines that occur once on either side meet by a hash of their text; a pair whose texts differ is no anchor.
+    side = lambda c, n: middle.select("key", F.lit(n).alias("side"), F.posexplode(F.transform(c, lambda x: F.xxhash64(x))).alias("at", "line"))
     place = lambda n: F.min(F.when(F.col("side") == n, F.col("at")))
     times = [F.count_if(F.col("side") == n).alias(f"times{n}") for n in (0, 1)]
     once = side("o", 0).unionByName(side("n", 1)).groupBy("key", "line").agg(*times, place(0).alias("i"), place(1).alias("j")).where("times0 = 1 and times1 = 1")
     held = once.groupBy(F.col("key").alias("of")).agg(longest_rising(F.array_sort(F.collect_list(F.struct("i", "j")))).alias("anchors"))
     known = middle.join(held, F.col("key").eqNullSafe(F.col("of")), "left").drop("of").withColumn("anchors", F.coalesce("anchors", F.array().cast(PAIRS)))
+    known = known.withColumn("anchors", F.filter("anchors", lambda p: F.get("o", p["i"]) == F.get("n", p["j"])))
     # Stretches between one anchor and the next.
     point = lambda i, j: F.array(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")))
     marks = F.concat(point(F.lit(-1), F.lit(-1)), "anchors", point(F.size("o"), F.size("n")))
@@ -195,19 +196,21 @@ def script(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     new text come before.
     """
     held = graph.settled(line_map(pairs, key, old, new))
-    one = pairs.select(F.col(key), F.posexplode(lines_of(F.col(old))).alias("i", "line"))
-    two = pairs.select(F.col(key), F.posexplode(lines_of(F.col(new))).alias("j", "line"))
-    named = lambda n: held.select(F.col(key).alias("of"), F.col(n).alias("at"), F.lit(1).alias("kept"))
-    joined = lambda side, n: side.join(named(n), F.col(key).eqNullSafe(F.col("of")) & (F.col(n) == F.col("at")), "left").drop("of", "at")
+    none = {"line": F.lit(None).cast("string"), "kept": F.lit(None).cast("int")}
+    texts = lambda side, c: pairs.select(F.col(key), F.lit(side).alias("side"), F.posexplode(lines_of(F.col(c))).alias("at", "line"), none["kept"].alias("kept"))
+    marks = lambda side, n: held.select(F.col(key), F.lit(side).alias("side"), F.col(n).alias("at"), none["line"].alias("line"), F.lit(1).alias("kept"))
+    # Lines and marks are dealt by key, once for all that follows.
+    dealt = texts(0, old).unionByName(texts(1, new)).unionByName(marks(0, "i")).unionByName(marks(1, "j")).repartition(F.col(key))
+    lines = dealt.groupBy(key, "side", "at").agg(F.max("line").alias("line"), F.max("kept").alias("kept"))
     # Lines between two kept ones follow the earlier: first what goes, then what comes.
-    passed = lambda n: F.count("kept").over(Window.partitionBy(key).orderBy(n))
-    left = joined(one, "i").withColumn("after", passed("i")).select(key, "after", F.when(F.col("kept") == 1, 0).otherwise(1).alias("kind"), F.col("i").alias("n"), "line")
-    right = joined(two, "j").withColumn("after", passed("j")).where("kept is null").select(key, "after", F.lit(2).alias("kind"), F.col("j").alias("n"), "line")
+    passed = F.count("kept").over(Window.partitionBy(key, "side").orderBy("at"))
+    kind = F.when(F.col("side") == 1, 2).when(F.col("kept") == 1, 0).otherwise(1)
+    placed = lines.withColumn("after", passed).where("side = 0 or kept is null").select(key, "after", kind.alias("kind"), F.col("at").alias("n"), "line")
     order = Window.partitionBy(key).orderBy("after", "kind", "n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     count = lambda other: F.count_if(F.col("kind") != other).over(before)
     sign = F.element_at(F.array(F.lit(" "), F.lit("-"), F.lit("+")), F.col("kind") + 1)
-    return left.unionByName(right).select(key, F.row_number().over(order).alias("pos"), sign.alias("sign"), count(2).alias("i"), count(1).alias("j"), "line")
+    return placed.select(key, F.row_number().over(order).alias("pos"), sign.alias("sign"), count(2).alias("i"), count(1).alias("j"), "line")
 
 
 def hunks(rows: DataFrame, key: str, context: int = 3) -> DataFrame:
