@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from treeloom.llm.neardup import COORDINATES, Plan, components, jaccard_classes, loose_edges, met, one_of_each, shingles
+from treeloom.llm.neardup import COORDINATES, Plan, components, jaccard_classes, loose_edges, met, one_of_each, only_stars, shingles
 
 
 def plain(rows):
@@ -124,6 +124,26 @@ def test_leaders_keep_every_pair_together(spark):
     assert len(set(component.get(i, i) for i in range(n, n + 200))) == 200
 
 
+def test_a_common_passage_splits_only_what_is_far_over_the_limit(spark):
+    """Texts with a passage in common fill large buckets, and no leader settles them."""
+    rng, n = np.random.default_rng(6), 260
+    every = rng.integers(0, 1 << 31, (2 * n, COORDINATES)).astype(np.uint32)
+    every[:, :14] = every[0, :14]
+    every[n:, 14:45] = every[:n, 14:45]  # each is like one other, in 45 tokens
+    sets = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(every)], "set long, tokens binary")
+    for limit, splits in ((200, False), (20, True)):
+        plan = Plan(bucket_limit=limit)
+        edges, split = met(sets, sets, plan, range(plan.runs))
+        assert (split.count() > 0) == splits
+        component = {r["node"]: r["component"] for r in components(loose_edges(sets, plan)).collect()}
+        assert sum(component.get(i) != i or component.get(n + i) != i for i in range(n)) <= 1
+
+
+def test_only_stars(spark):
+    for edges, told in (([], True), ([(5, 1), (6, 1), (7, 2)], True), ([(5, 1), (1, 0)], False), ([(5, 1), (5, 2)], False)):
+        assert only_stars(spark.createDataFrame(edges, "u long, v long")) == told
+
+
 def test_a_large_group_of_near_copies(spark):
     """The whole operator on a group far over its limits, against all pairs."""
     rng = random.Random(12)

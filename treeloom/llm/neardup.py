@@ -11,19 +11,23 @@ links connect it with, and how many documents it is linked with.
     hash), whose overlap follows the similarity.
 2.  Chosen paths. In each run a set begins at the root and goes on with those
     of its tokens whose hash, drawn anew for each node of the path, is below
-    1 / (0.8 * 64). Sets that share a chosen token meet in a bucket. Buckets
+    1 / (0.8 * 64). Sets that share a chosen token meet in a bucket. Buckets far
     over ``bucket_limit`` are split again by freshly chosen tokens; small ones
     are compared by brute force on a byte of each token. What still is too large at the
     greatest depth is compared in blocks, so that no bucket is capped. A pair at
     the threshold meets in one run with a chance of 0.63 at the first depth and
     0.23 at the sixth; runs are repeated until the chance of meeting reaches
-    ``recall``, and more often for sets that were in a bucket that was split.
+    ``recall``, and more often for the sets of a bucket that is split.
     Before a large bucket is split, each of its sets is held against a few of
     them, its leaders. A set with at most ``settled`` tokens other than a leader
     is settled: whatever looks like it differs from that leader by at most
     ``settled`` more, and everything as near as that is joined to the leader.
     So settled sets need no further split, and a large group of near copies is
-    met in one pass instead of filling buckets at every depth.
+    met in one pass instead of filling buckets at every depth. What is left of a
+    bucket is compared, in pairs of blocks if it is over ``bucket_limit``, as
+    long as that hands on no set more often than there are ``runs``. Only a
+    bucket with more left is split: its sets then need further runs, of which
+    each hands them on, too.
 3.  Buckets don't give pairs but a spanning forest of what looks alike by a
     margin; its connected components are loose groups, supersets of classes.
 4.  Inside each loose group all sets are compared exactly, groups over a size in
@@ -424,33 +428,35 @@ def led(rows: DataFrame, large: DataFrame, short: DataFrame, plan: Plan) -> Data
 
 
 def met(sets: DataFrame, all_sets: DataFrame, plan: Plan, runs: range) -> tuple[list[DataFrame], DataFrame | None]:
-    """(edges, split): what meets in ``runs`` and looks alike, and the sets that a split left unsettled, if any."""
+    """(edges, split): what meets in ``runs`` and looks alike, and the sets of the buckets that were split, if any was large."""
     rows, short, out, split = written(roots(sets, plan, runs), "nodes"), written(briefs(sets), "briefs"), [], None
+    sized = lambda df: df.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    fits = F.col("n") <= plan.bucket_limit
+    blocks = F.when(fits, 1).otherwise(F.ceil(F.col("n") * 2 / plan.bucket_limit)).alias("blocks")
     for depth in range(1, plan.max_depth + 1):
-        sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
-        large = sizes.where(F.col("n") > plan.bucket_limit)
-        n_large = large.count()
-        out.append(written(compare_tokens(rows.join(sizes.where(F.col("n") <= plan.bucket_limit), "node", "left_semi"), short, plan), "loose"))
-        if n_large:
+        sizes = written(sized(rows), "node-sizes")
+        large, n_over = sizes.where(~fits), 0
+        compared, gone = rows.join(sizes.where(fits), "node", "left_semi"), [rows, sizes]
+        if large.count():
+            rest, left = rows.join(large, "node", "left_semi"), large
             if plan.n_leaders:
                 heads = written(led(rows, large, short, plan), "led")
                 out.append(heads.where("set <> to").select(F.col("set").alias("u"), F.col("to").alias("v")))
-                unsettled = heads.where("NOT settled").select("node", "set").distinct()
-            else:
-                unsettled = rows.join(large, "node", "left_semi")
+                rest = written(heads.where("NOT settled").select("node", "set").distinct(), "unsettled")
+                left = written(sized(rest), "unsettled-sizes")
+                gone += [rest, left]
+            left = left.select("node", blocks)
+            over = left.where(F.col("blocks") > (plan.runs if depth < plan.max_depth else math.inf))
+            n_over, still = over.count(), rest.join(over, "node", "left_semi")
+            paired = in_blocks(rest, "node", left.join(over, "node", "left_anti") if n_over else left)
+            compared = compared.unionByName(paired.select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "set"))
             if depth == 1:
-                split = written(unsettled.select("set").distinct(), "split")
-        gone = [rows, sizes]
-        if n_large and depth < plan.max_depth:
-            rows = written(deeper(unsettled, all_sets, plan), "nodes")
-        elif n_large:  # what no leader settled at the greatest depth
-            left = written(unsettled, "unsettled")
-            blocks = left.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.ceil(F.col("n") * 2 / plan.bucket_limit).alias("blocks"))
-            rest = in_blocks(left, "node", blocks).select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "set")
-            out.append(written(compare_tokens(rest, short, plan), "loose"))
-            gone.append(left)
+                split = written(still.select("set").distinct(), "split") if n_over else sets.select("set").limit(0)
+        out.append(written(compare_tokens(compared, short, plan), "loose"))
+        if n_over:
+            rows = written(deeper(still, all_sets, plan), "nodes")
         released(*gone)
-        if not n_large:
+        if not n_over:
             break
     released(short)
     return out, split
@@ -477,12 +483,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large and small stars: a node hands its larger neighbours, then
     its smaller ones, to the least node it knows. Each round writes its edges;
-    when a round changes none, every edge leads to its component.
+    rounds end when every edge leads to its component.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").dropDuplicates(["u", "v"]), "edges")
-    print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-    before = print_of(now)
-    while True:
+    while not only_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         all_least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
         large = with_least(both, all_least)
@@ -494,14 +498,16 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").dropDuplicates(["u", "v"]), "small-star")
         released(large, least)
-        after = print_of(now)
-        if after == before:
-            break
-        before = after
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
+def only_stars(edges: DataFrame) -> bool:
+    """Whether distinct ``edges`` (u, v), u the greater, lead from every node at most once, and from none that another leads to."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("n")).where("out > 0 AND n > 1").isEmpty()
+
+
 def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """``edges`` (u, v) with ``m`` of ``least`` (u, m, n), where a node may have very many edges."""
     total = least.agg(F.sum("n")).first()[0] or 1
