@@ -1,6 +1,7 @@
 """Labels, ancestor tests and reachable sets on histories with merges, against plain Python."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -165,6 +166,29 @@ def test_sides_are_counted_without_labels(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in catalog.queries()["ahead_behind"](spark, str(tmp_path)).collect()] == [(2, 1)]
 
 
+def test_rounds_do_not_square_estimated_sizes(spark, monkeypatch):
+    """Deep sides, ids far off their parents': the driver holds no estimate of more than a few hundred digits."""
+    digits, settled = [], graph.settled
+
+    def seen(df):
+        out = settled(df)
+        size = out._jdf.queryExecution().optimizedPlan().stats().simpleString()
+        digits.append(int(found[1]) if (found := re.search(r"E\+(\d+)", size)) else 0)
+        return out
+
+    monkeypatch.setattr(graph, "settled", seen)
+    monkeypatch.setattr(graph, "nearby", lambda *_: None)
+    far = lambda k: str(k * 7919 % 4001)
+    edges = [(far(k), far(k - 1)) for k in range(1, 1500)] + [(far(2000 + k), far(1999 + k) if k else far(1000)) for k in range(300)]
+    parents = spark.createDataFrame(edges, "hash string, parent string")
+    assert tuple(graph.ahead_behind(parents, far(1499), far(2299)).first()) == (499, 300)
+    rounds = len(digits)
+    chain = spark.range(1, 12).selectExpr("id as hash", "id - 1 as parent")
+    got = graph.levels(spark.range(12).selectExpr("id as hash", "100 - id as at"), chain, "at").collect()
+    assert sorted(map(tuple, got)) == [(k, 100 + k) for k in range(12)]
+    assert rounds > 15 and len(digits) > rounds + 10 and max(digits) < 1000
+
+
 def test_few_edges_are_looked_at_where_few_end_below(spark, tmp_path, monkeypatch):
     """All pairs of the lanes: rows that the sweeps give grow with the pairs, not with pairs times merges."""
     from treeloom.plans import catalog

@@ -44,6 +44,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df`` settled, and without the size that Spark estimates for it.
+
+    A checkpoint keeps its plan's estimate, and that of a join is the product of
+    both sides. Where a round joins a frame with itself it would square: after 24
+    rounds it has hundreds of millions of digits, all of them on the driver.
+    """
+    spark, done = df.sparkSession, settled(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(done.toJavaRDD(), done.schema()), spark)
+
+
 def shortened(ids: list, to: list, totals: list) -> None:
     """Pointers that stay among ``ids`` are followed until they leave, in place; circles stay as they are."""
     place, seen = {x: i for i, x in enumerate(ids)}, [False] * len(ids)
@@ -97,7 +108,7 @@ def ancestor_sum(nodes: DataFrame, id_: str, parent: str, value: str) -> DataFra
             rest = now.select(F.col("id").alias("to"), F.col("total").alias("more"))
             return every.join(rest, "to", "left").select(F.col("id").alias(id_), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
         ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("total").alias("more"))
-        now = settled(now.join(ahead, "to", "left").select("id", F.col("next").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
+        now = unsized(now.join(ahead, "to", "left").select("id", F.col("next").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
     raise CycleError("a circle of parents")
 
 
@@ -259,7 +270,7 @@ def levels(commits: DataFrame, parents: DataFrame, at: str) -> DataFrame:
         lower = now.select(F.col("hash").alias("p"), F.col("level").alias("least"))
         needs = edges.join(lower, F.col("parent") == F.col("p")).groupBy(F.col("hash").alias("of")).agg((F.max("least") + 1).alias("least"))
         raised = now.join(needs, F.col("hash") == F.col("of"), "left").select("hash", F.greatest("level", "least").alias("level"), (F.col("least") > F.col("level")).alias("up"))
-        now = settled(raised)
+        now = unsized(raised)
         if now.where("up").isEmpty():
             return now.select("hash", "level")
         now = now.select("hash", "level")
