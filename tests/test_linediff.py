@@ -225,3 +225,31 @@ def test_a_script_deals_its_lines_once(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     got = sorted((r["id"], r["pos"], r["sign"], r["i"], r["j"], r["line"]) for r in made.collect())
     assert got == [(1, 1, " ", 0, 0, "a\n"), (1, 2, "-", 1, 1, "b\n"), (1, 3, " ", 2, 1, "c\n"), (1, 4, "+", 3, 2, "d"), (2, 1, "+", 0, 0, "x")]
+
+
+def test_a_search_reads_each_pair_once(spark):
+    """Kept lines are found without an exchange or a join, and by one search."""
+    pairs = spark.createDataFrame([(1, "a\nb\nc\n", "a\nc\nd"), (1, "a\na\n", "a"), (None, "x\n", "x\n"), (None, None, "")], "id long, old string, new string")
+    made = line_map(pairs, "id", "old", "new")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(map(repr, map(tuple, made.collect()))) == ["(1, 0, 0)", "(1, 2, 1)", "(None, 0, 0)"]
+    assert script(pairs, "id", "old", "new")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_lines_that_only_go_are_found_without_a_search(monkeypatch):
+    """Where one side is the other with lines taken out, time grows with the lines."""
+    rng = random.Random(7)
+    a = [rng.randrange(5) for _ in range(20_000)]
+    b = [x for i, x in enumerate(a) if i % 3 != 2]
+    monkeypatch.setattr(linediff, "meeting", None)
+    for one, two in ((a, b), (b, a)):
+        found = matched(one, two)
+        assert len(found) == len(b) and all(one[i] == two[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(found))
+
+
+def test_texts_that_are_no_text(spark):
+    """Bytes that are no UTF-8 count as the sign that stands for them, on both sides."""
+    pairs = spark.range(1).selectExpr("id", "cast(X'61ff0a62' as string) AS old", "'a�\nb\n' AS new")
+    assert [tuple(r) for r in line_map(pairs, "id", "old", "new").collect()] == [(0, 0, 0)]

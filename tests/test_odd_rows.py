@@ -52,3 +52,12 @@ def test_origins_of_repeated_turns(spark, tmp_path):
 
 def test_hunks_of_repeated_turns(spark, tmp_path):
     assert at_odds(spark, tmp_path, "blame_hunks", conversations=REPEATED) == ([], [], 0)
+
+
+#: Texts of one id or of none, with lines that repeat, without a last line feed, empty and null.
+TEXTS = """SELECT * FROM (VALUES (1, E'a\\nb\\nc\\nd\\ne\\n'), (1, E'a\\nb\\nc\\nd\\ne\\n'), (1, 'a'), (2, repeat(E'x\\n', 50)), (2, repeat(E'x\\ny\\n\\n', 30) || 'x'), (NULL, E'\\n\\n\\n'), (NULL, E'p\\r\\nq\\rr\\n'),
+ (3, ''), (4, NULL), (5, E'a\\nb\\nc'), (6, E'\\n'), (7, E'ä\\nö\\n\\nü\\n€\\n😀')) t(doc_id, text)"""
+
+
+def test_scripts_of_texts_with_one_id(spark, tmp_path):
+    assert at_odds(spark, tmp_path, "script_counts", documents=TEXTS) == ([], [], 0)

@@ -1,24 +1,27 @@
 """Edit scripts between versions of a text, and where lines come from across many versions.
 
 Lines that begin or end both texts alike are kept as they are. Of what lies
-between, lines that occur once on each side meet in an equality join, and the
-longest rising run of their places holds the two texts together (the anchors).
-Only the stretches between anchors are compared line by line, each a row of its
-own, by the linear-space search for a shortest edit. Lines keep their line feed,
-so a last line without one differs from the same line with one.
+between, lines that occur once on each side meet, and the longest rising run of
+their places holds the two texts together (the anchors). Only the stretches
+between anchors are compared line by line, by the linear-space search for a
+shortest edit. All of this sees one pair, in Arrow batches of pairs, and gives
+its script as runs of lines with one sign. Lines keep their line feed, so a last
+line without one differs from the same line with one.
 
 Anchors hold blocks of lines together where a shortest script would tear them up
 for the sake of repeated lines, so a script isn't always the shortest; where one
-text is the other with lines taken out, it is. Time grows with the number of
-lines that differ within a stretch.
+text is the other with lines taken out, it is, and is found in one pass. Else
+time grows with the number of lines that differ within a stretch.
 
-Null texts are empty; keys name one pair each, and a null key is a pair like any
-other; equal texts have no script and an empty diff.
+Null texts are empty, and bytes that are no UTF-8 count as the sign that stands
+for them. Keys name one pair each, and a null key is a pair like any other;
+equal texts have no changes and an empty diff.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from treeloom.operators import graph, sequences
 
-PAIRS = "array<struct<i:int,j:int>>"
-ARROW_PAIRS = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+STEPS = "array<struct<sign:string,pos:int,i:int,j:int,n:int>>"
+ARROW_STEP = [pa.field("sign", pa.string()), *(pa.field(c, pa.int32()) for c in ("pos", "i", "j", "n"))]
 
 
 def lines_of(text: Column) -> Column:
@@ -73,10 +76,22 @@ def meeting(a: list, b: list) -> tuple[int, int, int, int]:
     raise AssertionError("edits from both ends must meet")
 
 
+def inside(a: list, b: list) -> list[int] | None:
+    """Places in ``a``, the first ones, of all that ``b`` has, if ``b`` is ``a`` with some taken out."""
+    rest = iter(enumerate(a))
+    out = [next((i for i, y in rest if x == y), None) for x in b] if len(b) <= len(a) else [None]
+    return None if None in out else out
+
+
 def matched(a: list, b: list) -> list[tuple[int, int]]:
     """The places of equal lines that a shortest edit from ``a`` to ``b`` keeps, in order."""
     both = set(a) & set(b)
     left, right = ([i for i, x in enumerate(side) if x in both] for side in (a, b))
+    one, two = [a[i] for i in left], [b[j] for j in right]
+    if (places := inside(one, two)) is not None:
+        return [(left[i], j) for i, j in zip(places, right)]
+    if (places := inside(two, one)) is not None:
+        return [(i, right[j]) for i, j in zip(left, places)]
     out, todo = [], [(0, len(left), 0, len(right))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -93,6 +108,51 @@ def matched(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def split_lines(text: bytes) -> list[bytes]:
+    """The lines of a text as :func:`lines_of` has them."""
+    *whole, last = text.split(b"\n")
+    return [x + b"\n" for x in whole] + [last] * bool(last)
+
+
+def kept_lines(a: list, b: list) -> list[tuple[int, int]]:
+    """The places of the lines of ``a`` that are kept in ``b``, in order: both ends, anchors, and what lies between these."""
+    head, a1, b1 = 0, len(a), len(b)
+    while head < a1 and head < b1 and a[head] == b[head]:
+        head += 1
+    while a1 > head and b1 > head and a[a1 - 1] == b[b1 - 1]:
+        a1, b1 = a1 - 1, b1 - 1
+    out = [(k, k) for k in range(head)]
+    if head < a1 and head < b1:
+        one, two = ({x: i for i, x in enumerate(side[head:end], head) if times[x] == 1} for side, end in ((a, a1), (b, b1)) for times in (Counter(side[head:end]),))
+        i0, j0 = head, head
+        for i, j in [*rising([(i, two[x]) for x, i in one.items() if x in two]), (a1, b1)]:
+            if i0 < i and j0 < j:
+                out += [(i0 + x, j0 + y) for x, y in matched(a[i0:i], b[j0:j])]
+            if i < a1:
+                out.append((i, j))
+            i0, j0 = i + 1, j + 1
+    return out + [(a1 + k, b1 + k) for k in range(len(a) - a1)]
+
+
+def steps(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
+    """The script from ``a`` to ``b`` as runs of lines with one sign: (sign, lines of the script before, of ``a``, of ``b``, how many)."""
+    out, pos, i, j = [], 0, 0, 0
+    for x, y in [*kept_lines(a, b), (len(a), len(b))]:
+        if x > i:
+            out.append(("-", pos, i, j, x - i))
+            pos, i = pos + x - i, x
+        if y > j:
+            out.append(("+", pos, i, j, y - j))
+            pos, j = pos + y - j, y
+        if x < len(a):
+            if out and out[-1][0] == " ":
+                out[-1] = (*out[-1][:4], out[-1][4] + 1)
+            else:
+                out.append((" ", pos, i, j, 1))
+            pos, i, j = pos + 1, i + 1, j + 1
+    return out
+
+
 def patch_applied(old: str, patch: str) -> str | None:
     """``old`` with a unified diff applied; None if the text isn't what the diff says."""
     *whole, last = old.split("\n")
@@ -118,21 +178,21 @@ def patch_applied(old: str, patch: str) -> str | None:
     return "".join(out + lines[at:])
 
 
-def longest_rising(pairs: Column) -> Column:
-    def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.array([[{"i": i, "j": j} for i, j in rising([(p["i"], p["j"]) for p in r or []])] for r in rows], ARROW_PAIRS)
+def edit_steps(old: Column, new: Column) -> Column:
+    """The script between two texts, an array of runs in the order of a diff: ``sign``, ``pos`` (lines of the script before), ``i`` and ``j`` (lines of either text before) and ``n``."""
 
-    return F.arrow_udf(runs, PAIRS)(pairs)
-
-
-def shortest_edit(a: Column, b: Column) -> Column:
     def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for one, two in batches:
-            yield pa.array([[{"i": i, "j": j} for i, j in matched(x.as_py(), y.as_py())] for x, y in zip(one, two)], ARROW_PAIRS)
+            ends, rows = [0], []
+            for x, y in zip(one, two):
+                rows += steps(split_lines(x.as_py()), split_lines(y.as_py()))
+                ends.append(len(rows))
+            parts = zip(*rows) if rows else [[]] * len(ARROW_STEP)
+            runs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(parts, ARROW_STEP)], fields=list(ARROW_STEP))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)
 
-    return F.arrow_udf(search, PAIRS)(a, b)
+    whole = lambda text: F.make_valid_utf8(F.coalesce(text, F.lit(""))).cast("binary")
+    return F.arrow_udf(search, STEPS)(whole(old), whole(new))
 
 
 def patched(old: Column, patch: Column) -> Column:
@@ -148,45 +208,11 @@ def patched(old: Column, patch: Column) -> Column:
 # Scripts of many pairs.
 
 
-def alike(a: Column, b: Column) -> Column:
-    """How many elements two arrays begin with alike."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
-
-
 def line_map(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """(key, i, j): line ``i`` of ``old`` is kept as line ``j`` of ``new``, both from 0."""
-    both = pairs.select(F.struct(key).alias("key"), lines_of(F.col(old)).alias("o"), lines_of(F.col(new)).alias("n"))
-    both = both.withColumn("head", alike(F.col("o"), F.col("n")))
-    cut = lambda side: F.slice(side, F.col("head") + 1, F.greatest(F.size(side) - F.col("head"), F.lit(0)))
-    both = both.withColumns({"o": cut("o"), "n": cut("n")}).withColumn("tail", alike(F.reverse("o"), F.reverse("n")))
-    rest = lambda side: F.slice(side, F.lit(1), F.size(side) - F.col("tail"))
-    ends = both.select("key", "head", "tail", F.size("o").alias("a"), F.size("n").alias("b"))
-    ends = ends.select("key", F.explode(F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("head")), lambda k: F.when(k < F.col("head"), F.struct(k.alias("i"), k.alias("j")))),
-        F.transform(F.sequence(F.lit(0), F.col("tail")), lambda k: F.when(k < F.col("tail"), F.struct((F.col("head") + F.col("a") - 1 - k).alias("i"), (F.col("head") + F.col("b") - 1 - k).alias("j")))),
-    )).alias("p")).where("p is not null")
-    middle = both.select("key", "head", rest("o").alias("o"), rest("n").alias("n")).where((F.size("o") > 0) & (F.size("n") > 0))
-    # Lines that occur once on either side meet by a hash of their text; a pair whose texts differ is no anchor.
-    side = lambda c, n: middle.select("key", F.lit(n).alias("side"), F.posexplode(F.transform(c, lambda x: F.xxhash64(x))).alias("at", "line"))
-    place = lambda n: F.min(F.when(F.col("side") == n, F.col("at")))
-    times = [F.count_if(F.col("side") == n).alias(f"times{n}") for n in (0, 1)]
-    once = side("o", 0).unionByName(side("n", 1)).groupBy("key", "line").agg(*times, place(0).alias("i"), place(1).alias("j")).where("times0 = 1 and times1 = 1")
-    held = once.groupBy(F.col("key").alias("of")).agg(longest_rising(F.array_sort(F.collect_list(F.struct("i", "j")))).alias("anchors"))
-    known = middle.join(held, F.col("key").eqNullSafe(F.col("of")), "left").drop("of").withColumn("anchors", F.coalesce("anchors", F.array().cast(PAIRS)))
-    known = known.withColumn("anchors", F.filter("anchors", lambda p: F.get("o", p["i"]) == F.get("n", p["j"])))
-    # Stretches between one anchor and the next.
-    point = lambda i, j: F.array(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")))
-    marks = F.concat(point(F.lit(-1), F.lit(-1)), "anchors", point(F.size("o"), F.size("n")))
-    between = F.zip_with(F.slice(marks, F.lit(1), F.size("anchors") + 1), F.slice(marks, F.lit(2), F.size("anchors") + 1), lambda a, b: F.struct(
-        (a["i"] + 1).alias("i"), (a["j"] + 1).alias("j"), F.slice("o", a["i"] + 2, b["i"] - a["i"] - 1).alias("o"), F.slice("n", a["j"] + 2, b["j"] - a["j"] - 1).alias("n")))
-    full = lambda g: (F.size(g["o"]) > 0) & (F.size(g["n"]) > 0)
-    gaps = known.select("key", "head", F.explode(F.filter(between, full)).alias("g"))
-    found = gaps.select("key", "head", "g.i", "g.j", F.explode(shortest_edit(F.col("g.o"), F.col("g.n"))).alias("p"))
-    at = lambda i, j: [(F.col("head") + i).alias("i"), (F.col("head") + j).alias("j")]
-    anchors = known.select("key", "head", F.explode("anchors").alias("p")).select("key", *at(F.col("p.i"), F.col("p.j")))
-    inside = found.select("key", *at(F.col("i") + F.col("p.i"), F.col("j") + F.col("p.j")))
-    return ends.select("key", "p.i", "p.j").unionByName(anchors).unionByName(inside).select(f"key.{key}", "i", "j")
+    runs = pairs.select(key, F.explode(edit_steps(F.col(old), F.col(new))).alias("s")).where("s.sign = ' '")
+    each = runs.select(key, "s", F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)).alias("k"))
+    return each.select(key, (F.col("s.i") + F.col("k")).alias("i"), (F.col("s.j") + F.col("k")).alias("j"))
 
 
 def script(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
@@ -195,22 +221,15 @@ def script(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     ``pos`` counts from 1; ``i`` and ``j`` are how many lines of the old and the
     new text come before.
     """
-    held = graph.settled(line_map(pairs, key, old, new))
-    none = {"line": F.lit(None).cast("string"), "kept": F.lit(None).cast("int")}
-    texts = lambda side, c: pairs.select(F.col(key), F.lit(side).alias("side"), F.posexplode(lines_of(F.col(c))).alias("at", "line"), none["kept"].alias("kept"))
-    marks = lambda side, n: held.select(F.col(key), F.lit(side).alias("side"), F.col(n).alias("at"), none["line"].alias("line"), F.lit(1).alias("kept"))
-    # Lines and marks are dealt by key, once for all that follows.
-    dealt = texts(0, old).unionByName(texts(1, new)).unionByName(marks(0, "i")).unionByName(marks(1, "j")).repartition(F.col(key))
-    lines = dealt.groupBy(key, "side", "at").agg(F.max("line").alias("line"), F.max("kept").alias("kept"))
-    # Lines between two kept ones follow the earlier: first what goes, then what comes.
-    passed = F.count("kept").over(Window.partitionBy(key, "side").orderBy("at"))
-    kind = F.when(F.col("side") == 1, 2).when(F.col("kept") == 1, 0).otherwise(1)
-    placed = lines.withColumn("after", passed).where("side = 0 or kept is null").select(key, "after", kind.alias("kind"), F.col("at").alias("n"), "line")
-    order = Window.partitionBy(key).orderBy("after", "kind", "n")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda other: F.count_if(F.col("kind") != other).over(before)
-    sign = F.element_at(F.array(F.lit(" "), F.lit("-"), F.lit("+")), F.col("kind") + 1)
-    return placed.select(key, F.row_number().over(order).alias("pos"), sign.alias("sign"), count(2).alias("i"), count(1).alias("j"), "line")
+    # Texts are dealt by key, once for all that follows.
+    dealt = pairs.select(key, F.col(old).alias("o"), F.col(new).alias("n"), edit_steps(F.col(old), F.col(new)).alias("steps")).repartition(F.col(key))
+    texts = dealt.select(key, lines_of(F.col("o")).alias("o"), lines_of(F.col("n")).alias("n"), "steps")
+    # An inner explode would bring a filter on the steps below the exchange, and the search would run twice.
+    runs = texts.select(key, "o", "n", F.explode_outer("steps").alias("s"))
+    each = runs.select(key, "o", "n", "s", F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)).alias("k"))
+    on = lambda c, other: (F.col(f"s.{c}") + F.when(F.col("s.sign") != other, F.col("k")).otherwise(0)).alias(c)
+    line = F.when(F.col("s.sign") == "+", F.get("n", F.col("s.j") + F.col("k"))).otherwise(F.get("o", F.col("s.i") + F.col("k")))
+    return each.select(key, (F.col("s.pos") + F.col("k") + 1).alias("pos"), "s.sign", on("i", "+"), on("j", "-"), line.alias("line"))
 
 
 def hunks(rows: DataFrame, key: str, context: int = 3) -> DataFrame:
