@@ -210,9 +210,9 @@ def patched(old: Column, patch: Column) -> Column:
 
 def line_map(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """(key, i, j): line ``i`` of ``old`` is kept as line ``j`` of ``new``, both from 0."""
-    runs = pairs.select(key, F.explode(edit_steps(F.col(old), F.col(new))).alias("s")).where("s.sign = ' '")
-    each = runs.select(key, "s", F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)).alias("k"))
-    return each.select(key, (F.col("s.i") + F.col("k")).alias("i"), (F.col("s.j") + F.col("k")).alias("j"))
+    runs = pairs.select(key, F.explode(edit_steps(F.col(old), F.col(new))).alias("__step")).where("__step.sign = ' '")
+    each = runs.select(key, "__step", F.explode(F.sequence(F.lit(0), F.col("__step.n") - 1)).alias("__k"))
+    return each.select(key, (F.col("__step.i") + F.col("__k")).alias("i"), (F.col("__step.j") + F.col("__k")).alias("j"))
 
 
 def script(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
@@ -222,14 +222,15 @@ def script(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     new text come before.
     """
     # Texts are dealt by key, once for all that follows.
-    dealt = pairs.select(key, F.col(old).alias("o"), F.col(new).alias("n"), edit_steps(F.col(old), F.col(new)).alias("steps")).repartition(F.col(key))
-    texts = dealt.select(key, lines_of(F.col("o")).alias("o"), lines_of(F.col("n")).alias("n"), "steps")
+    dealt = pairs.select(key, F.col(old).alias("__old"), F.col(new).alias("__new"), edit_steps(F.col(old), F.col(new)).alias("__steps")).repartition(F.col(key))
+    texts = dealt.select(key, lines_of(F.col("__old")).alias("__old"), lines_of(F.col("__new")).alias("__new"), "__steps")
     # An inner explode would bring a filter on the steps below the exchange, and the search would run twice.
-    runs = texts.select(key, "o", "n", F.explode_outer("steps").alias("s"))
-    each = runs.select(key, "o", "n", "s", F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)).alias("k"))
-    on = lambda c, other: (F.col(f"s.{c}") + F.when(F.col("s.sign") != other, F.col("k")).otherwise(0)).alias(c)
-    line = F.when(F.col("s.sign") == "+", F.get("n", F.col("s.j") + F.col("k"))).otherwise(F.get("o", F.col("s.i") + F.col("k")))
-    return each.select(key, (F.col("s.pos") + F.col("k") + 1).alias("pos"), "s.sign", on("i", "+"), on("j", "-"), line.alias("line"))
+    runs = texts.select(key, "__old", "__new", F.explode_outer("__steps").alias("__step"))
+    each = runs.select(key, "__old", "__new", "__step", F.explode(F.sequence(F.lit(0), F.col("__step.n") - 1)).alias("__k"))
+    place = lambda c: F.col(f"__step.{c}") + F.col("__k")
+    before = lambda c, other: F.when(F.col("__step.sign") == other, F.col(f"__step.{c}")).otherwise(place(c)).alias(c)
+    line = F.when(F.col("__step.sign") == "+", F.get("__new", place("j"))).otherwise(F.get("__old", place("i")))
+    return each.select(key, (place("pos") + 1).alias("pos"), "__step.sign", before("i", "+"), before("j", "-"), line.alias("line"))
 
 
 def hunks(rows: DataFrame, key: str, context: int = 3) -> DataFrame:
